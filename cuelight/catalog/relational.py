@@ -78,9 +78,9 @@ def _(t):
 @query("flt_ocr_context", f"""
 SELECT query_id, video_id, line_id, is_near::BIGINT AS is_near FROM (
   SELECT p.query_id, o.video_id, line_id, CASE WHEN abs(t_sec - pts_time) <= 2.0 THEN 1 ELSE 0 END AS is_near,
-    max(CASE WHEN abs(t_sec - pts_time) <= 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS some,
+    max(CASE WHEN abs(t_sec - pts_time) <= 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_any,
     row_number() OVER (PARTITION BY query_id ORDER BY t_sec, line_id) AS rn
-  FROM ({_POINTS}) p JOIN ocr_lines o USING (video_id)) WHERE is_near = 1 OR (some = 0 AND rn <= 30)""")
+  FROM ({_POINTS}) p JOIN ocr_lines o USING (video_id)) WHERE is_near = 1 OR (has_any = 0 AND rn <= 30)""")
 def _(t):
     out = I.screen_context(_points(t), t.ocr_lines, ["query_id"], window=2.0)
     return out.select("query_id", "video_id", "line_id", F.col("is_near").cast("int").cast(B).alias("is_near"))
@@ -148,9 +148,9 @@ def _clips(t):
 @query("jn_interval_overlap", f"""
 SELECT query_id, video_id, segment_id, ov::BIGINT AS overlaps FROM (
   SELECT c.query_id, s.video_id, segment_id, CASE WHEN start_sec <= clip_end + 3.0 AND end_sec >= clip_start - 3.0 THEN 1 ELSE 0 END AS ov,
-    max(CASE WHEN start_sec <= clip_end + 3.0 AND end_sec >= clip_start - 3.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS some,
+    max(CASE WHEN start_sec <= clip_end + 3.0 AND end_sec >= clip_start - 3.0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS has_any,
     row_number() OVER (PARTITION BY query_id ORDER BY start_sec, segment_id) AS rn
-  FROM ({_CLIPS}) c JOIN segments s USING (video_id)) WHERE ov = 1 OR (some = 0 AND rn <= 20)""")
+  FROM ({_CLIPS}) c JOIN segments s USING (video_id)) WHERE ov = 1 OR (has_any = 0 AND rn <= 20)""")
 def _(t):
     s = t.segments.select("video_id", "segment_id", "start_sec", "end_sec")
     return I.clip_context(_clips(t), s, ["query_id"]).select("query_id", "video_id", "segment_id", F.col("overlaps").cast("int").cast(B).alias("overlaps"))

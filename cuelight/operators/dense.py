@@ -15,34 +15,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cuelight.functions import numeric as N
 
-#: bytes of query vectors that one pass may carry to the tasks
-PASS_BYTES = 64 << 20
+#: query rows that one pass may carry to the tasks (38 MB at 1152 dimensions)
+PASS_ROWS = 4096
 
 
 def in_passes(df: DataFrame, key: str, limit: int, one_pass) -> DataFrame:
-    """Union of ``one_pass`` over hash blocks of ``df`` with about ``limit`` rows each."""
-    n = df.count()
-    passes = max(1, -(-n // limit))
+    """Union of ``one_pass(rows)`` over blocks of at most about ``limit`` rows of ``df``.
+
+    The usual batch fits one block and costs one job. A larger one is cut by the
+    hash of ``key``; the driver holds one block at a time.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) <= limit:
+        return one_pass(rows)
+    passes = -(-df.count() // limit) + 1
     block = F.pmod(F.xxhash64(key), F.lit(passes))
-    parts = [one_pass(df.filter(block == i) if passes > 1 else df) for i in range(passes)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [one_pass(df.filter(block == i).collect()) for i in range(passes)])
 
 
-def _query_block(block: DataFrame) -> tuple[list, np.ndarray]:
-    rows = block.orderBy("query_id").collect()
+def _query_block(rows: list) -> tuple[list, np.ndarray]:
+    rows = sorted(rows, key=lambda r: r["query_id"])
     ids = [r["query_id"] for r in rows]
     return ids, np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(ids), -1)
 
 
-def _limit_for(queries: DataFrame) -> int:
-    first = queries.select(F.size("embedding")).head()
-    dim = first[0] if first else 1
-    return max(1, PASS_BYTES // (8 * max(1, dim)))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
@@ -56,6 +56,10 @@ def _typed(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def _arrow(df: DataFrame, name: str) -> pa.DataType:
+    return to_arrow_type(df.schema[name].dataType)
+
+
 def topk(
     queries: DataFrame, corpus: DataFrame, k: int, key: str = "kf_id", vector: str = "embedding",
     group: str | None = None, boost: DataFrame | None = None, boost_on: str = "video_id",
@@ -72,9 +76,12 @@ def topk(
         f"`{c}` {_typed(corpus, c)}" for c in kept
     ) + ", dense double, lo double, hi double"
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        ids, q = _query_block(block)
-        extra = _boost_block(boost, block, boost_on, ids) if boost is not None else None
+    id_type, key_type = _arrow(queries, "query_id"), _arrow(corpus, key)
+    group_type = _arrow(corpus, group) if group else None
+
+    def one_pass(rows: list) -> DataFrame:
+        ids, q = _query_block(rows)
+        extra = _boost_block(boost, boost_on, ids) if boost is not None else None
 
         def scan(batches):
             best = None  # columns per query: scores and row tuples seen so far in this task
@@ -96,16 +103,16 @@ def topk(
                 return
             for i, (score, keys, groups) in enumerate(best):
                 m = len(score)
-                cols = [pa.array([ids[i]] * m), pa.array(keys.tolist())]
+                cols = [pa.array([ids[i]] * m, id_type), pa.array(keys.tolist(), key_type)]
                 if group:
-                    cols.append(pa.array(groups.tolist()))
+                    cols.append(pa.array(groups.tolist(), group_type))
                 cols += [pa.array(score), pa.array(np.full(m, lo[i])), pa.array(np.full(m, hi[i]))]
                 names = ["query_id", *kept, "dense", "lo", "hi"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
         return corpus.select(*read, F.col(vector)).mapInArrow(scan, schema)
 
-    found = in_passes(queries.select("query_id", "embedding"), "query_id", _limit_for(queries), one_pass)
+    found = in_passes(queries.select("query_id", "embedding"), "query_id", PASS_ROWS, one_pass)
     whole = Window.partitionBy("query_id")
     ranked = Window.partitionBy("query_id", *([group] if group else [])).orderBy(F.desc("dense"), F.asc(key))
     return (
@@ -115,10 +122,10 @@ def topk(
     )
 
 
-def _boost_block(boost: DataFrame, block: DataFrame, on: str, ids: list) -> dict:
+def _boost_block(boost: DataFrame, on: str, ids: list) -> dict:
     at = {q: i for i, q in enumerate(ids)}
     extra: dict = {}
-    for r in boost.join(block.select("query_id"), "query_id").select("query_id", on, "boost").collect():
+    for r in boost.filter(F.col("query_id").isin(ids)).select("query_id", on, "boost").collect():
         extra.setdefault(r[on], []).append((at[r["query_id"]], r["boost"]))
     return extra
 
@@ -165,8 +172,10 @@ def pooled_topk(packed: DataFrame, corpus: DataFrame, k: int, key: str = "kf_id"
     """
     schema = f"query_id {_typed(packed, 'query_id')}, `{key}` {_typed(corpus, key)}, dense double, norm double, best_scene int"
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        rows = block.orderBy("query_id").collect()
+    id_type, key_type = _arrow(packed, "query_id"), _arrow(corpus, key)
+
+    def one_pass(rows: list) -> DataFrame:
+        rows = sorted(rows, key=lambda r: r["query_id"])
         ids = [r["query_id"] for r in rows]
         parts = [[r["whole"], *(r["scenes"] or [])] for r in rows]
         at = np.cumsum([0] + [len(p) for p in parts])
@@ -196,16 +205,15 @@ def pooled_topk(packed: DataFrame, corpus: DataFrame, k: int, key: str = "kf_id"
                 if kept is not None:
                     score, keys, rest = kept
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i]] * len(score)), pa.array(keys.tolist()), pa.array(rest[0]), pa.array(score),
+                        [pa.array([ids[i]] * len(score), id_type), pa.array(keys.tolist(), key_type), pa.array(rest[0]), pa.array(score),
                          pa.array(rest[1].astype(np.int32))],
                         ["query_id", key, "dense", "norm", "best_scene"],
                     )
 
         return corpus.select(key, "embedding").mapInArrow(scan, schema)
 
-    n_scenes = packed.agg(F.max(F.size("scenes"))).head()[0] or 0
-    limit = max(1, _limit_for(packed.select(F.col("whole.v").alias("embedding"))) // (1 + n_scenes))
-    found = in_passes(packed, "query_id", limit, one_pass)
+    # a query carries itself and about a dozen scenes
+    found = in_passes(packed, "query_id", PASS_ROWS // 8, one_pass)
     w = Window.partitionBy("query_id").orderBy(F.desc("norm"), F.desc("dense"), F.asc(key))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
@@ -248,8 +256,10 @@ def all_scores(queries: DataFrame, corpus: DataFrame, keep=("kf_id",), vector: s
         f"`{c}` {_typed(corpus, c)}" for c in keep
     ) + ", dense double"
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        ids, q = _query_block(block)
+    id_type = _arrow(queries, "query_id")
+
+    def one_pass(rows: list) -> DataFrame:
+        ids, q = _query_block(rows)
 
         def scan(batches):
             for batch in batches:
@@ -257,13 +267,13 @@ def all_scores(queries: DataFrame, corpus: DataFrame, keep=("kf_id",), vector: s
                     continue
                 s = _grid(q @ _matrix(batch.column(vector)).T)
                 for i, query in enumerate(ids):
-                    cols = [pa.array([query] * batch.num_rows)]
+                    cols = [pa.array([query] * batch.num_rows, id_type)]
                     cols += [batch.column(c) for c in keep]
                     yield pa.RecordBatch.from_arrays(cols + [pa.array(s[i])], ["query_id", *keep, "dense"])
 
         return corpus.select(*keep, F.col(vector)).mapInArrow(scan, schema)
 
-    return in_passes(queries.select("query_id", "embedding"), "query_id", _limit_for(queries), one_pass)
+    return in_passes(queries.select("query_id", "embedding"), "query_id", PASS_ROWS, one_pass)
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, key: str = "kf_id") -> DataFrame:
@@ -373,9 +383,10 @@ def near_duplicates(
         homes = celled.select(F.col(key).alias("_key"), N.as_doubles("embedding").alias("_v"), "cell")
         visits = _nearest_cells(rows, centers, n_probe)
     sizes = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = visits.join(sizes, "cell").withColumn("_a", F.pmod(F.xxhash64("_key"), F.col("_blocks"))).withColumn("_b", other)
-    right = homes.join(sizes, "cell").withColumn("_b", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")).withColumn("_a", other.cast("bigint"))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks").cast("bigint") - 1)
+    own = F.pmod(F.xxhash64("_key"), F.col("_blocks"))
+    left = visits.join(sizes, "cell").withColumn("_a", own).withColumn("_b", F.explode(other))
+    right = homes.join(sizes, "cell").withColumn("_b", own).withColumn("_a", F.explode(other))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": a.column("_key")[:0], key: a.column("_key")[:0], "dense": pa.array([], pa.float64())})

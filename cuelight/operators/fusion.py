@@ -208,3 +208,33 @@ def shot_buckets(ranked: DataFrame, k: int, width: float = 2.5) -> DataFrame:
     w = Window.partitionBy("query_id", "video_id", F.floor(F.col("pts_time") / width)).orderBy(F.desc("score"), F.asc("kf_id"))
     seen = ranked.withColumn("_again", (F.row_number().over(w) > 1).cast("int"))
     return top_k(seen, ["query_id"], [F.asc("_again"), F.desc("score"), F.asc("kf_id")], k).drop("_again")
+
+
+def semantic_keyword_scores(
+    keywords: DataFrame, docs: DataFrame, keyframes: DataFrame, w_dense: float, w_speech: float, window: float = 3.0, k: int = 200,
+) -> DataFrame:
+    """Every keyframe's weighted keyword score: calibrated cosine plus BM25 of documents near it.
+
+    keywords: query_id, kw_no, keyword, weight, embedding. The output has a row
+    per query and keyframe, as the score itself is defined for all of them.
+    """
+    from cuelight.operators import dense as D
+    from cuelight.operators import lexical as L
+    from cuelight.operators.intervals import best_per_point, point_in_interval
+
+    usable = keywords.filter((F.trim("keyword") != "") & (F.col("weight") > 0))
+    keyed = usable.withColumn("_k", F.to_json(F.struct("query_id", "kw_no")))
+    vectors = keyed.select(F.col("_k").alias("query_id"), "embedding")
+    dense = D.all_scores(vectors, keyframes).join(D.ranges(vectors, keyframes), "query_id").select(
+        "query_id", "kf_id", N.minmax("dense", "lo", "hi").alias("_d"))
+    hits = L.bm25(keyed.select(F.col("_k").alias("query_id"), F.col("keyword").alias("text")), docs, k).join(docs, "doc_id")
+    near = point_in_interval(
+        calibrate_max(hits).withColumnRenamed("rank", "hit_rank").drop("doc_id", "source"),
+        keyframes.select("video_id", "kf_id", "pts_time"), window)
+    speech = best_per_point(near, ["query_id", "kf_id"]).select("query_id", "kf_id", F.col("score").alias("_a"))
+    fused = F.col("_d") * w_dense + F.coalesce("_a", F.lit(0.0)) * w_speech
+    rows = dense.join(speech, ["query_id", "kf_id"], "left").withColumnRenamed("query_id", "_k")
+    return (
+        rows.join(keyed.select("_k", "query_id", "weight"), "_k")
+        .groupBy("query_id", "kf_id").agg(F.sum(F.col("weight") * fused).alias("keyword_score"))
+    )

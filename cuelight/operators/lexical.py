@@ -146,8 +146,8 @@ def phrase_hits(keywords: DataFrame, docs: DataFrame, text: str = "text") -> Dat
     """
     from cuelight.operators.dense import in_passes
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        phrases = sorted(r[0] for r in block.collect())
+    def one_pass(rows: list) -> DataFrame:
+        phrases = sorted(r[0] for r in rows)
         lowered = F.lower(F.col(text))
         found = F.filter(
             F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.contains(lowered, p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,11 +144,11 @@ def validation_subset(videos: DataFrame, size: int = 30) -> DataFrame:
     ranked = with_position(spoken, [], ["words", "video_id"], time_chunk("words", 64.0), "pos")
     n = spoken.agg(F.count(F.lit(1))).scalar()
     pos = F.col("pos")
-    short = F.transform(
-        F.array(*[F.lit(p) for p in SHORT_PERCENTILES]), lambda p: F.floor(n * p).cast("bigint") + 1)
-    from_top = F.transform(F.sequence(F.lit(9), F.lit(0)), lambda i: n - i * 5)
-    short_rows = ranked.filter(F.array_contains(short, pos)).select("video_id", "words", F.lit(0).alias("_s"), pos.alias("_o"))
-    long_rows = ranked.filter(F.array_contains(from_top, pos)).select("video_id", "words", F.lit(2).alias("_s"), pos.alias("_o"))
+    any_of = lambda places: reduce(lambda x, y: x | y, [pos == p for p in places])
+    short = any_of([F.floor(n * p).cast("bigint") + 1 for p in SHORT_PERCENTILES])
+    from_top = any_of([n - i * 5 for i in range(10)])
+    short_rows = ranked.filter(short).select("video_id", "words", F.lit(0).alias("_s"), pos.alias("_o"))
+    long_rows = ranked.filter(from_top).select("video_id", "words", F.lit(2).alias("_s"), pos.alias("_o"))
     nearest = ranked.orderBy(F.abs(F.col("words") - AVERAGE_WORDS), "words", "video_id").limit(10).select(
         "video_id", "words", F.lit(1).alias("_s"), pos.alias("_o"))
     first = short_rows.unionByName(nearest).unionByName(long_rows).groupBy("video_id", "words").agg(
