@@ -215,11 +215,9 @@ def hours(ts: str) -> Column:
 
 def letter_counts(text) -> Column:
     c = F.col(text) if isinstance(text, str) else text
-    lowered = F.lower(c)
-    return F.transform(
-        F.array(*[F.lit(x) for x in LETTERS]),
-        lambda x: (F.length(lowered) - F.length(F.replace(lowered, x, F.lit("")))).cast("double"),
-    )
+    letters = F.array(*[F.lit(x) for x in LETTERS])
+    return N.let(F.lower(c), lambda t: F.transform(
+        letters, lambda x: (F.length(t) - F.length(F.replace(t, x, F.lit("")))).cast("double")))
 
 
 def letter_profile(text) -> Column:

@@ -324,11 +324,14 @@ def _(t):
     return keyframe_speech(X.weighted_norm(*lists(t)), t.keyframes).select("query_id", "kf_id", six("score"), "text")
 
 
-_SMOOTH = ' + '.join(f'{w!r} * coalesce(' + ', '.join(f'{"lag" if d < 0 else "lead"}(dense, {k}) OVER w' for k in range(abs(d), 0, -1)) + (', ' if d else '') + 'dense)' for d, w in zip(range(-2, 3), _W))
+_SMOOTH = " + ".join(f"{w!r} * {c}[i]" for c, w in zip(("a2", "a1", "e", "b1", "b2"), _W))
+SQL_SMOOTHED = f"""nb AS (SELECT kf_id, video_id, pts_time, embedding AS e, coalesce(lag(embedding, 2) OVER w, lag(embedding, 1) OVER w, embedding) AS a2, coalesce(lag(embedding, 1) OVER w, embedding) AS a1,
+  coalesce(lead(embedding, 1) OVER w, embedding) AS b1, coalesce(lead(embedding, 2) OVER w, lead(embedding, 1) OVER w, embedding) AS b2 FROM keyframes WINDOW w AS (PARTITION BY video_id ORDER BY n)),
+smk AS (SELECT kf_id, video_id, pts_time, list_transform(range(1, len(e) + 1), lambda i: {_SMOOTH}) AS v FROM nb)"""
 
 
 @query("rt_hybrid3", f"""
-WITH {SQL_OBJ}, {SQL_OKAPI.replace('QUERIES_HERE', 'object_queries')}, sm AS (SELECT query_id, kf_id, video_id, pts_time, {_SMOOTH} AS dense FROM dense_all WINDOW w AS (PARTITION BY query_id, video_id ORDER BY n)),
+WITH {SQL_OBJ}, {SQL_OKAPI.replace('QUERIES_HERE', 'object_queries')}, {SQL_SMOOTHED}, sm AS (SELECT query_id, kf_id, video_id, pts_time, {sql_dot('q.embedding', 'v')} AS dense FROM queries q, smk),
 mt AS (SELECT query_id, video_id, score / max(score) OVER (PARTITION BY query_id) AS meta FROM pmeta),
 f AS (SELECT query_id, kf_id, video_id, pts_time, {G('dense * 0.70 + coalesce(object, 0.0) * 0.15 + coalesce(meta, 0.0) * 0.15')} AS score
   FROM sm LEFT JOIN onorm USING (query_id, kf_id) LEFT JOIN mt USING (query_id, video_id)),

@@ -99,11 +99,21 @@ def norm(v) -> Column:
     return F.sqrt(F.aggregate(as_doubles(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Inside a lambda Catalyst evaluates an outer expression again for every
+    element; an array of one element binds it.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(v, floor: float = 0.0) -> Column:
     """Unit vector; a vector with norm at or under ``floor`` stays as it is."""
-    v = as_doubles(v)
-    n = norm(v)
-    return F.when(n > floor, F.transform(v, lambda x: x / n)).otherwise(v)
+    def scaled(v):
+        return let(norm(v), lambda n: F.when(n > floor, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return let(as_doubles(v), scaled)
 
 
 def blend(a, b, alpha: float, beta: float) -> Column:

@@ -406,8 +406,9 @@ def near_duplicates(
 
     kind = _typed(corpus, key)
     by = ["cell", "_a", "_b"]
+    left = left.select(*by, "_key", "_v").toDF("cell", "_a", "_b", "_key", "_v")  # both sides may stem from one table
     found = (
-        left.select(*by, "_key", "_v").groupBy(*by).cogroup(right.select(*by, "_key", "_v").groupBy(*by))
+        left.groupBy(*by).cogroup(right.select(*by, "_key", "_v").groupBy(*by))
         .applyInArrow(compare, f"query_id {kind}, `{key}` {kind}, dense double")
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("dense"), F.asc(key))

@@ -14,14 +14,16 @@ def suppress(
 ) -> DataFrame:
     """Greedy suppression in rank order: a row goes when a kept row of its video is nearer than ``window``.
 
-    pool: by, rank, video_id, key, pts_time. Seeds (a boolean column) are kept
+    pool: by, rank, video_id, key, pts_time and more, which stays on the rows. Seeds (a boolean column) are kept
     whatever is near them and come first. Suppression never crosses videos, so
     each (query, video) is folded on its own; a pool is a top-k list, which
     bounds the fold. Suppressed rows are not replaced.
     """
     seeded = F.col(seed) if seed else F.lit(False)
+    rest = [c for c in pool.columns if c not in (*by, "video_id")]
     item = F.struct(
-        (~seeded).alias("free"), F.col("rank").alias("rank"), F.col(key).alias("id"), F.col("pts_time").alias("p")
+        (~seeded).alias("free"), F.col("rank").alias("rank"), F.col(key).alias("id"), F.col("pts_time").alias("p"),
+        F.struct(*rest).alias("row"),
     )
     groups = pool.groupBy(*by, "video_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     kind = groups.schema["_items"].dataType.simpleString()
@@ -33,10 +35,7 @@ def suppress(
     kept = groups.withColumn("_kept", F.aggregate("_items", F.array().cast(kind), step)).select(
         *by, "video_id", F.explode("_kept").alias("_k")
     )
-    rows = kept.select(
-        *by, "video_id", F.col("_k.id").alias(key), F.col("_k.p").alias("pts_time"),
-        F.col("_k.free").alias("_free"), F.col("_k.rank").alias("pool_rank"),
-    )
+    rows = kept.select(*by, "video_id", "_k.row.*", F.col("_k.free").alias("_free")).withColumnRenamed("rank", "pool_rank")
     return top_k(rows, list(by), [F.asc("_free"), F.asc("pool_rank"), F.asc(key)], k).drop("_free")
 
 
@@ -61,14 +60,15 @@ def context_windows(
         segments.select("video_id", "segment_id", "position"), ["video_id", "segment_id"]
     )
     visits = anchors.select(
-        *id_cols, "video_id", F.explode(F.sequence(F.col("position") - reach, F.col("position") + reach)).alias("position")
+        *id_cols, "video_id", F.struct(*candidates.columns).alias("_row"),
+        F.explode(F.sequence(F.col("position") - reach, F.col("position") + reach)).alias("position"),
     )
     piece = F.struct(
         "start_sec", "position", "end_sec", "start_frame", "end_frame", F.trim("text").alias("text")
     )
     gathered = (
         visits.join(segments, ["video_id", "position"])
-        .groupBy(*id_cols).agg(F.array_sort(F.collect_list(piece)).alias("_w"))
+        .groupBy(*id_cols).agg(F.array_sort(F.collect_list(piece)).alias("_w"), F.first("_row").alias("_row"))
     )
     w = F.col("_w")
 
@@ -79,12 +79,11 @@ def context_windows(
 
     stitched = F.trim(F.regexp_replace(F.array_join(F.transform(w, say), " "), r"\s+", " "))
     last = F.element_at(w, -1)
-    windows = gathered.select(
-        *id_cols, w[0]["start_sec"].alias("win_start"), last["end_sec"].alias("win_end"),
+    return gathered.select(
+        "_row.*", w[0]["start_sec"].alias("win_start"), last["end_sec"].alias("win_end"),
         F.size(w).cast("bigint").alias("num_segments"), w[0]["start_frame"].alias("start_frame"),
         last["end_frame"].alias("end_frame"), stitched.alias("context"),
     )
-    return candidates.join(windows, id_cols)
 
 
 def expand_and_dedup(
@@ -96,7 +95,8 @@ def expand_and_dedup(
     The candidates of a query are a top-k list, so the fold per (query, video) is short.
     """
     wide = context_windows(candidates, segments, reach, max_gap, keys)
-    item = F.struct("rank", "start_sec", "end_sec", "win_start", "win_end")
+    rest = [c for c in wide.columns if c not in keys]
+    item = F.struct("rank", "start_sec", "end_sec", "win_start", "win_end", F.struct(*rest).alias("row"))
     groups = wide.groupBy(*keys, "video_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     kind = groups.schema["_items"].dataType.simpleString()
 
@@ -108,11 +108,8 @@ def expand_and_dedup(
 
         return F.when(F.exists(kept, covers), kept).otherwise(F.concat(kept, F.array(x)))
 
-    accepted = groups.select(
-        *keys, F.explode(F.aggregate("_items", F.array().cast(kind), step)).alias("_k")
-    ).select(*keys, F.col("_k.rank").alias("rank"))
-    first = top_k(accepted, list(keys), [F.asc("rank")], max_windows, "window_no")
-    return wide.join(first, [*keys, "rank"])
+    accepted = groups.select(*keys, F.explode(F.aggregate("_items", F.array().cast(kind), step)).alias("_k")).select(*keys, "_k.row.*")
+    return top_k(accepted, list(keys), [F.asc("rank")], max_windows, "window_no")
 
 
 def align(
@@ -201,14 +198,17 @@ def shots(
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two arrays on the score grid; 1 when a side is constant."""
-    n = F.size(a).cast("double")
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
-    ma, mb = total(N.as_doubles(a)) / n, total(N.as_doubles(b)) / n
-    da = F.transform(N.as_doubles(a), lambda x: x - ma)
-    db = F.transform(N.as_doubles(b), lambda x: x - mb)
-    cov = total(F.zip_with(da, db, lambda x, y: x * y))
-    va, vb = total(F.transform(da, lambda x: x * x)), total(F.transform(db, lambda x: x * x))
-    return F.when((va > 0) & (vb > 0), N.on_grid(cov / F.sqrt(va * vb))).otherwise(F.lit(1.0))
+    centred = lambda v: N.let(
+        total(v) / F.size(v).cast("double"), lambda m: F.transform(v, lambda x: x - m))
+    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+
+    def of(s):
+        va, vb = product(s["a"], s["a"]), product(s["b"], s["b"])
+        return F.when((va > 0) & (vb > 0), N.on_grid(product(s["a"], s["b"]) / F.sqrt(va * vb))).otherwise(F.lit(1.0))
+
+    pair = F.struct(centred(N.as_doubles(a)).alias("a"), centred(N.as_doubles(b)).alias("b"))
+    return F.when(a.isNotNull() & b.isNotNull(), N.let(pair, of))
 
 
 def greedy_spacing(rows: DataFrame, at: str, gap: float, chunk: float) -> DataFrame:

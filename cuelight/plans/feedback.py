@@ -12,6 +12,7 @@ from cuelight.operators import intervals as I
 from cuelight.operators import sequence as S
 from cuelight.operators.ordered import top_k
 from cuelight.plans import search as P
+from cuelight.session import reliable
 
 
 def refine(
@@ -30,13 +31,13 @@ def refine(
     """
     kf = corpus.keyframes
     queries = P.with_intent(queries)
-    positives = I.nearest_row(marks, kf, ["query_id", "mark_no"])
+    positives = reliable(I.nearest_row(marks, kf, ["query_id", "mark_no"]))
     vectors = positives.join(kf.select("kf_id", "embedding"), "kf_id")
-    moved = D.rocchio(queries, vectors, dim, alpha, beta)
-    speech = P.lexical_evidence(queries, corpus, window, calibration="max")
+    moved = reliable(D.rocchio(queries, vectors, dim, alpha, beta))
+    speech = reliable(P.lexical_evidence(queries, corpus, window, calibration="max"))
     pool_size = 4 * top
 
-    whole = D.topk(moved, kf, pool_size)
+    whole = reliable(D.topk(moved, kf, pool_size))
     spans = whole.select("query_id", "lo", "hi").distinct()
     marked_videos = marks.select("video_id").distinct()
     local = D.topk(moved, kf.join(marked_videos, "video_id", "left_semi"), pool_size, group="video_id").join(
@@ -46,7 +47,7 @@ def refine(
         marks.select("query_id", "video_id", F.col("pts_time").alias("_p")), kf.select("video_id", "kf_id", "pts_time"),
         "pts_time", 45.0, left_t="_p",
     ).select("query_id", "kf_id")
-    scored = whole.select("query_id", "kf_id", "dense").unionByName(local.select("query_id", "kf_id", "dense")).distinct()
+    scored = reliable(whole.select("query_id", "kf_id", "dense").unionByName(local.select("query_id", "kf_id", "dense")).distinct())
     extra = X.exact_keyword_scores(keywords, corpus.docs, kf) if keywords is not None else None
     pairs = near.unionByName(speech.select("query_id", "kf_id")).unionByName(positives.select("query_id", "kf_id"))
     if extra is not None:
@@ -54,7 +55,7 @@ def refine(
     rest = pairs.distinct().join(scored, ["query_id", "kf_id"], "left_anti")
     every = scored.unionByName(D.score_pairs(rest, moved, kf).select("query_id", "kf_id", "dense"))
 
-    rows = every.join(kf.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id")
+    rows = reliable(every.join(kf.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id"))
     bonus = mark_bonus(rows, marks)
     cand = (
         rows.join(spans, "query_id").join(bonus, ["query_id", "kf_id"], "left")
@@ -63,15 +64,14 @@ def refine(
               ["query_id", "kf_id"], "left")
         .withColumn("speech", F.coalesce("speech", F.lit(0.0)))
     )
-    fused = P.fuse(cand, fixed_route(queries, weights), extra)
+    fused = reliable(P.fuse(cand, fixed_route(queries, weights), extra))
     pool = top_k(fused, ["query_id"], P.pool_order(), pool_size)
     seeds = positives.groupBy("query_id", "kf_id").agg(F.min("mark_no").alias("mark_no"))
     seeded = (
         fused.join(seeds, ["query_id", "kf_id"]).withColumn("rank", F.col("mark_no").cast("int")).drop("mark_no").withColumn("seed", F.lit(True))
         .unionByName(pool.join(seeds.select("query_id", "kf_id"), ["query_id", "kf_id"], "left_anti").withColumn("seed", F.lit(False)))
     )
-    kept = S.suppress(seeded, top, 2.0, seed="seed").select("query_id", "kf_id", F.col("rank").alias("final_rank"))
-    ranked = seeded.join(kept, ["query_id", "kf_id"]).drop("rank").withColumnRenamed("final_rank", "rank")
+    ranked = reliable(S.suppress(seeded, top, 2.0, seed="seed"))
     shown = ranked.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("fused")))
     pins = marks.filter("pinned").select("query_id", F.col("mark_no").alias("pin_no"), "video_id", "frame_idx", F.col("pts_time").alias("_pin_t"))
     final = X.pinned_first(shown.select("query_id", "rank", "video_id", "frame_idx", "score"), pins, top)

@@ -22,6 +22,7 @@ from cuelight.operators import intervals as I
 from cuelight.operators import lexical as L
 from cuelight.operators import sequence as S
 from cuelight.operators.ordered import top_k
+from cuelight.session import reliable
 
 
 @dataclass
@@ -108,23 +109,23 @@ def pack_queries(queries: DataFrame, scenes: DataFrame | None, keyframes: DataFr
     """query_id, whole, scenes: vectors with their score ranges over all keyframes (one scan)."""
     whole = queries.select(F.struct("query_id", F.lit(-1).alias("scene_no")).alias("_k"), "embedding")
     if scenes is not None:
-        whole = whole.unionByName(scenes.select(F.struct("query_id", F.col("scene_no").cast("int")).alias("_k"), "embedding"))
+        whole = whole.unionByName(scenes.select(F.struct("query_id", F.col("scene_no").cast("int").alias("scene_no")).alias("_k"), "embedding"))
     vectors = whole.select(F.to_json("_k").alias("query_id"), "_k", N.as_doubles("embedding").alias("embedding"))
     spans = D.ranges(vectors, keyframes)
     packed = vectors.join(spans, "query_id").select(
         "_k.query_id", "_k.scene_no", F.struct(F.col("embedding").alias("v"), "lo", "hi").alias("_s")
     )
-    return packed.groupBy("query_id").agg(
+    return reliable(packed.groupBy("query_id").agg(
         F.max_by("_s", -F.col("scene_no")).alias("whole"),
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("scene_no") >= 0, F.struct("scene_no", "_s")))), lambda x: x["_s"]
         ).alias("scenes"),
-    )
+    ))
 
 
 def candidates(packed: DataFrame, corpus: Corpus, speech: DataFrame, pool: int, also: DataFrame | None = None) -> DataFrame:
     """query_id, kf_id, norm, dense, best_scene, speech, speech_text for all rows that can enter a pool."""
-    best = D.pooled_topk(packed, corpus.keyframes, pool)
+    best = reliable(D.pooled_topk(packed, corpus.keyframes, pool))
     pairs = speech.select("query_id", "kf_id")
     if also is not None:
         pairs = pairs.unionByName(also.select("query_id", "kf_id")).distinct()
@@ -162,6 +163,8 @@ def search(
     speech = lexical_evidence(queries, corpus, window)
     if corpus.semantic:
         speech = merge_evidence(speech, semantic_evidence(queries, corpus, window, scorer))
+    # the evidence is a bounded hit list per query; cut here, its many readers do not repeat the search
+    speech = reliable(speech)
     packed = pack_queries(queries, scenes, corpus.keyframes)
     extra = X.exact_keyword_scores(keywords, corpus.docs, corpus.keyframes) if keywords is not None else None
     cand = candidates(packed, corpus, speech, 4 * top, extra)
@@ -170,8 +173,7 @@ def search(
     pool = top_k(fused, ["query_id"], pool_order(), 4 * top).join(
         corpus.keyframes.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id"
     )
-    kept = S.suppress(pool, top, 1.5).select("query_id", "kf_id", F.col("rank").alias("final_rank"))
-    rows = pool.join(kept, ["query_id", "kf_id"]).drop("rank").withColumnRenamed("final_rank", "rank")
+    rows = reliable(S.suppress(pool, top, 1.5))
     spoken = I.active_segment(rows, corpus.segments, ["query_id", "kf_id"])
     out = spoken.withColumn("matched_speech", F.coalesce("speech_text", "spoken"))
     if scenes is not None:

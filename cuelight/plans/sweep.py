@@ -13,6 +13,7 @@ from cuelight.operators import intervals as I
 from cuelight.operators import sequence as S
 from cuelight.operators.ordered import top_k
 from cuelight.plans import search as P
+from cuelight.session import reliable
 
 POOL, TOP = 200, 50
 
@@ -23,8 +24,9 @@ def evidence(queries: DataFrame, corpus: P.Corpus, scenes: DataFrame | None = No
     speech = P.lexical_evidence(queries, corpus, window, calibration="plain")
     if corpus.semantic:
         speech = P.merge_evidence(speech, P.semantic_evidence(queries, corpus, window, scorer))
+    speech = reliable(speech)
     packed = P.pack_queries(queries, scenes, corpus.keyframes)
-    return P.candidates(packed, corpus, speech, POOL), P.max_speech(queries, speech)
+    return reliable(P.candidates(packed, corpus, speech, POOL)), P.max_speech(queries, speech)
 
 
 def configured(best_speech: DataFrame, configs=lx.BENCHMARK_CONFIGS) -> DataFrame:
@@ -49,9 +51,7 @@ def ranked(cand: DataFrame, routed: DataFrame, keyframes: DataFrame) -> DataFram
         "fused", N.on_grid(F.col("w_dense") * F.col("norm") + F.col("w_speech") * F.col("speech")))
     pool = top_k(fused, ["query_id", "config"], P.pool_order(), POOL).join(
         keyframes.select("kf_id", "video_id", "pts_time", "frame_idx"), "kf_id")
-    kept = S.suppress(pool, TOP, 1.5, by=("query_id", "config"))
-    score = pool.select("query_id", "config", "kf_id", "frame_idx", F.col("fused").alias("score"))
-    return kept.join(score, ["query_id", "config", "kf_id"])
+    return S.suppress(pool, TOP, 1.5, by=("query_id", "config")).withColumnRenamed("fused", "score")
 
 
 def per_query(queries: DataFrame, results: DataFrame, truth: DataFrame, configs=lx.BENCHMARK_CONFIGS) -> DataFrame:
