@@ -2,7 +2,7 @@
 
 
 def _load():
-    from cuelight.catalog import base, ranking, relational, text  # noqa: F401
+    from cuelight.catalog import base, outputs, ranking, relational, text  # noqa: F401
 
     return base
 

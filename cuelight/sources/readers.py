@@ -31,7 +31,7 @@ def stem(path_col="_metadata.file_path"):
 
 def _transcript_files(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     raw = spark.read.schema(_TRANSCRIPT).option("mode", "PERMISSIVE").option("multiLine", multiline).json(path)
-    return raw.withColumn("video_id", stem())
+    return raw if "video_id" in raw.columns else raw.withColumn("video_id", stem())
 
 
 def _flatten(raw: DataFrame) -> DataFrame:
@@ -56,7 +56,9 @@ def read_transcripts(
     parts, taken = [], None
     if refined:
         files = _transcript_files(spark, refined, multiline)
-        whole = files.groupBy("video_id").agg(F.max(F.col("_corrupt_record").isNotNull()).alias("_bad"))
+        # the corrupt column may not be read alone, hence the (always true) look at the text
+        broken = F.col("_corrupt_record").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) >= 0)
+        whole = files.groupBy("video_id").agg(F.max(broken).alias("_bad"))
         good = files.join(whole.filter("not _bad"), "video_id", "left_semi")
         parts.append(_flatten(good).withColumn("is_refined", F.lit(True)))
         taken = (whole if flavour == "lexical" else whole.filter("not _bad")).select("video_id")
@@ -90,9 +92,15 @@ def normalise_segments(rows: DataFrame, flavour: str = "lexical") -> DataFrame:
     )
 
 
-def read_ocr(spark: SparkSession, path: str, fps: float = 25.0) -> DataFrame:
-    """Screen text: one map {"f_<frame>": text} per video. A key without a number is at second 0."""
-    whole = spark.read.text(path, wholetext=True).withColumn("video_id", stem())
+def read_ocr(spark: SparkSession, path: str, fps: float = 25.0, wholetext: bool = True) -> DataFrame:
+    """Screen text: maps {"f_<frame>": text}. A key without a number is at second 0.
+
+    One map per video file, or with ``wholetext`` off one map per line in a
+    folder per video (video_id=...), for videos too long for one map.
+    """
+    whole = spark.read.text(path, wholetext=wholetext)
+    if "video_id" not in whole.columns:
+        whole = whole.withColumn("video_id", stem())
     lines = whole.select("video_id", F.explode(F.from_json("value", "map<string,string>")).alias("key", "_t"))
     return ocr_lines(lines.withColumnRenamed("_t", "text"), fps)
 
@@ -119,7 +127,7 @@ def read_frame_map(spark: SparkSession, path: str) -> DataFrame:
     """Frame maps, one CSV per video, with ``row_no`` in file order."""
     raw = (
         spark.read.option("header", True).schema("n bigint, pts_time double, fps double, frame_idx double").csv(path)
-        .withColumn("video_id", stem()).withColumn("frame_idx", F.col("frame_idx").cast("bigint"))
+        .transform(lambda d: d if "video_id" in d.columns else d.withColumn("video_id", stem())).withColumn("frame_idx", F.col("frame_idx").cast("bigint"))
     )
     return with_position(raw, ["video_id"], ["n"], F.floor(F.col("n") / 4096), "row_no")
 
@@ -131,10 +139,14 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     )
     raw = spark.read.schema(schema).option("multiLine", True).json(path).select("*", "_metadata.file_path")
     parts = F.split("file_path", "/")
+    named = raw.withColumn("video_id", F.element_at(parts, -2)).withColumn("keyframe", stem("file_path"))
+    return detection_rows(named)
+
+
+def detection_rows(raw: DataFrame) -> DataFrame:
+    """One row per box from the parallel arrays of a keyframe; incomplete boxes are skipped."""
     zipped = F.arrays_zip("detection_class_entities", "detection_boxes", "detection_scores")
-    return raw.select(
-        F.element_at(parts, -2).alias("video_id"), stem("file_path").alias("keyframe"), F.explode(zipped).alias("_d")
-    ).select(
+    return raw.select("video_id", "keyframe", F.explode(zipped).alias("_d")).select(
         "video_id", "keyframe", F.col("_d.detection_class_entities").alias("entity"),
         F.col("_d.detection_boxes").alias("box"), F.col("_d.detection_scores").try_cast("double").alias("score"),
     ).filter("entity is not null and box is not null and score is not null")
@@ -287,7 +299,8 @@ def query_package(files: DataFrame) -> DataFrame:
 
 def read_transcript_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines 'start | end | first frame | last frame | text'; other lines are dropped."""
-    return parse_transcript_lines(spark.read.text(path).withColumn("video_id", stem()))
+    lines = spark.read.text(path)
+    return parse_transcript_lines(lines if "video_id" in lines.columns else lines.withColumn("video_id", stem()))
 
 
 def parse_transcript_lines(lines: DataFrame) -> DataFrame:
