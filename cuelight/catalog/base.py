@@ -58,8 +58,21 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    #: tables of long texts, with their key
+    HEAVY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name in self.HEAVY and not df.isStreaming:
+            # one small file is one task; a table with splits enough is left as it lies
+            cores = self.spark.sparkContext.defaultParallelism
+            if len(df.inputFiles()) == 1 and self._megabytes(df) < 128:
+                return df.repartition(cores, self.HEAVY[name])
+        return df
+
+    @staticmethod
+    def _megabytes(df: DataFrame) -> float:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 2**20
 
     def scratch(self) -> str:
         """A new folder for files that a query writes and reads back."""

@@ -20,8 +20,7 @@ def _lits(words) -> Column:
 
 def tokenize(text) -> Column:
     """Lower-case tokens of letters, digits and underscores; a lone underscore is no token."""
-    cleaned = F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}_\s]", " ")
-    return F.filter(F.split(cleaned, r"\s+"), lambda t: ~t.isin("", "_"))
+    return F.array_remove(tokenize_words(text), "_")
 
 
 def tokenize_words(text) -> Column:
@@ -157,12 +156,12 @@ def frame_of(seconds, fps: float | Column = 25.0) -> Column:
 
 
 def token_estimate(text) -> Column:
-    words = F.size(F.filter(F.split(_c(text), r"\s+"), lambda w: w != ""))
+    words = word_count(text)
     return (F.floor(words * F.lit(1.35)) + 10).cast("bigint")
 
 
 def word_count(text) -> Column:
-    return F.size(F.filter(F.split(_c(text), r"\s+"), lambda w: w != "")).cast("bigint")
+    return F.regexp_count(_c(text), F.lit(r"\S+")).cast("bigint")
 
 
 def strip_banned_prefixes(text) -> Column:

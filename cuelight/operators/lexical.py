@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +36,16 @@ def tokens_of(docs: DataFrame, doc: str = "doc_id", tokenizer=T.tokenize, keep=(
 
 def term_frequencies(tokens: DataFrame, doc: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
     """doc, term, dl, tf. With a vocabulary only its terms leave the map side."""
-    terms = tokens.select(doc, "dl", F.explode("tokens").alias("term"))
+    # the outer form: explode alone makes Catalyst add a filter that tokenises every text a second time
+    terms = tokens.select(doc, "dl", F.explode_outer("tokens").alias("term")).filter("term is not null")
     if vocabulary is not None:
         terms = terms.join(vocabulary, "term", "left_semi")
     return terms.groupBy(doc, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counting by tf keeps the column alive, so the shuffled counts are built once and reused
+    return tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -114,13 +118,13 @@ def okapi(queries: DataFrame, pieces: DataFrame, k: int = 50, group: str = "vide
     tokens = pieces.select(group, T.tokenize_words("text").alias("tokens"))
     lengths = tokens.groupBy(group).agg(F.sum(F.size("tokens")).alias("dl"))
     tf = (
-        tokens.select(group, F.explode("tokens").alias("term"))
+        tokens.select(group, F.explode_outer("tokens").alias("term")).filter("term is not null")
         .groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     stats = corpus.select(F.struct("n_docs", "avgdl")).scalar()
     df = F.col("df")
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+    idf = document_frequencies(tf).select(
         "term", (F.log(stats["n_docs"] - df + 0.5) - F.log(df + 0.5)).alias("idf")
     )
     floor = idf.select(F.avg("idf") * eps).scalar()
@@ -141,19 +145,40 @@ def phrase_hits(keywords: DataFrame, docs: DataFrame, text: str = "text") -> Dat
     """Documents that contain a keyword as a substring, whatever the case.
 
     There is no key to join on, so the distinct phrases are looked for in one
-    pass over the documents. They travel with the plan; their number is checked
-    and larger sets take several passes.
+    pass over the documents: a few by plain containment, more by one automaton
+    that reads a text once for all of them. They travel with the tasks; their
+    number is checked and larger sets take several passes.
     """
     from cuelight.operators.dense import in_passes
 
     def one_pass(rows: list) -> DataFrame:
         phrases = sorted(r[0] for r in rows)
-        lowered = F.lower(F.col(text))
-        found = F.filter(
-            F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), lambda p: F.contains(lowered, p)
-        )
-        return docs.withColumn("_phrase", F.explode(found))
+        if len(phrases) <= 16:
+            hits = F.array(*[F.when(F.contains(F.lower(F.col(text)), F.lit(p)), F.lit(p)) for p in phrases])
+            return docs.withColumn("_phrase", F.explode(F.filter(hits.cast("array<string>"), lambda p: p.isNotNull())))
+        return docs.withColumn("_phrase", F.explode(_finder(phrases)(F.lower(F.col(text)))))
 
     wanted = keywords.select(F.lower(F.trim("keyword")).alias("_phrase")).filter("_phrase != ''").distinct()
-    found = in_passes(wanted, "_phrase", 2000, one_pass)
+    found = in_passes(wanted, "_phrase", 20_000, one_pass)
     return keywords.withColumn("_phrase", F.lower(F.trim("keyword"))).join(found, "_phrase").drop("_phrase")
+
+
+def _finder(phrases: list[str]):
+    """A vectorised function from texts to the phrases that occur in them."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            import ahocorasick
+        except ImportError:
+            for texts in batches:
+                yield pd.Series([[p for p in phrases if t is not None and p in t] for t in texts])
+            return
+        automaton = ahocorasick.Automaton()
+        for p in phrases:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({p for _, p in automaton.iter(t)}) if t else [] for t in texts])
+
+    return run

@@ -12,6 +12,7 @@ from cuelight.operators import intervals as I
 from cuelight.operators import lexical as L
 from cuelight.operators.ordered import gaussian, top_k
 from cuelight.operators.transcripts import entity_boost
+from cuelight.session import reliable
 
 
 def smoothed(keyframes: DataFrame, sigma: float = 1.5, radius: int = 2) -> DataFrame:
@@ -39,14 +40,14 @@ def hybrid(
     k times the fullest bucket, which always holds k different buckets.
     """
     frames = smoothed(keyframes) if smooth else keyframes
-    meta = metadata_boost(queries, pieces)
+    meta = reliable(metadata_boost(queries, pieces))
     pool = k
     if shot_dedup:
         fullest = keyframes.groupBy("video_id", F.floor(F.col("pts_time") / 2.5)).count().agg(F.max("count")).head()[0]
         pool = k * (fullest or 1)
     boost = meta.select("query_id", "video_id", (F.col("meta") * (w_meta / w_dense)).alias("boost"))
     best = D.topk(queries, frames, pool, boost=boost).select("query_id", "kf_id")
-    hits = entity_boost(queries, objects, keyframes)
+    hits = reliable(entity_boost(queries, objects, keyframes))
     pairs = best.unionByName(hits.select("query_id", "kf_id")).distinct()
     scored = (
         D.score_pairs(pairs, queries, frames.select("kf_id", "video_id", "pts_time", "embedding"))

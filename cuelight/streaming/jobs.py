@@ -81,6 +81,8 @@ def append_vectors(vectors: DataFrame, path: str, checkpoint: str, n_list: int =
     return vectors.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: a watermark starts at the epoch and drops what is not after it, so second 0 of a video is a day later
+EPOCH_SEC = 86_400.0
 RUN_SCHEMA = "video_id string, start_sec double, end_sec double, text string, n_lines bigint"
 _STATE = "text string, start_sec double, last_sec double, n_lines bigint, waiting array<struct<t:double,line:bigint,text:string>>"
 
@@ -92,7 +94,7 @@ def stream_text_runs(lines: DataFrame, hold: float = 3.0, delay: str = "10 secon
     open run of their video or close it. An open run is closed when the
     watermark passes its gap. Lines later than the watermark are dropped.
     """
-    timed = lines.withColumn("ts", F.timestamp_micros((F.col("t_sec") * 1e6).cast("bigint"))).withWatermark("ts", delay)
+    timed = lines.withColumn("ts", F.timestamp_micros(((F.col("t_sec") + EPOCH_SEC) * 1e6).cast("bigint"))).withWatermark("ts", delay)
     return timed.groupBy("video_id").applyInPandasWithState(
         _advance(hold), RUN_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
@@ -105,7 +107,7 @@ def _advance(hold: float):
         if not state.hasTimedOut:
             for pdf in batches:
                 waiting.extend(zip(pdf.t_sec.tolist(), pdf.line_id.tolist(), pdf.text.tolist()))
-        mark = state.getCurrentWatermarkMs() / 1000.0
+        mark = state.getCurrentWatermarkMs() / 1000.0 - EPOCH_SEC
         waiting.sort()
         ready = [w for w in waiting if w[0] <= mark]
         waiting = waiting[len(ready):]
@@ -127,7 +129,7 @@ def _advance(hold: float):
         else:
             state.update((text, start, last, n, waiting))
             wake = min([w[0] for w in waiting] + ([last + hold + hold] if text is not None else []))
-            state.setTimeoutTimestamp(int(max(wake * 1000, state.getCurrentWatermarkMs())) + 1)
+            state.setTimeoutTimestamp(int(max((wake + EPOCH_SEC) * 1000, state.getCurrentWatermarkMs())) + 1)
         if closed:
             yield pd.DataFrame(closed, columns=["video_id", "start_sec", "end_sec", "text", "n_lines"])
 
