@@ -144,14 +144,15 @@ def _(t):
 
 # ---------------------------------------------------------------- submissions
 
-_PRED = f"{SQL_RAW}, p AS (SELECT query_id, rank, 'data/Videos/' || video_id || '.mp4' AS video_id, frame_idx + 0.5 AS f FROM rawr WHERE rank <= 30 AND score > 0.2)"
+_PRED = f"{SQL_RAW}, p AS (SELECT query_id, rank, 'data/Videos/' || video_id || '.mp4' AS video_id, frame_idx + 0.5 AS f FROM (SELECT * EXCLUDE (rank), rank - 1 AS rank FROM rawr WHERE kf_id <> query_id) WHERE rank <= 30 AND score > 0.35)"
 _PADDED = """n AS (SELECT query_id, max(rank) AS n FROM p GROUP BY 1), s AS (SELECT query_id, text, unnest(range(1, 101)) AS row_no FROM lex_queries),
 x AS (SELECT s.query_id, s.text, row_no, n, regexp_replace(string_split(p.video_id, '/')[-1], '\\.[^.]*$', '') AS v, p.f FROM s LEFT JOIN n USING (query_id) LEFT JOIN p ON p.query_id = s.query_id AND p.rank = least(row_no, n))"""
 
 
 def _preds(t):
-    return scored(t, 30).filter("score > 0.2").select(
-        "query_id", "rank", F.concat(F.lit("data/Videos/"), "video_id", F.lit(".mp4")).alias("video_id"), (F.col("frame_idx") + 0.5).alias("frame_idx"))
+    # the query's own keyframe is always first and is left out, so some queries have no prediction
+    return scored(t, 31).filter("kf_id <> query_id and score > 0.35").select(
+        "query_id", (F.col("rank") - 1).alias("rank"), F.concat(F.lit("data/Videos/"), "video_id", F.lit(".mp4")).alias("video_id"), (F.col("frame_idx") + 0.5).alias("frame_idx"))
 
 
 @query("out_kis", f"WITH {_PRED}, {_PADDED} SELECT query_id, row_no, CASE WHEN n IS NULL THEN 'L21_V001,0' ELSE v || ',' || round_even(f, 0)::BIGINT END AS line FROM x")

@@ -34,13 +34,15 @@ def in_passes(df: DataFrame, key: str, limit: int, one_pass) -> DataFrame:
         return one_pass(rows)
     passes = -(-df.count() // limit) + 1
     block = F.pmod(F.xxhash64(key), F.lit(passes))
-    return reduce(DataFrame.unionByName, [one_pass(df.filter(block == i).collect()) for i in range(passes)])
+    blocks = (df.filter(block == i).collect() for i in range(passes))
+    return reduce(DataFrame.unionByName, [one_pass(b) for b in blocks if b])
 
 
 def _query_block(rows: list) -> tuple[list, np.ndarray]:
     rows = sorted(rows, key=lambda r: r["query_id"])
-    ids = [r["query_id"] for r in rows]
-    return ids, np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(ids), -1)
+    if not rows:
+        return [], np.zeros((0, 1))
+    return [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -263,7 +265,7 @@ def all_scores(queries: DataFrame, corpus: DataFrame, keep=("kf_id",), vector: s
 
         def scan(batches):
             for batch in batches:
-                if batch.num_rows == 0:
+                if batch.num_rows == 0 or not ids:
                     continue
                 s = _grid(q @ _matrix(batch.column(vector)).T)
                 for i, query in enumerate(ids):

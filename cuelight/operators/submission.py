@@ -18,10 +18,9 @@ def pad(preds: DataFrame, queries: DataFrame, defaults: dict[str, Column], total
     slots = (
         queries.select("query_id").join(last, "query_id", "left")
         .withColumn("row_no", F.explode(F.sequence(F.lit(1), F.lit(total))))
-        .withColumn("rank", F.least(F.col("row_no"), F.col("_n")))
+        .withColumn("rank", F.when(F.col("_n").isNotNull(), F.least("row_no", "_n")).otherwise(-1))
         .drop("_n")
     )
-    slots = slots.withColumn("rank", F.when(F.col("rank").isNull(), -1).otherwise(F.col("rank")))
     filled = slots.join(preds, ["query_id", "rank"], "left")
     values = [F.when(F.col("rank") < 0, v).otherwise(F.col(c)).alias(c) for c, v in defaults.items()]
     return filled.select("query_id", F.col("row_no").cast("bigint").alias("row_no"), *values)
