@@ -21,6 +21,8 @@ from cuelight.functions import numeric as N
 
 #: query rows that one pass may carry to the tasks (38 MB at 1152 dimensions)
 PASS_ROWS = 4096
+#: tasks that share the merging of one query's candidates
+SALTS = 16
 
 
 def in_passes(df: DataFrame, key: str, limit: int, one_pass) -> DataFrame:
@@ -115,10 +117,17 @@ def topk(
         return corpus.select(*read, F.col(vector)).mapInArrow(scan, schema)
 
     found = in_passes(queries.select("query_id", "embedding"), "query_id", PASS_ROWS, one_pass)
-    whole = Window.partitionBy("query_id")
-    ranked = Window.partitionBy("query_id", *([group] if group else [])).orderBy(F.desc("dense"), F.asc(key))
+    # k rows per query and task can be many rows of one query: a salted round brings them down to
+    # k per salt and merges the ranges before anything is dropped
+    salted = _best_of(found.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS))), ["query_id", "_salt"], group, key, k)
+    return _best_of(salted.drop("_salt", "rank"), ["query_id"], group, key, k)
+
+
+def _best_of(rows: DataFrame, by: list, group: str | None, key: str, k: int) -> DataFrame:
+    whole = Window.partitionBy(*by)
+    ranked = Window.partitionBy(*by, *([group] if group else [])).orderBy(F.desc("dense"), F.asc(key))
     return (
-        found.withColumn("rank", F.row_number().over(ranked))
+        rows.withColumn("rank", F.row_number().over(ranked))
         .withColumn("lo", F.min("lo").over(whole)).withColumn("hi", F.max("hi").over(whole))
         .filter(F.col("rank") <= k)
     )
