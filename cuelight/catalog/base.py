@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -76,10 +75,9 @@ class Tables:
 
     def scratch(self) -> str:
         """A new folder for files that a query writes and reads back."""
-        named = self.spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            return f"{named}/{uuid.uuid4().hex}"
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        from cuelight.session import shared_folder
+
+        return f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
 
     @cached_property
     def keyframes(self) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuelight.catalog.base import G, R, Tables, letter_counts, query, r6, sql_dot, sql_letter_counts, sql_list
+from cuelight.catalog.base import G, R, Tables, letter_counts, letter_profile, query, r6, sql_dot, sql_letter_counts
 from cuelight.catalog.relational import (
     _SCORED, SQL_BEST, SQL_LISTS, SQL_MEAN, SQL_OBJ, SQL_OKAPI, SQL_POSITIVE, SQL_PROFILE, SQL_RERANK, SQL_SEM, SQL_SEMBEST,
     SQL_SPOKEN, lists, reranked, scored,
@@ -18,7 +17,8 @@ from cuelight.operators import intervals as I
 from cuelight.operators import lexical as L
 from cuelight.operators import sequence as S
 from cuelight.operators import transcripts as TR
-from cuelight.operators.ordered import gaussian, prefix_max, time_chunk, top_k, with_position, with_previous
+from cuelight.operators.ordered import gaussian, prefix_max, top_k, with_position
+from cuelight.session import reliable
 
 B = "bigint"
 big = lambda c: F.col(c).cast(B).alias(c)
@@ -364,12 +364,13 @@ SQL_ROUTE = """routed AS (SELECT i.query_id, CASE WHEN category <> 'balanced_mul
 
 
 def corpus(t, semantic=True):
+    """The prepared tables, written once before the queries read them."""
     from cuelight.plans.search import Corpus
 
     seg = t.segments
     if semantic:
-        seg = seg.join(t.segment_vectors.select("video_id", "segment_id", "embedding"), ["video_id", "segment_id"])
-    return Corpus(t.keyframes, t.docs, seg, semantic)
+        seg = seg.withColumn("embedding", letter_profile("text"))
+    return Corpus(reliable(t.keyframes), reliable(t.docs), reliable(seg), semantic)
 
 
 def full_queries(t):
@@ -380,7 +381,7 @@ def evidence(t):
     from cuelight.plans import search as P
 
     q, c = P.with_intent(full_queries(t)), corpus(t)
-    return q, P.merge_evidence(P.lexical_evidence(q, c, 5.0), P.semantic_evidence(q, c, 5.0))
+    return q, reliable(P.merge_evidence(P.lexical_evidence(q, c, 5.0), P.semantic_evidence(q, c, 5.0)))
 
 
 @query("rt_gate", f"WITH {SQL_EVIDENCE}, {SQL_ROUTE} SELECT query_id, wd AS w_dense, ws AS w_speech, label FROM routed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
 from cuelight.operators.ordered import prefix_max, running_sum, time_chunk, top_k, with_position, with_previous
+from cuelight.session import reliable
 
 
 def suppress(
@@ -142,7 +143,8 @@ def align(
     )
     # state: (score so far, minus the frame position so that the earliest wins, path of frames)
     state = F.struct(F.col("_s")[0].alias("score"), (-F.col("n")).alias("at"), F.array("frame_idx").alias("path"))
-    frames = frames.withColumn("_dp", state)
+    # every step reads its input twice (rows and chunk summary), so each is cut from the ones before
+    frames = reliable(frames.withColumn("_dp", state))
     chunk = F.floor(F.col("n") / chunk_rows)
     finals = None
     for i in range(n_events):
@@ -154,6 +156,7 @@ def align(
                 (F.col("_s")[i] + F.col("_before.score")).alias("score"), (-F.col("n")).alias("at"),
                 F.concat("_before.path", F.array("frame_idx")).alias("path"),
             )).drop("_before")
+            frames = reliable(frames) if i + 1 < n_events else frames
         done = frames.filter(F.col("_n") == i + 1).groupBy("query_id", "video_id", "_n").agg(F.max("_dp").alias("_b"))
         finals = done if finals is None else finals.unionByName(done)
     return finals.select(
@@ -174,11 +177,10 @@ def shots(
     chunk = time_chunk("frame_no", chunk_rows)
     seen = with_previous(frames, ["video_id"], ["frame_no"], chunk, ["hist"])
     drop = F.lit(1.0) - correlation(F.col("prev.hist"), F.col("hist"))
-    cuts = seen.filter(drop > threshold).select("video_id", "frame_no")
+    cuts = reliable(seen.filter(drop > threshold).select("video_id", "frame_no"))
     starts = frames.groupBy("video_id").agg(F.lit(0).cast("bigint").alias("frame_no"))
-    accepted = greedy_spacing(cuts.unionByName(starts).distinct(), "frame_no", min_frames, chunk_rows)
+    accepted = reliable(greedy_spacing(cuts.unionByName(starts).distinct(), "frame_no", min_frames, chunk_rows))
     ends = frames.groupBy("video_id").agg((F.max("frame_no") + 1).alias("_len"))
-    chunk_cut = time_chunk("frame_no", chunk_rows)
     back = with_previous(
         accepted.withColumn("_neg", -F.col("frame_no")), ["video_id"], ["_neg"], F.floor(F.col("_neg") / chunk_rows),
         ["frame_no"], "next",

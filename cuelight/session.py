@@ -23,20 +23,19 @@ def local_session(cpus: str = "*", name: str = "cuelight", shuffle_partitions: i
     )
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one in local mode without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+
 
-    ``spark.checkpoint.dir`` of the session wins. Only a session without it (a
-    local test) gets a temporary folder.
-    """
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` written to a reliable checkpoint and read back, so that it survives lost executors."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
