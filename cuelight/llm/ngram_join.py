@@ -6,8 +6,8 @@ fragment. Overlaps of a pair are counted within each fragment on its own and sum
 * **Order.** Every n-gram's 64-bit hash falls into one of 2^18 bins; the bins are counted over all documents and ranked by count. The
   rank replaces the bin in the hash, so hashes compare in the global order. Any order gives the same links; this one keeps common
   n-grams out of the prefixes. The table of bins has a fixed size.
-* **Candidates.** Two sets with Jaccard >= t share an n-gram among the first ``n - ceil(t n) + 1`` of each (prefix), lie within t of each
-  other's size (length), and leave enough n-grams after the shared one (position).
+* **Candidates.** Two sets with Jaccard >= t share k n-grams among the first ``n - ceil(t n) + k`` of each (prefix), lie within t of each
+  other's size (length), and leave enough n-grams after a shared one (position). k is 8, less for the smallest sets.
 * **Copies and near copies.** Equal sets are one node. Each shared prefix n-gram first links its nodes to one hub, the node that it
   stands earliest in; verified links make classes; then only nodes of different classes meet. A tight group of G near copies so costs
   about G pairs instead of G^2, and no link between two classes is lost.
@@ -15,8 +15,6 @@ fragment. Overlaps of a pair are counted within each fragment on its own and sum
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +26,7 @@ from cuelight.llm.tables import registered, stored, table
 from cuelight.llm.words import Words, grams, list_array, slices, U
 
 BIN_BITS = 18
+SHARED = 8
 LOW = U(64 - BIN_BITS)
 
 
@@ -87,7 +86,7 @@ def _nodes(texts, order, n, percent):
     def rows(batches):
         for batch, sets in _sets(batches, n):
             ordered = [order.value.apply(s) for s in sets]
-            prefix = [o[: len(o) - math.ceil(percent * len(o) / 100) + 1] if len(o) else o for o in ordered]
+            prefix = [o[: len(o) - -(-percent * len(o) // 100) + SHARED] for o in ordered]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(o) for o in ordered], pa.int64()), pa.array([_node(o) for o in ordered], pa.int64()),
                 list_array(prefix, pa.int64())], ["doc_id", "n", "node", "prefix"])
@@ -110,20 +109,22 @@ def _segments(texts, order, n):
                         toks.append(seg)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), list_array(toks, pa.int64())], ["node", "frag", "grams"])
 
-    return texts.mapInArrow(rows, "node long, frag int, grams array<long>").dropDuplicates(["node", "frag"])
+    return texts.mapInArrow(rows, "node long, frag int, grams array<long>")
 
 
 def _fits(percent, nx, ny, px, py) -> F.Column:
-    """Length and position filter: the n-grams after the shared one are enough for the overlap that the sizes need."""
+    """Length and position filter: the n-grams from the shared one on, and those shared before, are enough for the overlap
+    that the sizes need."""
     x, y, i, j = (F.col(c) for c in (nx, ny, px, py))
-    return (F.least(x - i, y - j) * (100 + percent) >= percent * (x + y)) & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    return ((F.least(x - i, y - j) + SHARED - 1) * (100 + percent) >= percent * (x + y)) & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose overlap, summed over the fragments, reaches the threshold."""
     left = segments.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
     right = segments.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    partial = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))  # once, though a row may be repeated
     both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
@@ -149,7 +150,10 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments:
     fit = lambda a, b: a * 100 >= b * percent
     live = spread.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size)) \
         .where(fit(F.col("less"), F.col("n")) | fit(F.col("n"), F.col("more"))).select("gram", "node", "n", "at")
+    needs = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * (percent / 100) ** 3)))
     live = stored(live)  # prefix n-grams that documents of like size share
+    alive = live.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c")).where(F.col("c") >= needs).select("node")
+    live = stored(live.join(alive, "node"))
 
     wanted = live.select("node").distinct().join(classes.select("node", "low"), "node")
     segments = stored(_segments(
@@ -167,7 +171,9 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments:
     held = held.join(mixed, "gram")
     side = lambda s: held.select("gram", *[F.col(c).alias(c + s) for c in ("node", "n", "at", "root")])
     cross = side("a").join(side("b"), "gram").where("nodea < nodeb and roota <> rootb").where(_fits(percent, "na", "nb", "ata", "atb"))
-    cross = cross.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").distinct()
+    least = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.least("na", "nb") * (percent / 100) ** 2)))
+    cross = cross.groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").agg(F.count("*").alias("c"))
+    cross = cross.where(F.col("c") >= least).drop("c")
     final = components(first.unionByName(_linked(cross, segments, percent)))
 
     named = classes.select("node", "low").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
