@@ -3,7 +3,11 @@
 
 def _load():
     from cuelight.llm import (  # noqa: F401
+        line_quality,
+        line_windows,
+        mixing,
         ngram_join,
+        pieces,
         tables,
     )
 

@@ -129,15 +129,8 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``.
-
-    Words are runs of bytes other than 0x20, 0x09-0x0D, lower-cased A-Z; the set of a text holds its distinct ``n``-word shingles, the
-    whole sequence if it has fewer words. Documents link when ``100 * |A & B| >= percent * |A | B|``; ``component_id`` is the least
-    doc_id reachable by links. A null or blank text has the empty set and links with nothing, so its component is its own doc_id.
-    Repeated rows are copies. Rows without a doc_id take part; their component is null unless they reach a row with one. Other columns
-    are ignored. The links hold whatever ``fragments`` is.
-    """
+def _components(docs: DataFrame, n: int, percent: int, fragments: int) -> tuple:
+    """The order, every row with its node, every node with its component, and the node and doc_id of each component's least document."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(GramOrder(bin_counts(texts, n), fragments))  # 2^18 numbers
@@ -177,12 +170,41 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments:
     final = components(first.unionByName(_linked(cross, segments, percent)))
 
     named = classes.select("node", "low").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "root").select("node", "component_id")
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("best"))
+    return order, rows, named.join(lows, "root").select("node", "component_id"), lows.select("best.node", "best.low")
+
+
+def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every row of ``docs(doc_id, text)``.
+
+    Words are runs of bytes other than 0x20, 0x09-0x0D, lower-cased A-Z; the set of a text holds its distinct ``n``-word shingles, the
+    whole sequence if it has fewer words. Documents link when ``100 * |A & B| >= percent * |A | B|``; ``component_id`` is the least
+    doc_id reachable by links. A null or blank text has the empty set and links with nothing, so its component is its own doc_id.
+    Repeated rows are copies. Rows without a doc_id take part; their component is null unless they reach a row with one. Other columns
+    are ignored. The links hold whatever ``fragments`` is.
+    """
+    _, rows, named, _ = _components(docs, n, percent, fragments)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, of equal ones the least text. Rows without words stay."""
+    order, _, _, best = _components(docs, n, percent, fragments)
+
+    @F.arrow_udf("long")
+    def node(text: pa.Array) -> pa.Array:
+        found = [_node(order.value.apply(s)) for _, sets in _sets([pa.RecordBatch.from_arrays([text], ["text"])], n) for s in sets]
+        return pa.array(found, pa.int64())
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), node.asNondeterministic()(F.col("text")).alias("_node"))
+    blank = rows.where("_node = 0").select("_doc")
+    best = best.select(F.col("node").alias("_node"), F.col("low").alias("_low"))
+    kept = rows.withColumn("_low", F.col("_doc.doc_id")).where("_node <> 0")
+    kept = kept.join(best, (kept["_node"] == best["_node"]) & kept["_low"].eqNullSafe(best["_low"]), "left_semi").dropDuplicates(["_node", "_low"])
+    return kept.select("_doc").unionByName(blank).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+
+
 @registered("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"))
