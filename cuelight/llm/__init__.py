@@ -8,6 +8,7 @@ def _load():
         mixing,
         ngram_join,
         pieces,
+        substring,
         tables,
     )
 
