@@ -7,7 +7,7 @@ fragment. Overlaps of a pair are counted within each fragment on its own and sum
   rank replaces the bin in the hash, so hashes compare in the global order. Any order gives the same links; this one keeps common
   n-grams out of the prefixes. The table of bins has a fixed size.
 * **Candidates.** Two sets with Jaccard >= t share k n-grams among the first ``n - ceil(t n) + k`` of each (prefix), lie within t of each
-  other's size (length), and leave enough n-grams after a shared one (position). k is 8, less for the smallest sets.
+  other's size (length), and leave enough n-grams after the first shared one (position). k is 8, less for the smallest sets.
 * **Copies and near copies.** Equal sets are one node. Each shared prefix n-gram first links its nodes to one hub, the node that it
   stands earliest in; verified links make classes; then only nodes of different classes meet. A tight group of G near copies so costs
   about G pairs instead of G^2, and no link between two classes is lost.
@@ -113,10 +113,17 @@ def _segments(texts, order, n):
 
 
 def _fits(percent, nx, ny, px, py) -> F.Column:
-    """Length and position filter: the n-grams from the shared one on, and those shared before, are enough for the overlap
-    that the sizes need."""
+    """Length and position filter: if it is the first that the two share, the n-grams from the shared one on are enough for
+    the overlap that the sizes need."""
     x, y, i, j = (F.col(c) for c in (nx, ny, px, py))
-    return ((F.least(x - i, y - j) + SHARED - 1) * (100 + percent) >= percent * (x + y)) & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    return (F.least(x - i, y - j) * (100 + percent) >= percent * (x + y)) & (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+
+
+def _sharing(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share as many n-grams as those of linked sets do."""
+    left, right = (prefixes.select(F.col("node").alias(s), F.col("grams").alias("g" + s)) for s in "ab")
+    least = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.least("na", "nb") * (percent / 100) ** 2)))
+    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("ga", "gb")) >= least).drop("ga", "gb")
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -156,6 +163,8 @@ def _components(docs: DataFrame, n: int, percent: int, fragments: int) -> tuple:
     hubs = live.join(hub, "gram").select(
         F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"), "at", F.col("h.at").alias("hat"))
     hubs = hubs.where("a <> b").where(_fits(percent, "na", "nb", "at", "hat")).select("a", "b", "na", "nb").distinct()
+    prefixes = live.groupBy("node").agg(F.collect_list("gram").alias("grams"))
+    hubs = stored(_sharing(hubs, prefixes, percent))
     first = stored(_linked(hubs, segments, percent))
     root = components(first)
 
@@ -164,9 +173,8 @@ def _components(docs: DataFrame, n: int, percent: int, fragments: int) -> tuple:
     held = held.join(mixed, "gram")
     side = lambda s: held.select("gram", *[F.col(c).alias(c + s) for c in ("node", "n", "at", "root")])
     cross = side("a").join(side("b"), "gram").where("nodea < nodeb and roota <> rootb").where(_fits(percent, "na", "nb", "ata", "atb"))
-    least = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.least("na", "nb") * (percent / 100) ** 2)))
-    cross = cross.groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").agg(F.count("*").alias("c"))
-    cross = cross.where(F.col("c") >= least).drop("c")
+    cross = cross.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "na", "nb").distinct()
+    cross = stored(_sharing(cross, prefixes, percent))
     final = components(first.unionByName(_linked(cross, segments, percent)))
 
     named = classes.select("node", "low").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
