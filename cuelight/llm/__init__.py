@@ -7,6 +7,7 @@ def _load():
         line_windows,
         mixing,
         ngram_join,
+        order_minhash,
         pieces,
         substring,
         tables,
