@@ -11,6 +11,7 @@ def _load():
         pieces,
         substring,
         tables,
+        toxicity,
     )
 
     return tables
