@@ -3,6 +3,7 @@
 
 def _load():
     from cuelight.llm import (  # noqa: F401
+        html_blocks,
         line_quality,
         line_windows,
         mixing,
