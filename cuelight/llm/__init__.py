@@ -4,6 +4,7 @@
 def _load():
     from cuelight.llm import (  # noqa: F401
         html_blocks,
+        licenses,
         line_quality,
         line_windows,
         mixing,

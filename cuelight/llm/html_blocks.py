@@ -166,41 +166,66 @@ def features(page: list[Block]) -> np.ndarray:
 ARTICLE = re.compile(r"(<(article|main)\b[^>]*>)(.*?)(</\2>|<footer|\Z)", re.S | re.I)
 
 
+def _dress(text: str, tag: str) -> str:
+    """A text of an article in other markup; headings and list items are shorter."""
+    words = text.split(" ")
+    if tag == "h2":
+        return f"<h2>{html.escape(' '.join(words[:5]))}</h2><p>{html.escape(' '.join(words[5:]))}</p>"
+    if tag == "li":
+        step = max(3, len(words) // 3)
+        return "<ul>" + "".join(f"<li>{html.escape(' '.join(words[i : i + step]))}</li>" for i in range(0, len(words), step)) + "</ul>"
+    if tag == "td":
+        half = max(1, len(words) // 2)
+        return f"<table><tr><td>{html.escape(' '.join(words[:half]))}</td><td>{html.escape(' '.join(words[half:]))}</td></tr></table>"
+    return f"<{tag}>{html.escape(text)}</{tag}>"
+
+
 def labelled(page: str, number: int) -> list[str]:
     """Training pages of one page whose markup names the article: parts carry ``data-label`` 1 (article) or 0."""
     found = ARTICLE.search(page)
-    if not found:
+    own = blocks(found[3]) if found else []
+    if not own:
         return []
     before, body, after = page[: found.start()], found[3], page[found.end(3) :]
     before = re.sub(r"^.*?<body[^>]*>", "", before, flags=re.S | re.I)
-    paragraphs = [b.text for b in blocks(body) if len(b.text) > 40] or ["."]
+    paragraphs = [b.text for b in own if len(b.text) > 40] or ["."]
     say = lambda k: html.escape(paragraphs[(number + k) % len(paragraphs)][: 60 + 90 * (k % 4)])
     rng = np.random.default_rng(number)
     pick = lambda *ways: ways[int(rng.integers(len(ways)))]
     out = [f'<body><div data-label="0">{before}</div>{found[1]}<div data-label="1">{body}</div></{found[2]}><div data-label="0">{after}</div>']
     for _ in range(3):
+        side, talk, head = pick("aside", "div"), pick("section", "div"), pick("header", "div")
         extra = {
-            "side": f'<{pick("aside", "div")} class="{pick("sidebar", "related", "widget", "c3")}"><h3>{say(1)[:20]}</h3><ul><li><a href="/a">{say(2)[:30]}</a></li>'
-                    f'<li><a href="/b">{say(3)[:30]}</a></li></ul><p>{say(4)}</p></{pick("aside", "div")}>',
+            "side": f'<{side} class="{pick("sidebar", "related", "widget", "c3")}"><h3>{say(1)[:20]}</h3><ul><li><a href="/a">{say(2)[:30]}</a></li>'
+                    f'<li><a href="/b">{say(3)[:30]}</a></li></ul><p>{say(4)}</p></{side}>',
             "notice": f'<div class="{pick("cookie-notice", "consent", "alert notice", "newsletter")}"><p>{say(5)}</p><button>OK</button></div>',
             "advert": f'<div class="{pick("ad", "advert", "sponsored", "promo")}">{say(6)}</div>',
             "form": f"<form action='/s'><label>{say(7)[:15]}</label><input name=q><p>{say(8)}</p><button>{say(9)[:8]}</button></form>",
-            "comment": f'<{pick("section", "div")} {pick("class", "id")}="{pick("comments", "comment-list", "replies", "discussion")}"><h3>{say(10)[:20]}</h3>'
-                       f'<div class="comment"><p>{say(11)}</p></div><ul><li><p>{say(12)}</p></li></ul></section>',
-            "header": f'<{pick("header", "div class=masthead")}><p>{say(13)[:40]}</p><h1>{say(14)[:20]}</h1></header>',
+            "comment": f'<{talk} {pick("class", "id")}="{pick("comments", "comment-list", "replies", "discussion")}"><h3>{say(10)[:20]}</h3>'
+                       f'<div class="comment"><p>{say(11)}</p></div><ul><li><p>{say(12)}</p></li></ul></{talk}>',
+            "header": f'<{head} class="{pick("masthead", "site-header", "top")}"><p>{say(13)[:40]}</p><h1>{say(14)[:20]}</h1></{head}>',
         }
         on = [v for v in extra.values() if rng.random() < 0.6]
         cut = int(rng.integers(len(on) + 1))
-        opened = pick("<article>", "<main>", "<main><article>", '<div class="content">', '<div id="main-content">', '<div class="post-body">', '<section class="entry">', "<div>", '<div class="c1"><div class="c2">')
+        opened, closed = pick(("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
+                              ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body">', "</div>"),
+                              ('<section class="entry">', "</section>"), ("<div>", "</div>"), ('<div class="c1"><div class="c2">', "</div></div>"))
         inside = pick("", extra["advert"], extra["comment"], extra["side"], extra["notice"])
+        parts = [f'<h1>{html.escape(own[0].text)}</h1>' if own[0].stack and own[0].stack[-1][0] in ("h1", "h2") else _dress(own[0].text, "p")]
+        plain = pick("p", "p", "p", "div", "td")
+        for b in own[1:]:
+            parts.append(_dress(b.text, pick(plain, plain, plain, plain, "li", "td", "blockquote", "h2", "pre", "dd")))
+        for k in sorted(rng.integers(1, len(parts) + 1, int(rng.integers(3))), reverse=True):
+            parts.insert(int(k), f'<div data-label="0">{pick(extra["advert"], extra["form"], extra["notice"], extra["side"])}</div>')
+        body = "".join(parts)
         top = before if rng.random() < 0.5 else re.sub(r"<(/?)(?:nav|header|aside)\b", r"<\1div", before)
         end = after if rng.random() < 0.5 else re.sub(r"<(/?)footer\b", rf'<\1div class="{pick("footer", "legal", "c9")}"', after)
-        out.append(f'<body><div data-label="0">{top}{"".join(on[:cut])}</div>{opened}<div data-label="1">{body}</div><div data-label="0">{inside}</div></main></article></section>'
-                   f'</div></div><div data-label="0">{"".join(on[cut:])}{end}</div>')
+        out.append(f'<body><div data-label="0">{top}{"".join(on[:cut])}</div>{opened}<div data-label="1">{body}</div><div data-label="0">{inside}</div>{closed}'
+                   f'<div data-label="0">{"".join(on[cut:])}{end}</div>')
     return out
 
 
-def fit(pages: DataFrame, max_pages: int = 300, max_blocks: int = 80, rounds: int = 120) -> Crf:
+def fit(pages: DataFrame, max_pages: int = 400, max_blocks: int = 60, rounds: int = 200) -> Crf:
     """Train on at most ``max_pages`` pages that have an article element and at most ``max_blocks`` blocks, those of the least hashes of
     their ids."""
     named = pages.where(F.rlike("html", F.lit(r"(?i)<(article|main)\b"))).where("page_id is not null")
@@ -221,7 +246,7 @@ def fit(pages: DataFrame, max_pages: int = 300, max_blocks: int = 80, rounds: in
     pairs = sorted(zip(got["x"].to_pylist(), got["y"].to_pylist()))
     if not pairs:
         return train([np.zeros((0, WIDTH))], [np.zeros(0)])
-    return train([np.array(x).reshape(-1, WIDTH) for x, _ in pairs], [np.array(y) for _, y in pairs], rounds=rounds)
+    return train([np.array(x).reshape(-1, WIDTH) for x, _ in pairs], [np.array(y) for _, y in pairs], rounds=rounds, ridge=1e-4)
 
 
 def main_texts(model: Crf):
