@@ -27,6 +27,7 @@ from cuelight.llm.words import Words, grams, list_array, slices, U
 
 BIN_BITS = 18
 SHARED = 8
+FILTER_BITS = 1 << 23
 LOW = U(64 - BIN_BITS)
 
 
@@ -120,17 +121,39 @@ def _fits(percent, nx, ny, px, py) -> F.Column:
 
 
 def _sharing(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes share as many n-grams as those of linked sets do."""
+    """The pairs whose prefixes share as many n-grams as those of linked sets do: all others that two sets have in common lie after the
+    prefix of the one whose prefix ends first."""
     left, right = (prefixes.select(F.col("node").alias(s), F.col("grams").alias("g" + s)) for s in "ab")
-    least = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.least("na", "nb") * (percent / 100) ** 2)))
-    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("ga", "gb")) >= least).drop("ga", "gb")
+    rest = lambda c: F.greatest(F.ceil(F.col(c) * percent / 100) - SHARED, F.lit(0))
+    most = F.size(F.array_intersect("ga", "gb")) + F.greatest(rest("na"), rest("nb"))
+    return pairs.join(left, "a").join(right, "b").where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).drop("ga", "gb")
+
+
+def _maybe(ids: DataFrame):
+    """A test that holds for every hash in ``ids(h)`` and for few others: one bit for each of 2^23 remainders, 1 MB for any input.
+    Beyond about as many ids it holds for all and spares nothing."""
+    at = ids.select((F.pmod("h", F.lit(FILTER_BITS)) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS, bool)
+    for p in parts:
+        block = np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little")
+        bits[(p["bucket"] - 1) * len(block) : p["bucket"] * len(block)] = block
+    sent = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        at = h.to_numpy() % FILTER_BITS
+        return pa.array((sent.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
+
+    return test
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap, summed over the fragments, reaches the threshold."""
+    """The pairs (a, b, na, nb) whose overlap, summed over the fragments, reaches the threshold. Neither side has a bounded size, so
+    neither is broadcast."""
     left = segments.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
     right = segments.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part"))
+    partial = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part"))
     partial = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))  # once, though a row may be repeated
     both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
@@ -156,8 +179,10 @@ def _components(docs: DataFrame, n: int, percent: int, fragments: int) -> tuple:
     live = stored(live.join(alive, "node"))
 
     wanted = live.select("node").distinct().join(classes.select("node", "low"), "node")
+    wanted = stored(wanted)
+    near = texts.where(_maybe(wanted.select(F.xxhash64("low").alias("h")))(F.xxhash64("doc_id")))
     segments = stored(_segments(
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["low"])).select("node", "text"), order, n))
+        near.join(wanted, near["doc_id"].eqNullSafe(wanted["low"])).select("node", "text"), order, n))
 
     hub = live.groupBy("gram").agg(F.min(F.struct("at", "n", "node")).alias("h"))
     hubs = live.join(hub, "gram").select(
