@@ -34,6 +34,23 @@ def G(expr: str) -> str:
     return f"(floor(({expr}) * 1e9 + 0.5e0) / 1e9)"
 
 
+def stripped(sql: str) -> str:
+    """``trim(x)`` of the SQL as the removal of all white space at the ends, not of blanks only."""
+    out, at = [], 0
+    for m in re.finditer(r"(?<![\w.])trim\(", sql):
+        if m.start() < at:
+            continue
+        depth, end, quoted = 1, m.end(), False
+        while depth:
+            c = sql[end]
+            quoted ^= c == "'"
+            depth += 0 if quoted else (c == "(") - (c == ")")
+            end += 1
+        out += [sql[at : m.start()], "trim(", stripped(sql[m.end() : end - 1]), ", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def doubles(sql: str) -> str:
     """Decimal literals of the SQL as doubles."""
     return re.sub(r"(?<![\w.'%\\])(\d+\.\d+)(?![\de.'])", r"\1e0", sql)
@@ -45,7 +62,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = stripped(with_views(sql))
         return fn
 
     return add
@@ -374,6 +391,7 @@ def _bm25_views() -> None:
         VIEWS[f"{name}_ranked"] = f"""
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_bm25"""
         VIEWS[f"{name}_hits"] = f"SELECT * FROM {name}_ranked WHERE rank <= 300"
+        VIEWS[f"{name}_deep"] = f"SELECT * FROM {name}_ranked WHERE rank <= 400"
 
 
 _bm25_views()

@@ -10,6 +10,7 @@ from cuelight.catalog.ranking import SQL_EVIDENCE, SQL_RAW, corpus, full_queries
 from cuelight.catalog.relational import SQL_RERANK, categories, reranked, scored
 from cuelight.functions import lexicon as lx
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.operators import dense as D
 from cuelight.operators import evaluation as E
 from cuelight.operators import lexical as L
@@ -136,9 +137,9 @@ def _(t):
 
 
 @query("ev_keyword_presence", f"""
-WITH {SQL_RERANK} SELECT r.query_id, r.rank, (len(list_filter({sql_tokens('q.text')}[1:3], lambda k: contains(lower(r.text), k))) > 0)::INT::BIGINT AS found FROM rr r JOIN lex_queries q USING (query_id) WHERE r.rank <= 5""")
+WITH {SQL_RERANK} SELECT r.query_id, r.rank, (len(list_filter({sql_tokens('q.text')}, lambda k: contains(lower(r.text), k))) > 0)::INT::BIGINT AS found FROM rr r JOIN lex_queries q USING (query_id) WHERE r.rank <= 5""")
 def _(t):
-    r = reranked(t, 5).withColumn("kw", F.slice(T.tokenize("query"), 1, 3))
+    r = reranked(t, 5).withColumn("kw", T.tokenize("query"))
     return r.select("query_id", big("rank"), F.exists("kw", lambda k: F.contains(F.lower("text"), k)).cast("int").cast(B).alias("found"))
 
 
@@ -203,7 +204,7 @@ def _(t):
 def _generated(t, left="[SEGMENT ", mid="]\n", right=""):
     """Per conversation: its turns as a generated transcript (system turns are missing, some words change)."""
     c = t["conversations"].withColumn("video_id", F.concat(F.lit("c"), "conv_id"))
-    text = F.replace(F.trim("text"), F.lit("the"), F.lit("thee"))
+    text = F.replace(strip("text"), F.lit("the"), F.lit("thee"))
     block = F.when(F.col("role") != "system", F.concat(F.lit(left), F.col("turn"), F.lit(mid), text, F.lit(right.replace("%", "")) if "%" not in right else F.format_string(right, "turn")))
     out = c.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("_b"), F.count(F.lit(1)).alias("n_expected"))
     return out.select("video_id", "n_expected", F.array_join(F.transform("_b", lambda x: x["b"]), "\n\n").alias("raw_output")), c.select(
@@ -254,7 +255,7 @@ def _(t):
     d = t.scratch()
     s = t.segments.withColumn("end_sec", F.when(F.col("role") != "system", F.col("end_sec")))
     raw = s.select("video_id", "segment_id", F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), "text")
-    fine = s.filter(F.col("video_id").isin("v0", "v3", "v6", "v9")).select("video_id", "segment_id", "start_sec", "end_sec", F.concat(F.lit("refined "), F.trim("text")).alias("refined_text"), "text")
+    fine = s.filter(F.col("video_id").isin("v0", "v3", "v6", "v9")).select("video_id", "segment_id", "start_sec", "end_sec", F.concat(F.lit("refined "), strip("text")).alias("refined_text"), "text")
     raw.write.partitionBy("video_id").json(f"{d}/raw")
     fine.write.partitionBy("video_id").json(f"{d}/refined")
     out = RD.read_transcripts(t.spark, f"{d}/refined", f"{d}/raw", multiline=False)
@@ -279,7 +280,7 @@ def _(t):
     return RD.read_frame_map(t.spark, f"{d}/map").select("video_id", "n", six("pts_time"), "fps", "frame_idx", "row_no")
 
 
-@query("src_objects", f"SELECT event_id::VARCHAR AS keyframe, event_type AS entity, {R('x')} AS score FROM (SELECT event_id, event_type, unnest([value / 100.0, value / 200.0]) AS x FROM events) WHERE event_type <> 'error' OR x = x")
+@query("src_objects", f"SELECT event_id::VARCHAR AS keyframe, event_type AS entity, {R('x')} AS score FROM (SELECT event_id, event_type, unnest([value / 100.0, value / 200.0]) AS x FROM events) WHERE x IS NOT NULL")
 def _(t):
     v = F.col("value")
     raw = t["events"].select(
@@ -384,7 +385,8 @@ def _stream(t, name):
     return t.spark.readStream.schema(t[name].schema).parquet(f"{t.dir}/{name}.parque[t]")
 
 
-@query("inc_manifest")
+@query("inc_manifest", """
+SELECT CASE WHEN length(text) < 40 THEN 'failed' WHEN trim(text) = '' THEN 'completed_empty' ELSE 'completed' END AS status, count(*) AS count FROM documents GROUP BY 1""")
 def _(t):
     from cuelight.streaming.jobs import process_pending
 
@@ -392,21 +394,21 @@ def _(t):
     items = _stream(t, "documents").select(F.col("doc_id").cast("string").alias("video_id"), "text")
 
     def work(df):
-        status = F.when(F.length("text") < 40, "failed").when(F.trim("text") == "", "completed_empty").otherwise("completed")
+        status = F.when(F.length("text") < 40, "failed").when(strip("text") == "", "completed_empty").otherwise("completed")
         return df.select("video_id", T.word_count("text").alias("words"), status.alias("status"))
 
     process_pending(items, f"{d}/out", f"{d}/manifest", f"{d}/ck", work).awaitTermination()
     return t.spark.read.parquet(f"{d}/manifest").groupBy("status").count()
 
 
-@query("inc_append_index")
+@query("inc_append_index", "SELECT 'v' || label AS video_id, vec_id AS kf_id, row_number() OVER (ORDER BY 'v' || label, vec_id) - 1 AS global_idx FROM embeddings")
 def _(t):
     from cuelight.streaming.jobs import append_vectors
 
     d = t.scratch()
     v = _stream(t, "embeddings").select(F.concat(F.lit("v"), "label").alias("video_id"), F.col("vec_id").alias("pos"), F.col("vec_id").alias("kf_id"), "embedding")
     append_vectors(v, d, f"{d}/ck", 16).awaitTermination()
-    return t.spark.read.parquet(f"{d}/vectors").select("video_id", "kf_id", "cell", "global_idx")
+    return t.spark.read.parquet(f"{d}/vectors").select("video_id", "kf_id", "global_idx")
 
 
 @query("inc_shard", "SELECT video_id, (row_number() OVER (ORDER BY video_id) - 1) % 4 AS shard FROM (SELECT DISTINCT 'd' || doc_id AS video_id FROM documents)")

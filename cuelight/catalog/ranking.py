@@ -249,7 +249,13 @@ def _(t):
 
 @query("vc_ivf_topk")
 def _(t):
-    return D.ivf_topk(t.queries, t.keyframes, 20, exact_below=100).select("query_id", "kf_id", big("rank"), six("dense"))
+    return D.ivf_topk(t.queries, t.keyframes, 20).select("query_id", "kf_id", big("rank"), six("dense"))
+
+
+@query("vc_ivf_all_cells", f"SELECT query_id, kf_id, rank::BIGINT AS rank, {R('score')} AS dense FROM ({_SCORED}) WHERE rank <= 20")
+def _(t):
+    # every cell probed: the exact result
+    return D.ivf_topk(t.queries, t.keyframes, 20, n_list=16, n_probe=16).select("query_id", "kf_id", big("rank"), six("dense"))
 
 
 @query("vc_event_mean_rank", f"""
@@ -623,8 +629,8 @@ def _(t):
 
 
 @query("sq_event_marks", """
-SELECT user_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS frames FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'purchase') GROUP BY 1""")
+SELECT user_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS frames FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY 1""")
 def _(t):
     # frames of one user, repeats dropped before they are gathered
-    e = t["events"].filter("event_type = 'purchase'").select("user_id", F.get_json_object("props", "$.k").cast(B).alias("k")).distinct()
+    e = t["events"].select("user_id", F.get_json_object("props", "$.k").cast(B).alias("k")).distinct()
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ",").alias("frames"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuelight.catalog.base import G, R, Tables, query, r6, sql_dot, sql_tokens
 from cuelight.functions import numeric as N
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.operators import dense as D
 from cuelight.operators import evaluation as E
 from cuelight.operators import fusion as X
@@ -22,7 +23,7 @@ B = "bigint"
 
 @query("flt_nonblank", "SELECT doc_id, text FROM (SELECT doc_id, regexp_replace(text, '[a-zA-Z]', '', 'g') AS text FROM documents) WHERE trim(text) <> ''")
 def _(t: Tables):
-    return t["documents"].select("doc_id", F.regexp_replace("text", "[a-zA-Z]", "").alias("text")).filter(F.trim("text") != "")
+    return t["documents"].select("doc_id", F.regexp_replace("text", "[a-zA-Z]", "").alias("text")).filter(strip("text") != "")
 
 
 @query("flt_confidence", """
@@ -156,10 +157,10 @@ def _(t):
     return I.clip_context(_clips(t), s, ["query_id"]).select("query_id", "video_id", "segment_id", F.col("overlaps").cast("int").cast(B).alias("overlaps"))
 
 
-_LEX_SEG = """SELECT h.query_id, h.rank, d.video_id, d.start_sec, d.end_sec, d.text, h.score FROM doc_hits h JOIN docs d USING (doc_id)"""
+_LEX_SEG = """SELECT h.query_id, h.rank, d.video_id, d.start_sec, d.end_sec, d.text, h.score FROM doc_deep h JOIN docs d USING (doc_id)"""
 _SEM_SEG = f"""SELECT query_id, video_id, start_sec, end_sec, text, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seg_key) AS rank FROM (
-  SELECT q.query_id, s.seg_key, s.video_id, s.start_sec, s.end_sec, s.text, {sql_dot('q.embedding', 's.embedding')} AS score FROM text_vectors q, segment_vectors s)) WHERE rank <= 300"""
+  SELECT q.query_id, s.seg_key, s.video_id, s.start_sec, s.end_sec, s.text, {sql_dot('q.embedding', 's.embedding')} AS score FROM text_vectors q, segment_vectors s)) WHERE rank <= 400"""
 SQL_LISTS = f"""lexh AS ({_LEX_SEG}), semh AS ({_SEM_SEG}),
 lexn AS (SELECT *, score / greatest(1e-6, max(score) OVER (PARTITION BY query_id)) AS s FROM lexh),
 semn AS (SELECT *, (score - min(score) OVER (PARTITION BY query_id)) / greatest(1e-6, max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) AS s FROM semh),
@@ -172,10 +173,10 @@ uni AS (SELECT query_id, video_id, start_cs, end_cs, coalesce(l.s, 0.0) AS bm25,
   FROM lexk l FULL JOIN semk m USING (query_id, video_id, start_cs, end_cs))"""
 
 
-def lists(t):
-    """The lexical and the semantic hit list of every benchmark text over the segments."""
-    lex = L.bm25(t.lex_queries, t.docs).join(t.docs, "doc_id")
-    sem = D.topk(t.text_vectors, t.segment_vectors, 300, "seg_key").select("query_id", "seg_key", F.col("dense").alias("score"), "rank").join(
+def lists(t, top_k: int = 200):
+    """The lexical and the semantic hit list of every benchmark text over the segments, twice as deep as the result."""
+    lex = L.bm25(t.lex_queries, t.docs, 2 * top_k).join(t.docs, "doc_id")
+    sem = D.topk(t.text_vectors, t.segment_vectors, 2 * top_k, "seg_key").select("query_id", "seg_key", F.col("dense").alias("score"), "rank").join(
         t.segment_vectors.drop("embedding"), "seg_key")
     cols = ["query_id", "rank", "video_id", "start_sec", "end_sec", "text", "score"]
     return lex.select(*cols), sem.select(*cols)

@@ -8,6 +8,7 @@ from cuelight.catalog.base import G, R, Tables, query, r6, sql_dot, sql_list, sq
 from cuelight.functions import lexicon as lx
 from cuelight.functions import numeric as N
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 
 
 @query("fn_tokenize", f"""
@@ -27,7 +28,7 @@ def _(t):
 SELECT doc_id, array_to_string(CASE WHEN len(kept) = 0 THEN toks ELSE kept END, ' ') AS tokens FROM (
   SELECT doc_id, toks, list_filter(toks, lambda t: NOT list_contains({sql_list(lx.STOPWORDS)}, t)) AS kept FROM lex_tokens)""")
 def _(t):
-    d = t["documents"].filter(F.trim("text") != "")
+    d = t["documents"].filter(strip("text") != "")
     return d.select("doc_id", F.array_join(T.drop_stopwords(T.tokenize("text")), " ").alias("tokens"))
 
 

@@ -4,15 +4,16 @@ These are fixed values: results are only comparable when they are the same on
 both sides, so they are stated as plain text.
 """
 
+# The characters that count as white space at the ends of a text.
+WHITE = " \t\n\r\f\x0b"
+
 # Query stopwords.
-STOPWORDS = (
-    "là của và có trong được cho với các ở này "
-    "đã để những khi ra đến về như tại từ vào "
-    "bị bởi lại thì mà cũng đang sẽ phải qua "
-    "sau trước theo gì ai nào đâu đây đó hãy "
-    "một hai ba bốn năm sáu bảy tám chín mười "
-    "nhiều rất quá lắm hơn nhất như_thế_nào tại_sao"
-).split()
+STOPWORDS = [
+    "là", "của", "và", "có", "trong", "được", "cho", "với", "các", "ở", "này", "đã", "để", "những", "khi", "ra",
+    "đến", "về", "như", "tại", "từ", "vào", "bị", "bởi", "lại", "thì", "mà", "cũng", "đang", "sẽ", "phải", "qua",
+    "sau", "trước", "theo", "gì", "ai", "nào", "đâu", "đây", "đó", "hãy", "một", "hai", "ba", "bốn", "năm", "sáu",
+    "bảy", "tám", "chín", "mười", "nhiều", "rất", "quá", "lắm", "hơn", "nhất", "như_thế_nào", "tại_sao",
+]
 
 # Fallback dictionary, in the order in which matches are emitted.
 PHRASE_DICTIONARY = [

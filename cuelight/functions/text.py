@@ -14,6 +14,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def strip(text) -> Column:
+    """Without white space at either end: blanks, tabs, line ends and feeds."""
+    return F.btrim(_c(text), F.lit(lx.WHITE))
+
+
 def _lits(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -36,9 +41,9 @@ def drop_stopwords(tokens) -> Column:
 
 
 def clean_query(text) -> Column:
-    out = F.trim(_c(text))
+    out = strip(_c(text))
     for pattern in lx.QUERY_BOILERPLATE:
-        out = F.trim(F.regexp_replace(out, "(?iuU)" + pattern, ""))
+        out = strip(F.regexp_replace(out, "(?iuU)" + pattern, ""))
     return out
 
 
@@ -66,7 +71,7 @@ def subscenes(text) -> Column:
     """Scene descriptions inside a query: parts of at least 12 characters between separators."""
     joints = "|".join(lx.SCENE_CONNECTIVES)
     parts = F.split(_c(text), rf"(?iuU)[.\n;]|\b(?:{joints})\b")
-    trimmed = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^[,:;\-\s]+|[,:;\-\s]+$", "")))
+    trimmed = F.transform(parts, lambda p: strip(F.regexp_replace(p, r"^[,:;\-\s]+|[,:;\-\s]+$", "")))
     return F.filter(trimmed, lambda p: (F.length(p) >= 12) & ~F.lower(p).isin(lx.SCENE_STOP_PHRASES))
 
 
@@ -116,7 +121,7 @@ def query_id(path) -> Column:
 
 
 def base_name(path) -> Column:
-    return F.substring_index(F.trim(_c(path).cast("string")), "/", -1)
+    return F.substring_index(strip(_c(path).cast("string")), "/", -1)
 
 
 def safe_video_id(path) -> Column:
@@ -130,7 +135,7 @@ def file_stem(path) -> Column:
 
 
 def csv_field(value, max_len: int = 100) -> Column:
-    flat = F.trim(F.translate(F.coalesce(_c(value), F.lit("")), "\r\n", "  "))
+    flat = strip(F.translate(F.coalesce(_c(value), F.lit("")), "\r\n", "  "))
     cut = F.substring(flat, 1, max_len)
     quoted = F.concat(F.lit('"'), F.replace(cut, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(cut.rlike('[,"]'), quoted).otherwise(cut)
@@ -138,7 +143,7 @@ def csv_field(value, max_len: int = 100) -> Column:
 
 def segment_text(refined, cleaned, text) -> Column:
     """First of the three that is present, trimmed."""
-    return F.trim(F.coalesce(_c(refined), _c(cleaned), _c(text), F.lit("")))
+    return strip(F.coalesce(_c(refined), _c(cleaned), _c(text), F.lit("")))
 
 
 def segment_start(start_sec, start) -> Column:
@@ -166,7 +171,7 @@ def word_count(text) -> Column:
 
 def strip_banned_prefixes(text) -> Column:
     """Without the banned prefixes, one after the other; null when under six characters to begin with."""
-    raw = F.trim(_c(text))
+    raw = strip(_c(text))
     out = raw
     for prefix in lx.BANNED_PREFIXES:
         rest = F.regexp_replace(F.substring(out, len(prefix) + 1, 1 << 30), r"^[ :,.\-]+|[ :,.\-]+$", "")

@@ -341,17 +341,13 @@ def ivf_cell_count(n_rows: int, n_list: int = 100) -> int:
 
 
 def ivf_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, n_list: int = 100, n_probe: int = 8, exact_below: int = 2048,
-    key: str = "kf_id",
+    queries: DataFrame, corpus: DataFrame, k: int, n_list: int = 100, n_probe: int = 8, key: str = "kf_id",
 ) -> DataFrame:
     """Approximate top ``k``: only the ``n_probe`` cells nearest to a query are scored.
 
-    A corpus under ``exact_below`` rows is searched exactly.
+    The same at every size; :func:`topk` is the exact search, and ``n_probe >= n_list`` gives its result.
     """
-    n_rows = corpus.count()
-    if n_rows < exact_below:
-        return topk(queries, corpus, k, key).select("query_id", key, "dense", "rank")
-    celled, model = ivf_cells(corpus, ivf_cell_count(n_rows, n_list), key)
+    celled, model = ivf_cells(corpus, ivf_cell_count(corpus.count(), n_list), key)
     return probe_cells(queries, celled, np.array(model.clusterCenters()), k, n_probe, key)
 
 
@@ -372,24 +368,25 @@ def probe_cells(queries: DataFrame, celled: DataFrame, centers: np.ndarray, k: i
 
 
 def near_duplicates(
-    corpus: DataFrame, k: int = 5, key: str = "kf_id", block_rows: int = 2000, n_list: int = 1024, n_probe: int = 8,
-    exact_below: int = 50_000,
+    corpus: DataFrame, k: int = 5, key: str = "kf_id", block_rows: int = 2000, mode: str = "exact", n_list: int = 1024, n_probe: int = 8,
 ) -> DataFrame:
     """The ``k`` nearest other rows of every row, ties by key.
 
-    A small corpus is one cell and the result is exact; a larger one is cut into
-    k-means cells and a row meets the ``n_probe`` cells nearest to it. A cell is
+    ``mode="exact"`` compares all rows, at any size. ``mode="cells"`` cuts the corpus
+    into k-means cells and a row meets the ``n_probe`` cells nearest to it, so
+    neighbours in other cells are missed. A cell is
     compared in blocks of about ``block_rows`` by ``block_rows`` (a matrix
     product each), so a crowded cell becomes many tasks of bounded size, and
     only ``k`` rows per row and block leave a task.
     """
-    n_rows = corpus.count()
+    if mode not in ("exact", "cells"):
+        raise ValueError(f"mode is exact or cells, not {mode}")
     rows = corpus.select(F.col(key).alias("_key"), N.as_doubles("embedding").alias("_v"))
-    if n_rows < exact_below:
+    if mode == "exact":
         homes = rows.withColumn("cell", F.lit(0))
         visits = homes
     else:
-        celled, model = ivf_cells(corpus, ivf_cell_count(n_rows, n_list), key)
+        celled, model = ivf_cells(corpus, ivf_cell_count(corpus.count(), n_list), key)
         centers = np.array(model.clusterCenters())  # n_list vectors at most
         homes = celled.select(F.col(key).alias("_key"), N.as_doubles("embedding").alias("_v"), "cell")
         visits = _nearest_cells(rows, centers, n_probe)

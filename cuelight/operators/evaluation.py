@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelight.functions.text import strip
+
 CUTOFFS = (1, 5, 20, 50, 100)
 
 
@@ -47,10 +49,10 @@ def sequences(runs: DataFrame, truth: DataFrame) -> DataFrame:
 def answers(runs: DataFrame, truth: DataFrame) -> DataFrame:
     """Frame in the interval and the normalised answer among the accepted ones."""
     t = truth.select("query_id", F.col("video_id").alias("_v"), "s", "e", F.col("answers").alias("_a"))
-    accepted = F.transform("_a", lambda a: F.lower(F.trim(a)))
+    accepted = F.transform("_a", lambda a: F.lower(strip(a)))
     hit = (
         (F.col("video_id") == F.col("_v")) & F.col("frame_idx").between(F.col("s"), F.col("e"))
-        & F.array_contains(accepted, F.lower(F.trim(F.coalesce("answer", F.lit("")))))
+        & F.array_contains(accepted, F.lower(strip(F.coalesce("answer", F.lit("")))))
     )
     scored = runs.join(t, "query_id").withColumn("r", F.when(hit, 1.0).otherwise(0.0))
     return _at_cutoffs(scored, truth)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
+from cuelight.functions.text import strip
 from cuelight.operators.ordered import top_k
 
 
@@ -82,7 +83,7 @@ def rerank(candidates: DataFrame, scorer, k: int, tie: str = "segment_id") -> Da
     A null score means that the scorer failed for the row; when it failed for a
     whole query its candidates keep their dense order and score.
     """
-    q, t = F.trim("query"), F.trim("text")
+    q, t = strip("query"), strip("text")
     scored = candidates.withColumn("_r", scorer(q, t).cast("double"))
     w = Window.partitionBy("query_id")
     failed = F.max(F.col("_r").isNull().cast("int")).over(w) == 1
@@ -147,7 +148,7 @@ def exact_keyword_scores(keywords: DataFrame, docs: DataFrame, keyframes: DataFr
     from cuelight.operators.intervals import point_in_interval
     from cuelight.operators.lexical import phrase_hits
 
-    usable = keywords.filter((F.trim("keyword") != "") & (F.col("weight") > 0))
+    usable = keywords.filter((strip("keyword") != "") & (F.col("weight") > 0))
     hits = phrase_hits(usable, docs)
     return (
         point_in_interval(hits, keyframes.select("video_id", "kf_id", "pts_time"), window)
@@ -222,7 +223,7 @@ def semantic_keyword_scores(
     from cuelight.operators import lexical as L
     from cuelight.operators.intervals import best_per_point, point_in_interval
 
-    usable = keywords.filter((F.trim("keyword") != "") & (F.col("weight") > 0))
+    usable = keywords.filter((strip("keyword") != "") & (F.col("weight") > 0))
     keyed = usable.withColumn("_k", F.to_json(F.struct("query_id", "kw_no")))
     vectors = keyed.select(F.col("_k").alias("query_id"), "embedding")
     dense = D.all_scores(vectors, keyframes).join(D.ranges(vectors, keyframes), "query_id").select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.functions.numeric import on_grid
 from cuelight.operators.ordered import top_k
 
@@ -28,7 +29,7 @@ class Index:
 def tokens_of(docs: DataFrame, doc: str = "doc_id", tokenizer=T.tokenize, keep=()) -> DataFrame:
     """doc, tokens, dl; rows without text are no documents."""
     return (
-        docs.filter(F.trim("text") != "")
+        docs.filter(strip("text") != "")
         .select(doc, *keep, tokenizer("text").alias("tokens"))
         .withColumn("dl", F.size("tokens").cast("bigint"))
     )
@@ -158,9 +159,9 @@ def phrase_hits(keywords: DataFrame, docs: DataFrame, text: str = "text") -> Dat
             return docs.withColumn("_phrase", F.explode(F.filter(hits.cast("array<string>"), lambda p: p.isNotNull())))
         return docs.withColumn("_phrase", F.explode(_finder(phrases)(F.lower(F.col(text)))))
 
-    wanted = keywords.select(F.lower(F.trim("keyword")).alias("_phrase")).filter("_phrase != ''").distinct()
+    wanted = keywords.select(F.lower(strip("keyword")).alias("_phrase")).filter("_phrase != ''").distinct()
     found = in_passes(wanted, "_phrase", 20_000, one_pass)
-    return keywords.withColumn("_phrase", F.lower(F.trim("keyword"))).join(found, "_phrase").drop("_phrase")
+    return keywords.withColumn("_phrase", F.lower(strip("keyword"))).join(found, "_phrase").drop("_phrase")
 
 
 def _finder(phrases: list[str]):

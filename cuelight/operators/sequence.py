@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
+from cuelight.functions.text import strip
 from cuelight.operators.ordered import prefix_max, running_sum, time_chunk, top_k, with_position, with_previous
 from cuelight.session import reliable
 
@@ -54,7 +55,8 @@ def context_windows(
 
     candidates: keys, rank, video_id, segment_id, start_sec, end_sec, ...
     segments: with ``position``, start_frame, end_frame.
-    A candidate meets 2 * reach + 1 positions by an equi-join.
+    A candidate meets 2 * reach + 1 positions by an equi-join. A candidate whose
+    segment is not in the table is its own window if the table has its video.
     """
     id_cols = [*keys, "rank"]
     anchors = candidates.join(
@@ -65,7 +67,7 @@ def context_windows(
         F.explode(F.sequence(F.col("position") - reach, F.col("position") + reach)).alias("position"),
     )
     piece = F.struct(
-        "start_sec", "position", "end_sec", "start_frame", "end_frame", F.trim("text").alias("text")
+        "start_sec", "position", "end_sec", "start_frame", "end_frame", strip("text").alias("text")
     )
     gathered = (
         visits.join(segments, ["video_id", "position"])
@@ -78,13 +80,21 @@ def context_windows(
         pause = x["start_sec"] - before > max_gap
         return F.when(pause, F.concat(F.format_string("... [%.1fs] ... ", x["start_sec"]), x["text"])).otherwise(x["text"])
 
-    stitched = F.trim(F.regexp_replace(F.array_join(F.transform(w, say), " "), r"\s+", " "))
+    stitched = strip(F.regexp_replace(F.array_join(F.transform(w, say), " "), r"\s+", " "))
     last = F.element_at(w, -1)
-    return gathered.select(
+    found = gathered.select(
         "_row.*", w[0]["start_sec"].alias("win_start"), last["end_sec"].alias("win_end"),
         F.size(w).cast("bigint").alias("num_segments"), w[0]["start_frame"].alias("start_frame"),
         last["end_frame"].alias("end_frame"), stitched.alias("context"),
     )
+    alone = candidates.join(segments.select("video_id", "segment_id"), ["video_id", "segment_id"], "left_anti").join(
+        segments.select("video_id").distinct(), "video_id", "left_semi")
+    own = {c: F.col(c) if c in candidates.columns else F.lit(d) for c, d in (("start_frame", 0), ("end_frame", 0), ("text", ""))}
+    kinds = dict(found.dtypes)
+    return found.unionByName(alone.select(
+        *candidates.columns, F.col("start_sec").alias("win_start"), F.col("end_sec").alias("win_end"), F.lit(1).cast("bigint").alias("num_segments"),
+        *[own[c].cast(kinds[c]).alias(c) for c in ("start_frame", "end_frame") if c not in candidates.columns],
+        strip(F.regexp_replace(F.coalesce(own["text"], F.lit("")), r"\s+", " ")).alias("context")))
 
 
 def expand_and_dedup(
@@ -114,7 +124,7 @@ def expand_and_dedup(
 
 
 def align(
-    events: DataFrame, keyframes: DataFrame, top_videos: int = 10, chunk_rows: int = 4096, max_events: int = 16,
+    events: DataFrame, keyframes: DataFrame, top_videos: int = 10, chunk_rows: int = 4096,
 ) -> DataFrame:
     """Best strictly increasing keyframes for an ordered list of event vectors, per query and video.
 
@@ -130,7 +140,7 @@ def align(
     videos = top_k(best.select("query_id", "video_id", "dense"), ["query_id"],
                    [F.desc("dense"), F.asc("video_id")], top_videos, "video_rank").select("query_id", "video_id")
     counts = events.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    n_events = min(max_events, counts.agg(F.max("_n")).head()[0] or 0)
+    n_events = counts.agg(F.max("_n")).head()[0] or 0
     sizes = keyframes.groupBy("video_id").agg(F.count(F.lit(1)).alias("_t"))
     long_enough = videos.join(counts, "query_id").join(sizes, "video_id").filter("_t >= _n").drop("_t")
     packed = events.groupBy("query_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 
 #: fixed value: the video named in a row that stands for "no prediction"
 DEFAULT_VIDEO = "L21_V001"
@@ -88,10 +89,10 @@ def validate(lines: DataFrame, mode: str | None = None) -> DataFrame:
     """
     f = F.col("_f")
     n = F.size(f)
-    video = F.trim(f[0])
-    is_int = lambda x: F.trim(x).rlike(r"^\d+$")
+    video = strip(f[0])
+    is_int = lambda x: strip(x).rlike(r"^\d+$")
     as_mode = F.lit(mode) if mode else F.when(n == 2, "kis").when(n > 3, "trake").otherwise("any")
-    frames = F.transform(F.slice(f, 2, F.greatest(F.lit(0), n - 1)), lambda x: F.trim(x).try_cast("bigint"))
+    frames = F.transform(F.slice(f, 2, F.greatest(F.lit(0), n - 1)), lambda x: strip(x).try_cast("bigint"))
     ordered = F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(frames) - 1)), lambda i: (
         F.size(frames) < 2) | (F.try_element_at(frames, i) <= F.try_element_at(frames, i + 1)))
     bad_frames = F.exists(frames, lambda x: x.isNull())
@@ -108,7 +109,7 @@ def validate(lines: DataFrame, mode: str | None = None) -> DataFrame:
         F.when((as_mode == "qa") & (n >= 3) & (F.length(F.try_element_at(f, F.lit(3))) > 100), "answer_too_long"),
         F.when((F.col("row_no") == 1) & F.lower(f[0]).rlike("video|query|id|frame"), "header_row"),
     ]
-    parsed = lines.filter(F.trim("line") != "").withColumn("_f", csv_fields(F.col("line")))
+    parsed = lines.filter(strip("line") != "").withColumn("_f", csv_fields(F.col("line")))
     per_row = parsed.select(
         "file", "row_no", F.explode(F.filter(F.array(*checks), lambda e: e.isNotNull())).alias("error")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import lexicon as lx
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.operators.ordered import time_chunk, with_position
 
 MARKED = r"(?s)\[SEGMENT\s+(\d+)\]\s*(.*?)(?=\[SEGMENT\s+\d+\]|\z)"
@@ -51,7 +52,7 @@ def validate_generated(outputs: DataFrame, originals: DataFrame) -> DataFrame:
     outputs: video_id, raw_output; originals: video_id, segment_no (0-based), text.
     reason is null for a valid transcript; the ratios and counts then hold.
     """
-    text = F.trim("text")
+    text = strip("text")
     base = originals.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"), F.sum(T.word_count(text)).alias("words")
     )
@@ -64,7 +65,7 @@ def validate_generated(outputs: DataFrame, originals: DataFrame) -> DataFrame:
     expected = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(
         F.array().cast("array<bigint>"))
     reason = (
-        F.when(F.trim(F.coalesce("raw_output", F.lit(""))) == "", "empty")
+        F.when(strip(F.coalesce("raw_output", F.lit(""))) == "", "empty")
         .when(chatty & ~F.startswith(head, F.lit("[segment 0]")), "preamble")
         .when(F.size(b) == 0, "no_markers")
         .when(F.col("ids") != expected, "id_mismatch")
@@ -108,7 +109,7 @@ def validate_tagged(outputs: DataFrame) -> DataFrame:
 
 def refined_rows(originals: DataFrame, refined: DataFrame) -> DataFrame:
     """Segments with their refined text where there is one; others pass through unchanged."""
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     return originals.join(
         refined.select("video_id", "segment_no", F.col("refined").alias("_r")), ["video_id", "segment_no"], "left"
     ).withColumn("original_text", text).withColumn("refined_text", F.coalesce("_r", text)).drop("_r", "text")
@@ -118,7 +119,7 @@ def profile_videos(segments: DataFrame, prompt_words: int = 0) -> DataFrame:
     """Per video: segments, words and the estimated tokens of its prompt (two marker words per segment)."""
     estimate = lambda w: (F.floor(w * F.lit(1.35)) + 10).cast("bigint")
     return segments.groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("n_segments"), F.sum(T.word_count(F.trim("text"))).alias("words")
+        F.count(F.lit(1)).alias("n_segments"), F.sum(T.word_count(strip("text"))).alias("words")
     ).withColumn(
         "tokens_est", estimate(F.lit(prompt_words)) + estimate(F.col("words") + F.col("n_segments") * 2)
     )
@@ -199,7 +200,7 @@ def object_scores(detections: DataFrame, min_score: float = 0.3) -> DataFrame:
     score = F.col("score").try_cast("double")
     return (
         detections.withColumn("score", score).filter(F.col("score") >= min_score)
-        .groupBy(F.lower(F.trim("entity")).alias("entity"), "video_id", "keyframe")
+        .groupBy(F.lower(strip("entity")).alias("entity"), "video_id", "keyframe")
         .agg(F.max("score").alias("score"))
     )
 
@@ -208,7 +209,7 @@ def object_lists(detections: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Detections per keyframe as an array (a picture has few)."""
     d = detections.withColumn("score", F.col("score").try_cast("double")).filter(F.col("score") >= min_score)
     return d.groupBy("video_id", "keyframe").agg(
-        F.array_sort(F.collect_list(F.struct(F.trim("entity").alias("entity"), "score"))).alias("detections"))
+        F.array_sort(F.collect_list(F.struct(strip("entity").alias("entity"), "score"))).alias("detections"))
 
 
 def entity_boost(queries: DataFrame, objects: DataFrame, keyframes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
+from cuelight.functions.text import strip
 from cuelight.operators import dense as D
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
@@ -91,7 +92,7 @@ def fixed_route(queries: DataFrame, weights: tuple[float, float] | None) -> Data
     """Feedback uses the intent's weights as they are: no evidence gate."""
     if weights is not None:
         return queries.select("query_id", F.lit(float(weights[0])).alias("w_dense"), F.lit(float(weights[1])).alias("w_speech"))
-    visual = F.trim(F.coalesce("text", F.lit(""))) == ""
+    visual = strip(F.coalesce("text", F.lit(""))) == ""
     return queries.select(
         "query_id", F.when(visual, 0.85).otherwise(F.col("intent.w_dense")).alias("w_dense"),
         F.when(visual, 0.15).otherwise(F.col("intent.w_speech")).alias("w_speech"),

@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: the temporary folder of each local application without a named one
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(cpus: str = "*", name: str = "cuelight", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own session."""
     return (
@@ -28,8 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    app = spark.sparkContext.applicationId
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return _LOCAL[app]
     raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.operators.ordered import text_runs, with_position
 
 _SEGMENT = (
@@ -107,7 +108,7 @@ def read_ocr(spark: SparkSession, path: str, fps: float = 25.0, wholetext: bool
 
 def ocr_lines(rows: DataFrame, fps: float = 25.0) -> DataFrame:
     frame = F.replace(F.col("key"), F.lit("f_"), F.lit("")).try_cast("bigint")
-    return rows.withColumn("text", F.trim("text")).filter("text != ''").withColumn(
+    return rows.withColumn("text", strip("text")).filter("text != ''").withColumn(
         "t_sec", F.coalesce(frame / F.lit(float(fps)), F.lit(0.0))
     )
 
@@ -286,7 +287,7 @@ def query_package(files: DataFrame) -> DataFrame:
     prompt = F.coalesce(
         plain, F.when(F.col("key").isNull(), F.coalesce(text_of("prompt"), text_of("query"), text_of("text"), text_of("description"))),
         text_of("prompt"), text_of("text"), F.to_json("item"))
-    from_json = items.select("path", F.regexp_replace(qid, r"\s+", "_").alias("query_id"), F.trim(prompt).alias("prompt"),
+    from_json = items.select("path", F.regexp_replace(qid, r"\s+", "_").alias("query_id"), strip(prompt).alias("prompt"),
                              F.when(~is_text, text_of("mode")).alias("_m"), F.when(F.col("key").isNull() & ~is_text, text_of("type")).alias("_t"))
     from_json = from_json.select("path", "query_id", "prompt", F.coalesce(
         "_m", T.query_mode(F.concat_ws(" ", "query_id", "_t"), "prompt")).alias("mode"))
@@ -304,7 +305,7 @@ def read_transcript_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_transcript_lines(lines: DataFrame) -> DataFrame:
-    f = F.transform(F.split(F.trim("value"), r"\|", 5), lambda x: F.trim(x))
+    f = F.transform(F.split(strip("value"), r"\|", 5), lambda x: strip(x))
     parsed = lines.withColumn("_f", f).filter(F.size("_f") == 5).select(
         *[c for c in lines.columns if c != "value"],
         F.col("_f")[0].try_cast("double").alias("start_sec"), F.col("_f")[1].try_cast("double").alias("end_sec"),

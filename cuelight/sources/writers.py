@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.operators.lexical import Index
 
 
@@ -13,7 +14,7 @@ def transcript_lines(segments: DataFrame, fps: float = 25.0) -> DataFrame:
     """video_id, start_sec, line: 'start | end | first frame | last frame | text'."""
     first = F.coalesce("start_frame", T.frame_of("start_sec", fps))
     last = F.coalesce("end_frame", T.frame_of("end_sec", fps))
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     return segments.select(
         "video_id", "start_sec", F.concat_ws(" | ", F.col("start_sec"), F.col("end_sec"), first, last, text).alias("line"))
 

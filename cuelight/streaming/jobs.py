@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,29 +24,54 @@ def process_pending(
     returns the items with a ``status``. Completed rows go to ``output``, every
     outcome to ``manifest``, both in a folder per batch, so a batch that is
     replayed after a failure overwrites itself. Items already completed in the
-    manifest are skipped; failed ones are retried when they arrive again.
+    manifest are skipped. Failed items are kept as they came, in ``failed`` beside
+    the manifest, and are processed again when the job starts, before new items.
     """
+    spark, waiting = items.sparkSession, manifest.rstrip("/") + "_failed"
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        done = _read_or_none(spark, manifest)
-        if done is not None:
-            finished = done.filter(F.startswith("status", F.lit("completed")) & (F.col("batch") != batch_id))
-            df = df.join(finished.select(key).distinct(), key, "left_anti")
+    def completed(df: DataFrame) -> DataFrame:
+        return df.filter(F.startswith("status", F.lit("completed")))
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
         result = process(df).persist()
         try:
-            result.filter(F.startswith("status", F.lit("completed"))).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+            completed(result).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+            failed = result.filter(~F.startswith("status", F.lit("completed"))).select(key)
+            df.join(failed.distinct(), key, "left_semi").write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
             result.select(key, "status").write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}")
         finally:
             result.unpersist()
+            df.unpersist()
+
+    def again() -> None:
+        failed, outcomes = _read_or_none(spark, waiting), _read_or_none(spark, manifest)
+        if failed is None or outcomes is None:
+            return
+        latest = failed.groupBy(key).agg(F.max_by(F.struct(*[c for c in failed.columns if c not in (key, "batch")]), F.abs("batch")).alias("_item"))
+        todo = latest.select(key, "_item.*").join(completed(outcomes).select(key).distinct(), key, "left_anti")
+        if not todo.isEmpty():
+            # runs before the stream count down from -1, the stream's batches up from 0
+            write(todo, (outcomes.agg(F.min("batch")).head()[0] if outcomes.filter("batch < 0").head(1) else 0) - 1)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        done = _read_or_none(df.sparkSession, manifest)
+        if done is not None:
+            finished = completed(done).filter(F.col("batch") != batch_id)
+            df = df.join(finished.select(key).distinct(), key, "left_anti")
+        write(df, batch_id)
 
+    again()
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _read_or_none(spark, path: str) -> DataFrame | None:
+    """The table, or None if there is none yet; any other failure to read it is raised."""
     try:
         return spark.read.parquet(path)
-    except Exception:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

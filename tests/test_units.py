@@ -126,14 +126,14 @@ def test_ivf_recall_and_near_duplicates(spark):
     kf = frames(spark, m)
     q = asked(spark, m[:20])
     exact = {(r.query_id, r.kf_id) for r in D.topk(q, kf, 5).collect()}
-    near = {(r.query_id, r.kf_id) for r in D.ivf_topk(q, kf, 5, n_list=10, n_probe=5, exact_below=10).collect()}
+    near = {(r.query_id, r.kf_id) for r in D.ivf_topk(q, kf, 5, n_list=10, n_probe=5).collect()}
     assert len(exact & near) / len(exact) > 0.6
     full = {(r.query_id, r.rank, r.kf_id) for r in D.near_duplicates(kf, 3, block_rows=37).collect()}
     s = np.floor(m @ m.T * 1e9 + 0.5) / 1e9
     for i in (0, 17, 299):
         best = sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:3]
         assert [k for _, _, k in sorted(x for x in full if x[0] == i)] == best
-    celled = {(r.query_id, r.kf_id) for r in D.near_duplicates(kf, 3, block_rows=50, n_list=6, n_probe=6, exact_below=10).collect()}
+    celled = {(r.query_id, r.kf_id) for r in D.near_duplicates(kf, 3, block_rows=50, mode="cells", n_list=6, n_probe=6).collect()}
     assert celled == {(a, c) for a, _, c in full}
 
 
