@@ -107,33 +107,37 @@ def append_vectors(vectors: DataFrame, path: str, checkpoint: str, n_list: int =
     return vectors.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: a watermark starts at the epoch and drops what is not after it, so second 0 of a video is a day later
-EPOCH_SEC = 86_400.0
 RUN_SCHEMA = "video_id string, start_sec double, end_sec double, text string, n_lines bigint"
-_STATE = "text string, start_sec double, last_sec double, n_lines bigint, waiting array<struct<t:double,line:bigint,text:string>>"
+_STATE = "text string, start_sec double, last_sec double, n_lines bigint, newest double, waiting array<struct<t:double,line:bigint,text:string>>"
 
 
-def stream_text_runs(lines: DataFrame, hold: float = 3.0, delay: str = "10 seconds") -> DataFrame:
+def stream_text_runs(lines: DataFrame, hold: float = 3.0, delay: float = 10.0) -> DataFrame:
     """Runs of equal screen text over a stream (video_id, line_id, t_sec, text).
 
-    Lines wait in state until the watermark has passed them, then extend the
-    open run of their video or close it. An open run is closed when the
-    watermark passes its gap. Lines later than the watermark are dropped.
+    Every video has its own progress: its lines wait in state until its newest line is ``delay`` seconds ahead, then extend the open run
+    or close it, so videos may come in any order and at any time. Lines further behind the newest of their own video are dropped. A line
+    with a null text (:func:`end_of_video`) ends its video: all that waits is worked off and the open run is closed.
     """
-    timed = lines.withColumn("ts", F.timestamp_micros(((F.col("t_sec") + EPOCH_SEC) * 1e6).cast("bigint"))).withWatermark("ts", delay)
-    return timed.groupBy("video_id").applyInPandasWithState(
-        _advance(hold), RUN_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return lines.groupBy("video_id").applyInPandasWithState(_advance(hold, delay), RUN_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def _advance(hold: float):
+def end_of_video(lines: DataFrame) -> DataFrame:
+    """The end of each video of ``lines``, to be sent with or after its last lines."""
+    return lines.select("video_id", F.lit(None).cast("bigint").alias("line_id"), F.lit(None).cast("double").alias("t_sec"), F.lit(None).cast("string").alias("text"))
+
+
+def _advance(hold: float, delay: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, start, last, n, waiting = state.get if state.exists else (None, None, None, 0, [])
+        text, start, last, n, newest, waiting = state.get if state.exists else (None, None, None, 0, float("-inf"), [])
         waiting = [(w["t"], w["line"], w["text"]) if not isinstance(w, tuple) else tuple(w) for w in (waiting or [])]
-        if not state.hasTimedOut:
-            for pdf in batches:
-                waiting.extend(zip(pdf.t_sec.tolist(), pdf.line_id.tolist(), pdf.text.tolist()))
-        mark = state.getCurrentWatermarkMs() / 1000.0 - EPOCH_SEC
+        passed, ended = newest - delay, False
+        for pdf in batches:
+            real = pdf[pdf.text.notna()]
+            ended |= len(real) < len(pdf)
+            fresh = [(t, int(i), x) for t, i, x in zip(real.t_sec.tolist(), real.line_id.tolist(), real.text.tolist()) if t > passed]
+            waiting.extend(fresh)
+            newest = max([newest, *(w[0] for w in fresh)])
+        mark = float("inf") if ended else newest - delay
         waiting.sort()
         ready = [w for w in waiting if w[0] <= mark]
         waiting = waiting[len(ready):]
@@ -149,13 +153,11 @@ def _advance(hold: float):
         if text is not None and last + hold + hold < mark and not any(w[0] <= last + hold + hold for w in waiting):
             closed.append((key[0], start, last + hold, text, n))
             text, start, last, n = None, None, None, 0
-        if text is None and not waiting:
+        if ended:
             if state.exists:
                 state.remove()
         else:
-            state.update((text, start, last, n, waiting))
-            wake = min([w[0] for w in waiting] + ([last + hold + hold] if text is not None else []))
-            state.setTimeoutTimestamp(int(max((wake + EPOCH_SEC) * 1000, state.getCurrentWatermarkMs())) + 1)
+            state.update((text, start, last, n, newest, waiting))
         if closed:
             yield pd.DataFrame(closed, columns=["video_id", "start_sec", "end_sec", "text", "n_lines"])
 

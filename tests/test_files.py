@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuelight.operators.ordered import text_runs
@@ -56,7 +57,7 @@ def test_streamed_runs_equal_batch_runs(spark, tmp_path):
     for i in range(4):
         df.filter(F.floor(F.col("line_id") / 2) == i).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = J.stream_text_runs(stream, delay="500 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+    q = J.stream_text_runs(stream, delay=500.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
         "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.start_sec, r.end_sec, r.text, r.n_lines) for r in spark.read.schema(J.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect()}
@@ -75,3 +76,39 @@ def test_pending_work_runs_once(spark, tmp_path):
     assert run() == ["a"]
     put(tmp_path / "in/2.json", '{"video_id":"a"}\n{"video_id":"b"}\n')
     assert run() == ["a", "b"]
+
+
+def test_failed_work_is_tried_again(spark, tmp_path):
+    def run(good):
+        items = spark.readStream.schema("video_id string, n int").json(str(tmp_path / "in"))
+        seen = lambda d: d.withColumn("status", F.when(F.col("video_id").isin(*good), "completed").otherwise("failed"))
+        J.process_pending(items, str(tmp_path / "out"), str(tmp_path / "man"), str(tmp_path / "ck"), seen).awaitTermination()
+        return sorted((r.video_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    put(tmp_path / "in/1.json", '{"video_id":"a","n":1}\n{"video_id":"b","n":2}\n')
+    assert run(["a"]) == [("a", 1)]
+    assert run(["a"]) == [("a", 1)]
+    assert run(["a", "b"]) == [("a", 1), ("b", 2)]
+    assert run(["a", "b"]) == [("a", 1), ("b", 2)]
+
+
+def test_an_unreadable_manifest_is_no_empty_one(spark, tmp_path):
+    put(tmp_path / "man/part-0.parquet", "no parquet")
+    with pytest.raises(Exception) as failure:
+        J._read_or_none(spark, str(tmp_path / "man"))
+    assert "PATH_NOT_FOUND" not in str(failure.value)
+    assert J._read_or_none(spark, str(tmp_path / "none")) is None
+
+
+def test_late_videos_and_ends_of_streams(spark, tmp_path):
+    rows = [("v", 0, 0.0, "A"), ("v", 1, 3000.0, "B"), ("w", 2, 0.0, "C"), ("w", 3, 2.0, "C"), ("v", 4, 3001.0, "B")]
+    schema = "video_id string, line_id long, t_sec double, text string"
+    df = spark.createDataFrame(rows, schema)
+    for i in (0, 2, 4):
+        df.filter(f"line_id between {i} and {i + 1}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    J.end_of_video(df).distinct().coalesce(1).write.mode("append").json(str(tmp_path / "in"), ignoreNullFields=False)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
+    J.stream_text_runs(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.video_id, r.start_sec, r.n_lines) for r in spark.read.schema(J.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect()}
+    assert got == {("v", 0.0, 1), ("v", 3000.0, 2), ("w", 0.0, 2)}

@@ -144,6 +144,30 @@ def test_align_is_increasing_and_best(spark):
     assert [list(x.frames) for x in r] == [[300, 600, 900]] and r[0].score == pytest.approx(1.0, abs=1e-6)
 
 
+@pytest.mark.parametrize("n", [17, 40])
+def test_align_takes_any_number_of_events(spark, n):
+    m = unit_vectors(60, 32)
+    ev = spark.createDataFrame([(0, i, [float(x) for x in m[i]]) for i in range(n)], "query_id long, event_no int, embedding array<double>")
+    r = S.align(ev, frames(spark, m), chunk_rows=16).collect()
+    assert [list(x.frames) for x in r] == [[30 * i for i in range(n)]]
+
+
+def test_candidates_without_a_segment_are_their_own_window(spark):
+    seg = spark.createDataFrame([("v", i, i + 1, 2.0 * i, 2.0 * i + 1.5, 50 * i, 50 * i + 37, f" t{i}\n") for i in range(4)],
+                                "video_id string, segment_id long, position long, start_sec double, end_sec double, start_frame long, end_frame long, text string")
+    cand = spark.createDataFrame([(0, 1, "v", 1, 2.0, 3.5), (0, 2, "v", 99, 50.0, 51.0), (0, 3, "x", 1, 2.0, 3.5)],
+                                 "query_id long, rank int, video_id string, segment_id long, start_sec double, end_sec double")
+    got = {r["rank"]: (r.win_start, r.win_end, r.num_segments, r.context) for r in S.context_windows(cand, seg).collect()}
+    assert got == {1: (0.0, 5.5, 3, "t0 t1 t2"), 2: (50.0, 51.0, 1, "")}
+
+
+def test_strip_takes_all_white_space(spark):
+    df = spark.createDataFrame([("\t \n",), (" a\tb\r\n",), ("",), (None,)], "x string")
+    assert [r[0] for r in df.select(T.strip("x")).collect()] == ["", "a\tb", "", None]
+    docs = spark.createDataFrame([(0, "one two"), (1, "\n"), (2, "\t \n")], "doc_id long, text string")
+    assert {r.doc_id for r in L.tokens_of(docs).collect()} == {0}
+
+
 def test_suppression_invariants(spark):
     rng = np.random.default_rng(1)
     rows = [(0, i + 1, f"v{rng.integers(3)}", i, float(rng.uniform(0, 40)), 0.0) for i in range(120)]
