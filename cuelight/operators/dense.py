@@ -298,13 +298,12 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, key: st
 
 
 def mean_vectors(df: DataFrame, keys, vector: str = "embedding") -> DataFrame:
-    """Unit vector of the element-wise mean per key, summed in parts on the map side."""
-    summed = (
-        df.select(*keys, F.posexplode(N.as_doubles(vector)).alias("_p", "_x"))
-        .groupBy(*keys, "_p").agg(F.avg("_x").alias("_m"))
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias(vector))
-    )
+    """Unit vector of the element-wise mean per key, summed in parts on the map side: one vector per key and task is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = df.select(*keys, N.as_doubles(vector).alias("_v")).filter(F.col("_v").isNotNull())
+    summed = vectors.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector("_v"))).alias(vector))
     return summed.withColumn(vector, N.normalize(vector, 1e-12))
 
 

@@ -31,7 +31,9 @@ def _earlier(keys):
 
 
 def with_position(df: DataFrame, keys, order, chunk: Column, name: str = "pos") -> DataFrame:
-    """1-based position of each row in its key."""
+    """1-based position of each row in its key; without keys, in the whole table (``chunk`` is then not used)."""
+    if not keys:
+        return _position_in_table(df, order, name)
     cut = df.withColumn(CHUNK, chunk)
     offsets = (
         cut.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
@@ -46,6 +48,21 @@ def with_position(df: DataFrame, keys, order, chunk: Column, name: str = "pos")
     )
 
 
+def _position_in_table(df: DataFrame, order, name: str) -> DataFrame:
+    """Positions over all rows: ranges of the order are numbered on their own and moved by the rows of the ranges before, one number
+    per partition."""
+    from cuelight.session import reliable
+
+    cut = reliable(df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()))
+    counts = {r[CHUNK]: r["count"] for r in cut.groupBy(CHUNK).count().collect()}
+    before, total = [], 0
+    for part in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    offsets = F.array(*[F.lit(n).cast("bigint") for n in before])
+    return cut.withColumn(name, F.row_number().over(_local([], order)) + F.element_at(offsets, F.col(CHUNK) + 1)).drop(CHUNK)
+
+
 def with_previous(df: DataFrame, keys, order, chunk: Column, cols, name: str = "prev") -> DataFrame:
     """``name``: struct of ``cols`` of the row before, null at the start of a key."""
     cut = df.withColumn(CHUNK, chunk)

@@ -142,7 +142,7 @@ AVERAGE_WORDS = 1565
 def validation_subset(videos: DataFrame, size: int = 30) -> DataFrame:
     """Stratified pick by word count: percentiles, the ten nearest to the average, every fifth from the top."""
     spoken = videos.filter("words > 0").select("video_id", "words")
-    ranked = with_position(spoken, [], ["words", "video_id"], time_chunk("words", 64.0), "pos")
+    ranked = with_position(spoken, [], ["words", "video_id"], None, "pos")
     n = spoken.agg(F.count(F.lit(1))).scalar()
     pos = F.col("pos")
     any_of = lambda places: reduce(lambda x, y: x | y, [pos == p for p in places])
@@ -178,8 +178,8 @@ def pending(items: DataFrame, *done: DataFrame, key: str = "video_id") -> DataFr
 
 
 def shard(items: DataFrame, n: int, key: str = "video_id") -> DataFrame:
-    """Deterministic 1-of-n split by position in key order, positions counted in hash-free chunks."""
-    numbered = with_position(items, [], [key], F.substring(key, 1, 8), "_pos")
+    """Deterministic 1-of-n split by position in key order, positions counted in ranges of the order."""
+    numbered = with_position(items, [], [key], None, "_pos")
     return numbered.withColumn("shard", F.pmod(F.col("_pos") - 1, F.lit(n)).cast("bigint")).drop("_pos")
 
 

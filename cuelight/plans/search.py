@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
 from cuelight.functions import text as T
+from cuelight.functions.text import strip
 from cuelight.operators import dense as D
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
@@ -155,11 +156,14 @@ def search(
     queries: query_id, text, embedding (and text_vector for semantic search);
     scenes: query_id, scene_no, scene, embedding of queries with several scenes;
     keywords: query_id, kw_no, keyword, weight (exact phrases). Without
-    ``weights`` the intent of a query and its speech evidence choose them.
+    ``weights`` (dense, speech; clamped to 0..1) the intent of a query and its
+    speech evidence choose them. A blank query has no results.
     """
     top = max(1, min(1000, top))
     window = max(0.5, min(30.0, window))
-    queries = with_intent(queries)
+    queries = with_intent(queries.filter(strip(F.coalesce("text", F.lit(""))) != ""))
+    if weights is not None:  # chosen weights leave no boost to screen text
+        queries = queries.withColumn("intent", F.col("intent").withField("w_ocr", F.lit(0.0)))
     speech = lexical_evidence(queries, corpus, window)
     if corpus.semantic:
         speech = merge_evidence(speech, semantic_evidence(queries, corpus, window, scorer))
@@ -190,8 +194,8 @@ def search(
 def route(queries: DataFrame, speech: DataFrame, weights: tuple[float, float] | None) -> DataFrame:
     """query_id, w_dense, w_speech, label."""
     if weights is not None:
-        d, s = weights
-        return queries.select("query_id", F.lit(float(d)).alias("w_dense"), F.lit(float(s)).alias("w_speech"), F.lit("Manual Mode").alias("label"))
+        d, s = (max(0.0, min(1.0, float(w))) for w in weights)
+        return queries.select("query_id", F.lit(d).alias("w_dense"), F.lit(s).alias("w_speech"), F.lit("Manual Mode").alias("label"))
     with_max = queries.select("query_id", "intent").join(max_speech(queries, speech), "query_id").withColumn("category", F.col("intent.category"))
     fixed = F.struct("intent.w_dense", "intent.w_speech", "intent.label")
     return with_max.withColumn("_g", F.coalesce(X.gate("category", "max_speech"), fixed)).select("query_id", "_g.*")

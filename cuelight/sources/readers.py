@@ -196,8 +196,7 @@ def attach_metadata(vectors: DataFrame, meta: DataFrame) -> DataFrame:
 
 def global_positions(rows: DataFrame) -> DataFrame:
     """Running 0-based position over videos in name order, without one task for all rows."""
-    chunk = F.struct(F.col("video_id").alias("v"), F.floor(F.col("pos") / 65536).alias("c"))
-    return with_position(rows, [], ["video_id", "pos"], chunk, "global_idx").withColumn("global_idx", F.col("global_idx") - 1)
+    return with_position(rows, [], ["video_id", "pos"], None, "global_idx").withColumn("global_idx", F.col("global_idx") - 1)
 
 
 def read_embeddings(spark: SparkSession, path: str, meta: DataFrame) -> DataFrame:
