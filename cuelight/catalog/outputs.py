@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cuelight import hooks as H
 from cuelight.catalog.base import G, R, Tables, query, r6, sql_dot, sql_tokens
-from cuelight.catalog.ranking import SQL_EVIDENCE, SQL_RAW, corpus, full_queries
+from cuelight.catalog.ranking import SQL_EVIDENCE, SQL_RAW, _SCORED, corpus, full_queries
 from cuelight.catalog.relational import SQL_RERANK, categories, reranked, scored
 from cuelight.functions import lexicon as lx
 from cuelight.functions import text as T
@@ -369,6 +370,16 @@ def _(t):
     return L.search_index(t.lex_queries, WR.read_index(t.spark, d)).select("query_id", "doc_id", big("rank"))
 
 
+@query("snk_vector_index", f"SELECT query_id, kf_id, rank::BIGINT AS rank, {R('score')} AS dense FROM ({_SCORED}) WHERE rank <= 20")
+def _(t):
+    # written by cell, read again and searched in all cells: the exact result
+    d = t.scratch()
+    celled, model = D.ivf_cells(t.keyframes.select("kf_id", "embedding"), 16)
+    WR.write_vector_index(celled, np.array(model.clusterCenters()), d)
+    found = D.probe_cells(t.queries, *WR.read_vector_index(t.spark, d), 20, 16)
+    return found.select("query_id", "kf_id", big("rank"), six("dense"))
+
+
 @query("snk_eval_report")
 def _(t):
     from cuelight.catalog.relational import first_hits

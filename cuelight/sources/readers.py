@@ -271,13 +271,10 @@ def query_package(files: DataFrame) -> DataFrame:
         as_list = F.coalesce(as_list, F.when(
             shape(F.variant_get("v", f"$.{name}", "variant")).startswith("ARRAY"), F.variant_get("v", f"$.{name}", "variant")))
     j = j.withColumn("_list", as_list).withColumn("base", T.query_id("path"))
-    j.createOrReplaceTempView("_cuelight_package")
-    spark = files.sparkSession
-    items = spark.sql(
-        "select path, base, e.pos, cast(null as string) as key, e.value as item from _cuelight_package, lateral variant_explode(_list) e "
+    items = files.sparkSession.sql(
+        "select path, base, e.pos, cast(null as string) as key, e.value as item from {package}, lateral variant_explode(_list) e "
         "where _list is not null union all "
-        "select path, base, e.pos, e.key, e.value from _cuelight_package, lateral variant_explode(v) e where _list is null"
-    )
+        "select path, base, e.pos, e.key, e.value from {package}, lateral variant_explode(v) e where _list is null", package=j)
     text_of = lambda name: F.nullif(F.try_variant_get("item", f"$.{name}", "string"), F.lit(""))
     is_text = shape(F.col("item")) == "STRING"
     plain = F.when(is_text, F.col("item").cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,19 @@ def write_vectors(celled: DataFrame, path: str) -> None:
     celled.repartition("cell", F.pmod(F.xxhash64("kf_id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
+def write_vector_index(celled: DataFrame, centers: np.ndarray, path: str) -> None:
+    """Vectors by cell and the centres of the cells (a fixed number of rows)."""
+    write_vectors(celled, f"{path}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    celled.sparkSession.createDataFrame(rows, "cell int, center array<double>").write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def read_vector_index(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """What :func:`operators.dense.probe_cells` takes: the vectors with their cells, and the centres in order."""
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
+    return spark.read.parquet(f"{path}/vectors"), np.array([r["center"] for r in cells])
+
+
 def write_report(summary: DataFrame, per_query: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(f"{path}/summary")
     per_query.write.mode("overwrite").json(f"{path}/per_query")
