@@ -159,6 +159,18 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _live(grams: DataFrame, percent: int) -> DataFrame:
+    """The rows (node, n, at, gram) whose n-gram a node of fitting size has too, of the nodes that have enough such rows for a link."""
+    by_size = Window.partitionBy("gram").orderBy("n", "node")
+    fit = lambda a, b: a * 100 >= b * percent
+    live = grams.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size)) \
+        .where(fit(F.col("less"), F.col("n")) | fit(F.col("n"), F.col("more"))).select("gram", "node", "n", "at")
+    live = stored(live)
+    needs = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * (percent / 100) ** 3)))
+    alive = live.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c")).where(F.col("c") >= needs).select("node")
+    return stored(live.join(alive, "node"))
+
+
 def _components(docs: DataFrame, n: int, percent: int, fragments: int) -> tuple:
     """The order, every row with its node, every node with its component, and the node and doc_id of each component's least document."""
     spark = docs.sparkSession
@@ -169,14 +181,9 @@ def _components(docs: DataFrame, n: int, percent: int, fragments: int) -> tuple:
         F.min("doc_id").alias("low"), F.min("n").alias("n"), F.first("prefix").alias("prefix")))
 
     spread = classes.select("node", "n", F.posexplode("prefix").alias("at", "gram"))
-    by_size = Window.partitionBy("gram").orderBy("n", "node")
-    fit = lambda a, b: a * 100 >= b * percent
-    live = spread.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size)) \
-        .where(fit(F.col("less"), F.col("n")) | fit(F.col("n"), F.col("more"))).select("gram", "node", "n", "at")
-    needs = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * (percent / 100) ** 3)))
-    live = stored(live)  # prefix n-grams that documents of like size share
-    alive = live.groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("c")).where(F.col("c") >= needs).select("node")
-    live = stored(live.join(alive, "node"))
+    live = _live(spread, percent)  # prefix n-grams that documents of like size share
+    for _ in range(2):  # and again among the documents that are left: n-grams shared by chance go
+        live = _live(live, percent)
 
     wanted = live.select("node").distinct().join(classes.select("node", "low"), "node")
     wanted = stored(wanted)
