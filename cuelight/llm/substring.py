@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from cuelight.llm.fm_index import FmIndex
 from cuelight.llm.tables import registered, stored, table
-from cuelight.llm.words import Words, slices, span_hashes
+from cuelight.llm.words import Words, mix, slices, span_hashes
 
 GRAM = 6
 #: words of one FM-index
@@ -73,9 +73,20 @@ def _segments(width: int):
             row = np.searchsorted(words.first, start, "right") - 1
             place = _keys(words)[row] | (start - words.first[row])
             same = span_hashes(hashes, start, start + count + width - 1).view(np.int64)
+            # a segment that its own document has before is a repeat: neighbouring ones become one row, under a key of its own
+            order = np.lexsort((start, same, row))
+            inside = np.zeros(len(start), bool)
+            inside[order[1:]] = (same[order[1:]] == same[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+            joins = np.zeros(len(start), bool)
+            joins[1:] = inside[1:] & inside[:-1] & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + count[:-1])
+            head = np.flatnonzero(~joins)
+            count = np.add.reduceat(count, head) if len(head) else count
+            own = inside[head]
+            key = np.where(own, mix(place[head].astype(np.uint64)).view(np.int64), key[head])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(same), batch.column("id").take(pa.array(row)), pa.array(place), pa.array(count.astype(np.int32))],
-                ["key", "same", "id", "place", "windows"])
+                [pa.array(key), pa.array(same[head]), batch.column("id").take(pa.array(row[head])), pa.array(place[head]),
+                 pa.array(count.astype(np.int32)), pa.array(own)],
+                ["key", "same", "id", "place", "windows", "inside"])
 
     return rows
 
@@ -170,11 +181,11 @@ def _search(width: int):
 def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
     """``docs(doc_id, text)`` as ``(id, doc_id, text, spans)``: spans of words (text_key, start, end) that repeats cover."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    segments = texts.select("id", "text").mapInArrow(_segments(width), "key long, same long, id long, place long, windows int")
-    by = Window.partitionBy("key").orderBy("same", "id", "place")
+    segments = texts.select("id", "text").mapInArrow(_segments(width), "key long, same long, id long, place long, windows int, inside boolean")
+    by = Window.partitionBy("key", "inside").orderBy("same", "id", "place")
     segments = segments.withColumn("less", F.lag("same").over(by)).withColumn("more", F.lead("same").over(by))
-    segments = segments.where("less is not null or more is not null").select(
-        "key", "id", "place", "windows", (F.col("less").isNull() | (F.col("less") != F.col("same"))).alias("first"))
+    segments = segments.where("inside or less is not null or more is not null").select(
+        "key", "id", "place", "windows", (~F.col("inside") & (F.col("less").isNull() | (F.col("less") != F.col("same")))).alias("first"))
     segments = stored(segments)
 
     whole = segments.where("not first").select(
