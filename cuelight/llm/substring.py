@@ -183,9 +183,13 @@ def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     segments = texts.select("id", "text").mapInArrow(_segments(width), "key long, same long, id long, place long, windows int, inside boolean")
     by = Window.partitionBy("key", "inside").orderBy("same", "id", "place")
+    equal = Window.partitionBy("key", "inside", "same").orderBy("id", "place")
     segments = segments.withColumn("less", F.lag("same").over(by)).withColumn("more", F.lead("same").over(by))
-    segments = segments.where("inside or less is not null or more is not null").select(
-        "key", "id", "place", "windows", (~F.col("inside") & (F.col("less").isNull() | (F.col("less") != F.col("same")))).alias("first"))
+    # a repeated row has its segments at the same places: they count once
+    at = F.struct("id", "place")
+    segments = segments.withColumn("copy", F.lag(at).over(equal) == at).withColumn("least", F.first(at).over(equal))
+    segments = segments.where("(inside or less is not null or more is not null) and copy is not true").select(
+        "key", "id", "place", "windows", (~F.col("inside") & (F.col("least") == at)).alias("first"))
     segments = stored(segments)
 
     whole = segments.where("not first").select(

@@ -121,6 +121,36 @@ def test_substring_dedup_is_exact(spark, rows):
         substring.CROWDED, substring.SHARD_WORDS = crowded, size
 
 
+def without_repeats(rows, width=20):
+    """Brute force over rows in their order: the words that are left of each (doc_id, text), repeated rows being one document."""
+    seen, want = set(), {}
+    for i, t in dict.fromkeys((i, t) for i, t, _ in rows):
+        w = words_of(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if tuple(w[k : k + width]) in seen:
+                gone[k : k + width] = [True] * width
+            seen.add(tuple(w[k : k + width]))
+        want[i, t] = (" ".join(x for x, g in zip(w, gone) if not g), len(w), sum(gone))
+    return want
+
+
+def cut_rows(docs):
+    """The operator's rows, counted."""
+    return collections.Counter((r.doc_id, r.kept, r.n_words, r.n_removed) for r in substring.dedup_substrings(docs).collect())
+
+
+def test_substring_dedup_decides_repeated_rows_alike(spark, rows):
+    again = [*rows, rows[3], rows[3], rows[40], rows[62], rows[103], rows[105], rows[106], rows[108]]
+    want = without_repeats(again)
+    crowded = substring.CROWDED
+    try:
+        for substring.CROWDED in (crowded, 0):
+            assert cut_rows(table(spark, again)) == collections.Counter((i, *want[i, t]) for i, t, _ in again)
+    finally:
+        substring.CROWDED = crowded
+
+
 def test_wavelet_ranks_and_matching_statistics():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 37, 1000)
