@@ -9,8 +9,6 @@ with several classes are indexed, shard by shard, and streamed against their sha
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,16 +27,6 @@ CROWDED = 2048
 MAX = (1 << 63) - 1
 
 
-def _text_key(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=2).digest(), "big") & 0x7FFF
-
-
-def _keys(words: Words) -> np.ndarray:
-    """15 bits of each text, over its words' start: parts rows of equal doc_id."""
-    raw = words.data.tobytes()
-    return np.array([_text_key(raw[a:b]) for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist())], np.int64) << 48
-
-
 def _windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments: first window, number of windows, shard key."""
     n = len(hashes)
@@ -71,7 +59,8 @@ def _segments(width: int):
             hashes = words.hashes()
             start, count, key = _windows(words, hashes, width)
             row = np.searchsorted(words.first, start, "right") - 1
-            place = _keys(words)[row] | (start - words.first[row])
+            place = start - words.first[row]
+            text_key = batch.column("text_key").to_numpy()[row]
             same = span_hashes(hashes, start, start + count + width - 1).view(np.int64)
             # a segment that its own document has before is a repeat: neighbouring ones become one row, under a key of its own
             order = np.lexsort((start, same, row))
@@ -82,11 +71,11 @@ def _segments(width: int):
             head = np.flatnonzero(~joins)
             count = np.add.reduceat(count, head) if len(head) else count
             own = inside[head]
-            key = np.where(own, mix(place[head].astype(np.uint64)).view(np.int64), key[head])
+            key = np.where(own, mix(text_key[head] + place[head] + (row[head] << 32)).view(np.int64), key[head])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(same[head]), batch.column("id").take(pa.array(row[head])), pa.array(place[head]),
+                [pa.array(key), pa.array(same[head]), batch.column("id").take(pa.array(row[head])), pa.array(text_key[head]), pa.array(place[head]),
                  pa.array(count.astype(np.int32)), pa.array(own)],
-                ["key", "same", "id", "place", "windows", "inside"])
+                ["key", "same", "id", "text_key", "place", "windows", "inside"])
 
     return rows
 
@@ -97,31 +86,31 @@ def _shard_rows(width: int):
     def rows(batches):
         for batch in slices(batches):
             words = Words(batch.column("text"))
-            hashes, mine = words.hashes(), _keys(words)
-            ids = batch.column("id").to_pylist()
+            hashes = words.hashes()
+            ids, text_keys = (batch.column(c).to_pylist() for c in ("id", "text_key"))
             out = []
             for r, wanted in enumerate(batch.column("wanted").to_pylist()):
                 own = hashes[words.row(r)]
                 for w in wanted:
-                    if w["place"] >> 48 != mine[r] >> 48:
-                        continue
-                    at = w["place"] & ((1 << 48) - 1)
+                    at = w["place"]
                     if w["crowded"]:
                         first = np.arange(at, at + w["windows"])
                         name = span_hashes(own, first, first + width).view(np.int64)
-                        out += [(k, ids[r], int(mine[r] | i), own[i : i + width]) for k, i in zip(name.tolist(), first.tolist())]
+                        out += [(k, ids[r], text_keys[r], i, own[i : i + width]) for k, i in zip(name.tolist(), first.tolist())]
                     else:
-                        out.append((w["key"], ids[r], w["place"], own[at : at + w["windows"] + width - 1]))
-            cols = list(zip(*out)) or [[], [], [], []]
+                        out.append((w["key"], ids[r], text_keys[r], at, own[at : at + w["windows"] + width - 1]))
+            cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array([x.view(np.int64) for x in cols[3]], pa.list_(pa.int64()))],
-                ["key", "id", "place", "words"])
+                [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array([x.view(np.int64) for x in cols[4]], pa.list_(pa.int64()))],
+                ["key", "id", "text_key", "place", "words"])
 
     return rows
 
 
-def repeated_in_shard(ids: np.ndarray, places: np.ndarray, texts: list[np.ndarray], width: int) -> list[tuple[int, int, int, int]]:
-    """Build the shard's index over the segments, stream them against it; (id, place, first word, end) of the words repeats cover."""
+def repeated_in_shard(
+    ids: np.ndarray, text_keys: np.ndarray, places: np.ndarray, texts: list[np.ndarray], width: int
+) -> list[tuple[int, int, int, int]]:
+    """Build the shard's index over the segments, stream them against it; (id, text_key, first word, end) of the words repeats cover."""
     sizes = np.array([len(t) for t in texts])
     _, names = np.unique(np.concatenate(texts), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -131,11 +120,11 @@ def repeated_in_shard(ids: np.ndarray, places: np.ndarray, texts: list[np.ndarra
     symbols[inside] = names + 1
     of = np.repeat(np.arange(len(texts)), sizes + 1)
     offset = np.arange(len(symbols)) - begin[of]
-    order = np.lexsort((places, ids))
+    order = np.lexsort((text_keys, ids))
     doc = np.zeros(len(texts), np.int64)
-    fresh = (ids[order[1:]] != ids[order[:-1]]) | (places[order[1:]] >> 48 != places[order[:-1]] >> 48)
+    fresh = (ids[order[1:]] != ids[order[:-1]]) | (text_keys[order[1:]] != text_keys[order[:-1]])
     doc[order[1:]] = np.cumsum(fresh)
-    key = (doc[of] << 40) | ((places & ((1 << 48) - 1))[of] + offset)
+    key = (doc[of] << 40) | (places[of] + offset)
     index = FmIndex(symbols, width)
     found = index.matches(symbols, begin, begin + sizes)
     hit = np.flatnonzero(found >= 0)
@@ -143,8 +132,8 @@ def repeated_in_shard(ids: np.ndarray, places: np.ndarray, texts: list[np.ndarra
     out = []
     for run in np.split(late, np.flatnonzero((np.diff(late) > width) | (np.diff(of[late]) > 0)) + 1) if len(late) else []:
         s = of[run[0]]
-        base = int(places[s] & ((1 << 48) - 1)) - int(begin[s])
-        out.append((int(ids[s]), int(places[s]) >> 48, base + int(run[0]), base + int(run[-1]) + width))
+        base = int(places[s]) - int(begin[s])
+        out.append((int(ids[s]), int(text_keys[s]), base + int(run[0]), base + int(run[-1]) + width))
     return out
 
 
@@ -155,7 +144,7 @@ def _search(width: int):
         held, size = [], 0
 
         def flush(rest):
-            got = repeated_in_shard(np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held], width) if len(held) > 1 else []
+            got = repeated_in_shard(*(np.array([h[c] for h in held]) for c in (1, 2, 3)), [h[4] for h in held], width) if len(held) > 1 else []
             held[:] = rest
             cols = list(zip(*got)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "text_key", "start", "end"])
@@ -163,49 +152,59 @@ def _search(width: int):
         for batch in batches:
             words = batch.column("words")
             flat, offsets = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
-            for i, (key, one, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "id", "place")))):
-                if size >= SHARD_WORDS and held and held[-1][0] != key:
+            for i, name in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "id", "text_key", "place")))):
+                if held and held[-1][:4] == name:
+                    continue  # of a repeated row
+                if size >= SHARD_WORDS and held and held[-1][0] != name[0]:
                     yield flush([])
                     size = 0
-                elif size >= SHARD_WORDS and all(len(h[3]) == width for h in held) and held[0][0] == key:
+                elif size >= SHARD_WORDS and all(len(h[4]) == width for h in held) and held[0][0] == name[0]:
                     # one window that is repeated very often: its first occurrence decides for all later ones
                     yield flush(held[:1])
                     size = width
-                held.append((key, one, place, flat[offsets[i] : offsets[i + 1]].copy()))
-                size += len(held[-1][3])
+                held.append((*name, flat[offsets[i] : offsets[i + 1]].copy()))
+                size += len(held[-1][4])
         yield flush([])
 
     return rows
 
 
-def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
-    """``docs(doc_id, text)`` as ``(id, doc_id, text, spans)``: spans of words (text_key, start, end) that repeats cover."""
+def _named(docs: DataFrame) -> DataFrame:
+    """``(id, text_key, doc_id, text)``: a row is named by its doc_id and a hash of its text, and ordered so, those without a doc_id last."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    segments = texts.select("id", "text").mapInArrow(_segments(width), "key long, same long, id long, place long, windows int, inside boolean")
-    by = Window.partitionBy("key", "inside").orderBy("same", "id", "place")
-    equal = Window.partitionBy("key", "inside", "same").orderBy("id", "place")
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)  # below zero with a doc_id, so that MAX is no other row's id
+    return texts.select("id", F.when(F.col("doc_id").isNull(), half).otherwise(F.bitwise_not(half)).alias("text_key"), "doc_id", "text")
+
+
+def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
+    """``docs(doc_id, text)`` as ``(id, text_key, doc_id, text, spans)``: spans of words (start, end) that repeats cover."""
+    texts = _named(docs)
+    segments = texts.select("id", "text_key", "text").mapInArrow(
+        _segments(width), "key long, same long, id long, text_key long, place long, windows int, inside boolean")
+    by = Window.partitionBy("key", "inside").orderBy("same", "id", "text_key", "place")
+    equal = Window.partitionBy("key", "inside", "same").orderBy("id", "text_key", "place")
     segments = segments.withColumn("less", F.lag("same").over(by)).withColumn("more", F.lead("same").over(by))
     # a repeated row has its segments at the same places: they count once
-    at = F.struct("id", "place")
+    at = F.struct("id", "text_key", "place")
     segments = segments.withColumn("copy", F.lag(at).over(equal) == at).withColumn("least", F.first(at).over(equal))
     segments = segments.where("(inside or less is not null or more is not null) and copy is not true").select(
-        "key", "id", "place", "windows", (~F.col("inside") & (F.col("least") == at)).alias("first"))
+        "key", "id", "text_key", "place", "windows", (~F.col("inside") & (F.col("least") == at)).alias("first"))
     segments = stored(segments)
 
-    whole = segments.where("not first").select(
-        "id", F.shiftright("place", 48).alias("text_key"), F.col("place").bitwiseAND((1 << 48) - 1).alias("start"), "windows")
-    whole = whole.select("id", "text_key", "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
+    name = ["id", "text_key"]
+    whole = segments.where("not first").select(*name, F.col("place").alias("start"), (F.col("place") + F.col("windows") + (width - 1)).alias("end"))
     first = segments.where("first")
     classes = first.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
-    wanted = first.join(classes, "key").groupBy("id").agg(F.collect_list(F.struct(
+    wanted = first.join(classes, "key").groupBy(*name).agg(F.collect_list(F.struct(
         "key", "place", "windows", (F.col("classes") > CROWDED).alias("crowded"))).alias("wanted"))
 
-    dealt = texts.repartition("id")  # both joins read this one exchange
-    shards = dealt.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_shard_rows(width), "key long, id long, place long, words array<long>")
-    shards = shards.repartition("key").sortWithinPartitions("key", "id", "place")
+    dealt = texts.repartition(*name)  # both joins read this one exchange
+    shards = dealt.join(wanted, name).select(*name, "text", "wanted").mapInArrow(
+        _shard_rows(width), "key long, id long, text_key long, place long, words array<long>")
+    shards = shards.repartition("key").sortWithinPartitions("key", *name, "place")
     found = shards.mapInArrow(_search(width), "id long, text_key long, start long, end long")
-    spans = whole.unionByName(found).groupBy("id").agg(F.collect_list(F.struct("text_key", "start", "end")).alias("spans"))
-    return dealt.join(spans, "id", "left")
+    spans = whole.unionByName(found).groupBy(*name).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return dealt.join(spans, name, "left")
 
 
 def _cut():
@@ -217,12 +216,11 @@ def _cut():
             words = raw.split()
             gone = 0
             if s.is_valid and words:
-                own = _text_key(raw)
                 edge = np.zeros(len(words) + 1, np.int64)
                 parts = s.values
-                key, start, end = (parts.field(i).to_numpy() for i in range(3))
-                np.add.at(edge, start[key == own], 1)
-                np.add.at(edge, end[key == own], -1)
+                start, end = (parts.field(i).to_numpy() for i in range(2))
+                np.add.at(edge, start, 1)
+                np.add.at(edge, end, -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 gone = int(covered.sum())
                 if gone:

@@ -151,6 +151,25 @@ def test_substring_dedup_decides_repeated_rows_alike(spark, rows):
         substring.CROWDED = crowded
 
 
+def test_substring_dedup_parts_rows_of_one_or_no_doc_id(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    low = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=2).digest(), "big") & 0x7FFF
+    shared, tail = prose(40), prose(25)
+    rows, met = [(7, shared), (None, prose(200) + " " + shared), (None, shared + " " + prose(30)), ((1 << 63) - 1, shared)], {}
+    while len(rows) < 12:  # pairs of texts of one 15-bit hash, one with a repeat, one clean and short
+        long, short = f"{prose(60)} {shared}", prose(22)
+        met[low(long)] = long
+        if low(short) in met:
+            rows += [(None if len(rows) % 4 else 8, t) for t in (met.pop(low(short)), short)]
+    rows += [(None, f"{prose(3)} {tail}") for _ in range(6)] + [(5, f"{prose(5)} {tail}"), (5, f"{prose(6)} {tail}"), (5, None), (None, None), (None, "")]
+    got = collections.Counter((r.doc_id, r.kept) for r in substring.dedup_substrings(table(spark, [(i, t, "s") for i, t in rows])).collect())
+    gone = lambda t, passage: " ".join((t or "").replace(passage, " ").split())
+    want = collections.Counter((i, t if (i, t) == (7, shared) else gone(gone(t, shared), tail)) for i, t in rows)
+    more = got - want
+    assert sum(more.values()) == 1 and more == collections.Counter(k for k in got if k[0] == 5 and k[1].endswith(tail))  # one of doc_id 5 has it first
+
+
 def test_wavelet_ranks_and_matching_statistics():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 37, 1000)
