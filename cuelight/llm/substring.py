@@ -5,6 +5,10 @@ a window's shard key is the least hash of its six-word grams, and neighbouring w
 that occurs once cannot repeat. Equal segments are one class; every occurrence but the first is a repeat as a whole. The first ones of keys
 with several classes are indexed, shard by shard, and streamed against their shard's FM-index: backward search gives the matches of
 ``width`` words, and a window whose match has an earlier occurrence is a repeat.
+
+Keys are counted first, in bins of fixed number. Those of crowded bins are neither sorted in one place nor indexed: the first of equal
+segments, and where a key has many classes the first of equal windows, is a partial aggregation by the hash of the whole; a join marks the
+others.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ from pyspark.sql.window import Window
 
 from cuelight.llm.fm_index import FmIndex
 from cuelight.llm.tables import registered, stored, table
-from cuelight.llm.words import Words, mix, slices, span_hashes
+from cuelight.llm.words import Words, list_array, mix, slices, span_hashes
 
 GRAM = 6
 #: words of one FM-index
 SHARD_WORDS = 1 << 17
-#: a key with more classes than this is dealt again, window by window, by the hash of the whole window
+#: a bin of keys with more segments than this, and than twice the mean above it, is crowded; a crowded key with more classes than this is
+#: dealt window by window, by the hash of the whole window
 CROWDED = 2048
+BIN_BITS = 18
 MAX = (1 << 63) - 1
 
 
@@ -52,36 +58,70 @@ def _windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray,
     return start, count, low[start].view(np.int64)
 
 
-def _segments(width: int):
+def _parts(batches, width: int):
+    """Of each slice of the batches: the slice, its word hashes, and its segments (row, text_key, place, start, windows, key, same, inside)."""
+    for batch in slices(batches):
+        words = Words(batch.column("text"))
+        hashes = words.hashes()
+        start, count, key = _windows(words, hashes, width)
+        row = np.searchsorted(words.first, start, "right") - 1
+        place = start - words.first[row]
+        text_key = batch.column("text_key").to_numpy()[row]
+        same = span_hashes(hashes, start, start + count + width - 1).view(np.int64)
+        # a segment that its own document has before is a repeat: neighbouring ones become one row, under a key of its own
+        order = np.lexsort((start, same, row))
+        inside = np.zeros(len(start), bool)
+        inside[order[1:]] = (same[order[1:]] == same[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+        joins = np.zeros(len(start), bool)
+        joins[1:] = inside[1:] & inside[:-1] & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + count[:-1])
+        head = np.flatnonzero(~joins)
+        count = np.add.reduceat(count, head) if len(head) else count
+        own = inside[head]
+        key = np.where(own, mix(text_key[head] + place[head] + (row[head] << 32)).view(np.int64), key[head])
+        yield batch, hashes, row[head], text_key[head], place[head], start[head], count, key, same[head], own
+
+
+def _bin(key: np.ndarray) -> np.ndarray:
+    return key & ((1 << BIN_BITS) - 1)
+
+
+def crowded_bins(texts: DataFrame, width: int) -> np.ndarray:
+    """Which of the 2^18 bins of shard keys hold so many segments that one of their keys may crowd a task."""
+
+    def count(batches):
+        total = np.zeros(1 << BIN_BITS, np.int64)
+        for *_, key, _, own in _parts(batches, width):
+            total += np.bincount(_bin(key[~own]), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
+
+    summed = texts.mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << BIN_BITS, np.int64)
+    total[summed["bin"].to_numpy()] = summed["n"].to_numpy()
+    return total > CROWDED + 2 * (int(total.sum()) >> BIN_BITS)
+
+
+def _segments(width: int, crowded, wanted: bool):
+    """The segments of the crowded bins with the hashes of their windows, or the others and those that their document has before."""
+
     def rows(batches):
-        for batch in slices(batches):
-            words = Words(batch.column("text"))
-            hashes = words.hashes()
-            start, count, key = _windows(words, hashes, width)
-            row = np.searchsorted(words.first, start, "right") - 1
-            place = start - words.first[row]
-            text_key = batch.column("text_key").to_numpy()[row]
-            same = span_hashes(hashes, start, start + count + width - 1).view(np.int64)
-            # a segment that its own document has before is a repeat: neighbouring ones become one row, under a key of its own
-            order = np.lexsort((start, same, row))
-            inside = np.zeros(len(start), bool)
-            inside[order[1:]] = (same[order[1:]] == same[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-            joins = np.zeros(len(start), bool)
-            joins[1:] = inside[1:] & inside[:-1] & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + count[:-1])
-            head = np.flatnonzero(~joins)
-            count = np.add.reduceat(count, head) if len(head) else count
-            own = inside[head]
-            key = np.where(own, mix(text_key[head] + place[head] + (row[head] << 32)).view(np.int64), key[head])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(same[head]), batch.column("id").take(pa.array(row[head])), pa.array(text_key[head]), pa.array(place[head]),
-                 pa.array(count.astype(np.int32)), pa.array(own)],
-                ["key", "same", "id", "text_key", "place", "windows", "inside"])
+        for batch, hashes, row, text_key, place, start, count, key, same, own in _parts(batches, width):
+            at = np.flatnonzero((crowded.value[_bin(key)] & ~own) == wanted)
+            cols = [pa.array(key[at]), pa.array(same[at]), batch.column("id").take(pa.array(row[at])), pa.array(text_key[at]), pa.array(place[at]),
+                    pa.array(count[at].astype(np.int32))]
+            if wanted:
+                first = np.repeat(start[at] - np.cumsum(count[at]) + count[at], count[at]) + np.arange(count[at].sum())
+                names = span_hashes(hashes, first, first + width)
+                last = list_array(np.split(names, np.cumsum(count[at])[:-1]) if len(at) else [], pa.int64())
+            else:
+                last = pa.array(own[at])
+            yield pa.RecordBatch.from_arrays([*cols, last], ["key", "same", "id", "text_key", "place", "windows", "names" if wanted else "inside"])
 
     return rows
 
 
 def _shard_rows(width: int):
-    """The words of the wanted segments; those of crowded keys window by window."""
+    """The words of the wanted segments."""
 
     def rows(batches):
         for batch in slices(batches):
@@ -92,13 +132,7 @@ def _shard_rows(width: int):
             for r, wanted in enumerate(batch.column("wanted").to_pylist()):
                 own = hashes[words.row(r)]
                 for w in wanted:
-                    at = w["place"]
-                    if w["crowded"]:
-                        first = np.arange(at, at + w["windows"])
-                        name = span_hashes(own, first, first + width).view(np.int64)
-                        out += [(k, ids[r], text_keys[r], i, own[i : i + width]) for k, i in zip(name.tolist(), first.tolist())]
-                    else:
-                        out.append((w["key"], ids[r], text_keys[r], at, own[at : at + w["windows"] + width - 1]))
+                    out.append((w["key"], ids[r], text_keys[r], w["place"], own[w["place"] : w["place"] + w["windows"] + width - 1]))
             cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array([x.view(np.int64) for x in cols[4]], pa.list_(pa.int64()))],
@@ -143,9 +177,9 @@ def _search(width: int):
     def rows(batches):
         held, size = [], 0
 
-        def flush(rest):
+        def flush():
             got = repeated_in_shard(*(np.array([h[c] for h in held]) for c in (1, 2, 3)), [h[4] for h in held], width) if len(held) > 1 else []
-            held[:] = rest
+            held.clear()
             cols = list(zip(*got)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "text_key", "start", "end"])
 
@@ -156,15 +190,11 @@ def _search(width: int):
                 if held and held[-1][:4] == name:
                     continue  # of a repeated row
                 if size >= SHARD_WORDS and held and held[-1][0] != name[0]:
-                    yield flush([])
+                    yield flush()
                     size = 0
-                elif size >= SHARD_WORDS and all(len(h[4]) == width for h in held) and held[0][0] == name[0]:
-                    # one window that is repeated very often: its first occurrence decides for all later ones
-                    yield flush(held[:1])
-                    size = width
                 held.append((*name, flat[offsets[i] : offsets[i + 1]].copy()))
                 size += len(held[-1][4])
-        yield flush([])
+        yield flush()
 
     return rows
 
@@ -179,24 +209,42 @@ def _named(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = 20) -> DataFrame:
     """``docs(doc_id, text)`` as ``(id, text_key, doc_id, text, spans)``: spans of words (start, end) that repeats cover."""
     texts = _named(docs)
-    segments = texts.select("id", "text_key", "text").mapInArrow(
-        _segments(width), "key long, same long, id long, text_key long, place long, windows int, inside boolean")
-    by = Window.partitionBy("key", "inside").orderBy("same", "id", "text_key", "place")
-    equal = Window.partitionBy("key", "inside", "same").orderBy("id", "text_key", "place")
+    name = ["id", "text_key"]
+    at = F.struct(*name, "place")
+    inputs = texts.select(*name, "text")
+    bins = crowded_bins(inputs, width)
+    crowded = docs.sparkSession.sparkContext.broadcast(bins)  # 2^18 flags
+    columns = "key long, same long, id long, text_key long, place long, windows int, "
+
+    segments = inputs.mapInArrow(_segments(width, crowded, False), columns + "inside boolean")
+    by = Window.partitionBy("key", "inside").orderBy("same", *name, "place")
+    equal = Window.partitionBy("key", "inside", "same").orderBy(*name, "place")
     segments = segments.withColumn("less", F.lag("same").over(by)).withColumn("more", F.lead("same").over(by))
     # a repeated row has its segments at the same places: they count once
-    at = F.struct("id", "text_key", "place")
     segments = segments.withColumn("copy", F.lag(at).over(equal) == at).withColumn("least", F.first(at).over(equal))
     segments = segments.where("(inside or less is not null or more is not null) and copy is not true").select(
-        "key", "id", "text_key", "place", "windows", (~F.col("inside") & (F.col("least") == at)).alias("first"))
+        "key", *name, "place", "windows", (~F.col("inside") & (F.col("least") == at)).alias("first"))
     segments = stored(segments)
 
-    name = ["id", "text_key"]
-    whole = segments.where("not first").select(*name, F.col("place").alias("start"), (F.col("place") + F.col("windows") + (width - 1)).alias("end"))
+    span = lambda start, windows: [*name, start.alias("start"), (start + windows + (width - 1)).alias("end")]
+    whole = segments.where("not first").select(*span(F.col("place"), F.col("windows")))
     first = segments.where("first")
     classes = first.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
-    wanted = first.join(classes, "key").groupBy(*name).agg(F.collect_list(F.struct(
-        "key", "place", "windows", (F.col("classes") > CROWDED).alias("crowded"))).alias("wanted"))
+    first = first.join(classes, "key").select("key", *name, "place", "windows")
+    if bins.any():
+        segments = stored(inputs.mapInArrow(_segments(width, crowded, True), columns + "names array<long>"))
+        least = stored(segments.groupBy("key", "same").agg(
+            F.min(F.struct(*name, "place", "windows", "names")).alias("least"), F.count("*").alias("n")).select("key", "same", "least.*", "n"))
+        classes = least.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
+        later = segments.drop("names").join(least.where("n > 1").select("key", "same", at.alias("least")), ["key", "same"]).where(at > F.col("least"))
+        whole = whole.unionByName(later.select(*span(F.col("place"), F.col("windows"))))
+        first = first.unionByName(least.join(classes.where(F.col("classes") <= CROWDED), "key").select(*first.columns))
+
+        windows = least.join(classes.where(F.col("classes") > CROWDED), "key").select(*name, "place", F.posexplode("names").alias("k", "window"))
+        windows = windows.select("window", *name, (F.col("place") + F.col("k")).alias("place"))
+        least = windows.groupBy("window").agg(F.min(at).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        whole = whole.unionByName(windows.join(least, "window").where(at > F.col("least")).select(*span(F.col("place"), F.lit(1))))
+    wanted = first.groupBy(*name).agg(F.collect_list(F.struct("key", "place", "windows")).alias("wanted"))
 
     dealt = texts.repartition(*name)  # both joins read this one exchange
     shards = dealt.join(wanted, name).select(*name, "text", "wanted").mapInArrow(

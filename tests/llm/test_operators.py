@@ -170,6 +170,40 @@ def test_substring_dedup_parts_rows_of_one_or_no_doc_id(spark):
     assert sum(more.values()) == 1 and more == collections.Counter(k for k in got if k[0] == 5 and k[1].endswith(tail))  # one of doc_id 5 has it first
 
 
+def test_substring_dedup_gathers_no_hot_window(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    prose = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = prose(26)
+    rows = [(i, " ".join(prose(30) + passage + prose(i % 40)), "s") for i in range(80)]
+    rare = prose(30)  # this one is indexed
+    rows += [(i, " ".join(prose(9) + rare + prose(9)), "s") for i in range(80, 83)]
+    search, folder = substring._search, str(tmp_path)
+
+    def watched(width):
+        inner = search(width)
+
+        def rows(batches):
+            seen = collections.Counter()
+
+            def tee():
+                for batch in batches:
+                    seen.update(batch.column("key").to_pylist())
+                    yield batch
+
+            yield from inner(tee())
+            open(f"{folder}/{id(seen)}-{max(seen.values(), default=0)}", "w").close()
+
+        return rows
+
+    monkeypatch.setattr(substring, "_search", watched)
+    monkeypatch.setattr(substring, "CROWDED", 8)
+    want = without_repeats(rows)
+    assert cut_rows(table(spark, rows)) == collections.Counter((i, *want[i, t]) for i, t, _ in rows)
+    assert sum(v[2] for v in want.values()) == 79 * len(passage) + 2 * len(rare)
+    most = [int(f.name.rsplit("-", 1)[1]) for f in tmp_path.iterdir()]
+    assert most and max(most) <= substring.CROWDED  # rows of one key in a task that builds indexes
+
+
 def test_wavelet_ranks_and_matching_statistics():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 37, 1000)
