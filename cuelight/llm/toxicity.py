@@ -67,10 +67,13 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
+        uses: dict[str, list[tuple[float, bool]]] = {}  # a word beginning, the same whole word and an exception may be one key
         for term, weight in self.weights.items():
-            found.add_word(term.rstrip(END), (len(term.rstrip(END)), weight, term.endswith(END)))
+            uses.setdefault(term.rstrip(END), []).append((weight, term.endswith(END)))
         for phrase in self.exceptions:
-            found.add_word(fold(phrase), (len(phrase), 0.0, True))
+            uses.setdefault(fold(phrase), []).append((0.0, True))
+        for key, kinds in uses.items():
+            found.add_word(key, (len(key), kinds))
         if len(found):
             found.make_automaton()
         return found
@@ -84,14 +87,18 @@ def evidence(text: str, automaton: ahocorasick.Automaton) -> float:
     folded = fold(text)
     best: dict[int, float] = {}
     harmless = []
-    for last, (size, weight, whole) in automaton.iter(folded):
+    for last, (size, kinds) in automaton.iter(folded):
         start = last + 1 - size
-        if start and text[start - 1].isalnum() or whole and last + 1 < len(text) and text[last + 1].isalnum():
+        if start and text[start - 1].isalnum():
             continue
-        if weight:
-            best[start] = max(best.get(start, 0.0), weight)
-        else:
-            harmless.append((start, last))
+        inner = last + 1 < len(text) and text[last + 1].isalnum()
+        for weight, whole in kinds:
+            if whole and inner:
+                continue
+            if weight:
+                best[start] = max(best.get(start, 0.0), weight)
+            else:
+                harmless.append((start, last))
     total = sum(w for at, w in best.items() if not any(a <= at <= b for a, b in harmless))
     return total / (1 + math.log1p(len(text) / 1000))
 
@@ -106,7 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_documents: int = 12000, max_te
     of the least hashes of their ids.
 
     A term needs documents of at least max(4, 1 % of the toxic ones) and log-odds of 3. Of nested terms the shortest stays that is
-    about as heavy. Without labelled documents of both kinds the lexicon is empty and all scores are equal.
+    about as heavy, and of more than ``max_terms`` the heaviest stay. The terms come from the ``20 * max_terms`` of most toxic documents.
+    Without labelled documents of both kinds the lexicon is empty and all scores are equal.
     """
     def sample(label):
         kept = labels.where((F.col("toxic") > 0) == F.lit(bool(label)))
@@ -145,9 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_documents: int = 12000, max_te
         nested = [weights[term[:k]] for k in range(SHORTEST, len(term)) if term[:k] in weights]
         if not nested or odds > max(nested) + 1:
             weights[term] = odds
-        if len(weights) >= max_terms:
-            break
-    lexicon = Lexicon(weights)
+    lexicon = Lexicon(dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_terms]))
 
     def look(batches):
         automaton = lexicon.automaton()

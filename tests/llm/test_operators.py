@@ -372,6 +372,14 @@ def test_toxicity(spark):
     assert toxicity.evidence("clowns", automaton) == 0 and toxicity.evidence("mistrash", automaton) == 0
 
 
+def test_toxicity_keeps_beginnings_beside_whole_words_and_the_heaviest_terms(spark):
+    automaton = toxicity.Lexicon({"troll": 3.0, "troll\x00": 4.5}).automaton()
+    assert toxicity.evidence("troll", automaton) > toxicity.evidence("trolling", automaton) > 0
+    rows = [(i, "abcd zzzzzz" if i < 100 else "abcd" if i < 104 else "ok", "s") for i in range(500)]
+    known = labels(spark, [(i, (1, int(i < 100))) for i, _, _ in rows])
+    assert list(toxicity.learn(table(spark, rows), known, max_terms=1).weights) == ["zzzz"]
+
+
 def test_license_scan(spark):
     filler = " ".join(f"f{i}" for i in range(300))
     mit = licenses.TEMPLATES["mit"]
