@@ -23,8 +23,10 @@ from cuelight.llm.words import slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|data-label|style|hidden|href)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-# Elements whose content is no text, elements that end a block, elements without content.
-RAW = frozenset("script style textarea title noscript template svg math select iframe object canvas audio video head".split())
+# Elements whose content is no text, those of them that reach to the end of the page without an end tag, elements that end a
+# block, elements without content.
+RAW = frozenset("script style textarea title noscript template svg select iframe object canvas audio video head".split())
+OPEN_ENDED = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
                   "h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -106,6 +108,8 @@ def blocks(page: str) -> list[Block]:
         if found[1]:
             if tag == "a":
                 links = max(0, links - 1)
+            elif tag in ("button", "label"):
+                flush()
             elif tag in BLOCK:
                 flush()
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -115,7 +119,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if not found[3].endswith("/"):
-                at = end.end() if end else len(page) if tag != "head" else at
+                at = end.end() if end else len(page) if tag in OPEN_ENDED else at
             continue
         if tag == "a":
             links += 1

@@ -413,6 +413,17 @@ def test_html_extraction(spark):
             assert r.text == ""
 
 
+def test_blocks_go_on_after_elements_without_an_end():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    for tag in "svg select object canvas audio video noscript template iframe".split():
+        assert texts(f"<p>one <{tag} class='x'> two</p><p>three</p>") == ["one two", "three"]
+        assert texts(f"<p>one <{tag}>no</{tag}> two</p>") == ["one two"]
+    for tag in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>one <{tag}> two</p><p>three</p>") == ["one"]
+    assert texts("<p>let <math><mi>x</mi></math> be</p>") == ["let x be"]
+    assert texts("<div><button>OK</button>Text <label>Name</label>more</div>") == ["OK", "Text", "Name", "more"]
+
+
 def test_page_field_on_held_out_markup():
     def data(numbers):
         out = []
