@@ -7,6 +7,7 @@ def _load():
         licenses,
         line_quality,
         line_windows,
+        manifest,
         mixing,
         ngram_join,
         order_minhash,

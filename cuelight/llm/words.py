@@ -80,16 +80,19 @@ def _offsets(col: pa.Array) -> np.ndarray:
 
 
 class Words:
-    """The words of a text column without nulls: row r has words first[r]:first[r + 1]; word w is data[start[w]:end[w]]."""
+    """The words of a text column without nulls: row r has words first[r]:first[r + 1]; word w is data[start[w]:end[w]].
 
-    def __init__(self, col: pa.Array, lower: bool = False):
+    ``blank`` says for each byte whether it parts words.
+    """
+
+    def __init__(self, col: pa.Array, lower: bool = False, blank: np.ndarray = SPACE):
         offsets = _offsets(col)
         raw = col.buffers()[2] if len(col) else None
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
         self.data = LOWER[data] if lower else data
         solid = np.zeros(len(data) + 2, bool)
-        solid[1:-1] = ~SPACE[data]
+        solid[1:-1] = ~blank[data]
         before, after = solid[:-2].copy(), solid[2:].copy()
         inner = self.offsets[(self.offsets > 0) & (self.offsets < len(data))]
         before[inner] = False
