@@ -11,6 +11,7 @@ def _load():
         mixing,
         ngram_join,
         order_minhash,
+        packing,
         pieces,
         substring,
         tables,
