@@ -5,7 +5,7 @@ size and then by rank; a gap larger than the band offers several slots. A sweep
 of slots: a document takes the top, its successor, which is the smallest slot left that holds it. Where more documents than slots
 meet, rank decides, and the others go on to the next larger slots. How deep the stack is at each size follows from counts per size;
 slots and documents are numbered by that depth, so a window per depth matches them all at once. Documents for which the stack is empty
-open sequences of documents of their length. Then gaps are updated and the next band begins.
+open sequences and fill them in the order of their ranks. Then gaps are updated and the next band begins.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ class WordIds:
     """Token ids of words, each distinct word encoded once.
 
     For tokenizers that drop white space and encode what stands between on its own; then a text's ids are its words' ids in order.
+    Words are told apart by 64-bit hashes; ``keep`` bounds how many are remembered from one slice of texts to the next.
     """
 
     def __init__(self, path: str, keep: int = 1 << 20):
@@ -43,28 +45,34 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids, self.lengths = [], []
+        #: sorted hashes of the words met, and where the ids of each lie in ``ids``
+        self.known, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        start = len(self.ids) + np.cumsum(length) - length
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(length.sum()))])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.start, self.length = np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where the ids of each word begin."""
         hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.at) + len(hashes) > max(self.keep, len(hashes)):
+        if len(self.known) > self.keep:
             self.clear()
-        new = [i for i, h in enumerate(hashes.tolist()) if h not in self.at]
-        if new:
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(new):
             data = words.data
-            texts = [data[words.start[w] : words.end[w]].tobytes().decode() for w in first[new].tolist()]
-            for i, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                self.at[int(hashes[i])] = len(self.ids)
-                self.ids.append(np.array(e.ids, "<u4"))
-        parts = [self.ids[self.at[h]] for h in hashes.tolist()]
-        length = np.array([len(p) for p in parts], np.int64)
-        start = np.concatenate([[0], np.cumsum(length)])
-        flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-        of_word = length[which]
-        ends = np.concatenate([[0], np.cumsum(of_word)])
-        return flat[np.repeat(start[which] - ends[:-1], of_word) + np.arange(ends[-1])], ends
+            self._learn(hashes[new], [data[words.start[w] : words.end[w]].tobytes().decode() for w in first[new].tolist()])
+            at = np.searchsorted(self.known, hashes)
+        at = at[which]
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.ids[np.repeat(self.start[at] - ends[:-1], length) + np.arange(ends[-1])], ends
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -112,6 +120,31 @@ def sweep_depths(gaps: dict[int, int], docs: dict[int, int], high: int) -> tuple
     return below, matched
 
 
+#: of each length in a band: stack depth, matched documents, how many go to the sequence begun before, it and what it holds, the first new one
+PLAN = "length long, _depth long, _taken long, _carry long, _begun long, _fill long, _opened long"
+
+
+def openings(band: dict[int, tuple[int, int, int]], opened: int, capacity: int) -> tuple[list[tuple], list[tuple[int, int]], int]:
+    """Sequences for the documents of a band (length: depth, matched, count) that found no gap, longest first.
+
+    Gives the plan per length, the (sequence, free) of those not filled by one length, and the number of sequences now open.
+    """
+    plan, ended, begun, fill = [], [], -1, capacity
+    for length in sorted(band, reverse=True):
+        depth, taken, count = band[length]
+        carry = min(count - taken, (capacity - fill) // length)
+        plan.append((length, depth, taken, carry, begun, fill, opened))
+        fill += carry * length
+        rest = count - taken - carry
+        if rest:
+            if begun >= 0:
+                ended.append((begun, capacity - fill))
+            full, some = divmod(rest, capacity // length)
+            opened += full + (some > 0)
+            begun, fill = (opened - 1, some * length) if some else (-1, capacity)
+    return plan, ended + ([(begun, capacity - fill)] if begun >= 0 else []), opened
+
+
 def _slots(gaps: DataFrame, below: dict[int, int], high: int) -> DataFrame:
     """depth, at (size), seq, slot and free of every slot of the gaps: as many of the band's longest as a gap holds, one at least."""
     spark = gaps.sparkSession
@@ -157,12 +190,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         low = int(high / RATIO) if high > SMALL else 0
         band = {n: left.pop(n) for n in list(left) if n > low}
         below, matched = sweep_depths({n: c for n, c in sizes.items() if n > low}, band, high)
-        plan = []
-        for length, count in band.items():
-            depth, taken = matched[length]
-            plan.append((length, depth, taken, count, opened))
-            opened += -(-(count - taken) // (capacity // length))
-        plan = spark.createDataFrame(plan, "length long, _depth long, _taken long, _count long, _opened long")
+        plan, ended, opened = openings({n: (*matched[n], c) for n, c in band.items()}, opened, capacity)
+        plan = spark.createDataFrame(plan, PLAN)
         docs = rows.where((F.col("length") > low) & (F.col("length") <= high)).join(plan, "length")
         fits = gaps
         if sum(taken for _, taken in matched.values()):
@@ -171,14 +200,18 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             placed.append(met.select("_doc", F.col("seq").alias("sequence_id"), (capacity - F.col("free") + F.col("_before")).alias("offset")))
             used = met.groupBy("seq").agg(F.sum("_doc.length").alias("_used"))
             fits = gaps.join(used, "seq", "left").select("seq", (F.col("free") - F.coalesce("_used", F.lit(0))).alias("free"))
+        # the documents of a length that open sequences: some fill the sequence begun by longer ones, the others full ones and one more
         each, i = F.floor(F.lit(capacity) / F.col("length")), F.col("rank") - F.col("_taken")
-        new = docs.where("rank >= _taken").select("_doc", "length", (F.col("_opened") + F.floor(i / each)).alias("seq"), (i % each).alias("_slot"),
-                                                  F.least(each, F.col("_count") - F.col("rank")).alias("_filled"))
+        placed.append(docs.where((i >= 0) & (i < F.col("_carry"))).select("_doc", F.col("_begun").alias("sequence_id"), (F.col("_fill") + i * F.col("length")).alias("offset")))
+        i = i - F.col("_carry")
+        new = docs.where(i >= 0).select("_doc", "length", (F.col("_opened") + F.floor(i / each)).alias("seq"), (i % each).alias("_slot"),
+                                        (i % each == each - 1).alias("_full"))
         placed.append(new.select("_doc", F.col("seq").alias("sequence_id"), (F.col("_slot") * F.col("length")).alias("offset")))
         if left:
             # a gap below the least length left is full
-            fresh = new.where("_slot = 0").select("seq", (capacity - F.col("length") * F.col("_filled")).alias("free"))
-            gaps = stored((fresh if fits is None else fits.unionByName(fresh)).where(F.col("free") >= min(left)))
+            fresh = [new.where("_full").select("seq", (capacity - F.col("length") * (F.col("_slot") + 1)).alias("free")),
+                     spark.createDataFrame(ended, "seq long, free long"), *([fits] if fits else [])]
+            gaps = stored(reduce(DataFrame.unionByName, fresh).where(F.col("free") >= min(left)))
             sizes = {r["free"]: r["n"] for r in gaps.groupBy("free").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not placed:
         return rows.select("_doc", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
