@@ -13,6 +13,7 @@ def _load():
         order_minhash,
         packing,
         pieces,
+        ranked_search,
         substring,
         tables,
         toxicity,
