@@ -25,8 +25,8 @@ from cuelight.llm.tables import registered, stored, table
 from cuelight.llm.words import Words, slices
 
 CAPACITY = 4096
-#: lengths of a band lie within this ratio; lengths up to SMALL are one band
-RATIO, SMALL = 1.5, 64
+#: bands end at halves, quarters ... of the capacity, so two documents of the first never share a sequence; lengths up to SMALL are one band
+SMALL = 64
 #: numbers of sequences that are numbered together
 CHUNK_BITS = 14
 
@@ -187,7 +187,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed, gaps, sizes, opened = [], None, {}, 0
     while left:
         high = max(left)
-        low = int(high / RATIO) if high > SMALL else 0
+        low = capacity
+        while low >= high:
+            low //= 2
+        low = low if high > SMALL else 0
         band = {n: left.pop(n) for n in list(left) if n > low}
         below, matched = sweep_depths({n: c for n, c in sizes.items() if n > low}, band, high)
         plan, ended, opened = openings({n: (*matched[n], c) for n, c in band.items()}, opened, capacity)
