@@ -10,13 +10,14 @@ open sequences and fill them in the order of their ranks. Then gaps are updated
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,28 +32,65 @@ SMALL = 64
 CHUNK_BITS = 14
 
 
+#: letters and digits of ASCII, and its other signs but the apostrophe (it may begin a token with the letters after it)
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = 2
+for _first, _last in (b"09", b"AZ", b"az"):
+    KINDS[_first : _last + 1] = 1
+KINDS[0x27] = 0
+
+
 class WordIds:
     """Token ids of words, each distinct word encoded once.
 
-    For tokenizers that drop white space and encode what stands between on its own; then a text's ids are its words' ids in order.
-    Words are told apart by 64-bit hashes; ``keep`` bounds how many are remembered from one slice of texts to the next.
+    For tokenizers that drop white space and encode runs of letters, digits and other signs on their own; then a text's ids are its
+    words' ids in order, and a full stop after a letter is a word of its own.
+    Words are told apart by 64-bit hashes; ``keep`` bounds how many are remembered from one slice of texts to the next. With ``lower``
+    the tokenizer lower-cases, so words may be lower-cased before they are told apart. Where a special token's name is near, words
+    are left whole and as they are.
     """
 
-    def __init__(self, path: str, keep: int = 1 << 20):
+    #: new words encoded in one call; beside them stands a character that the vocabulary holds as one token
+    CALL, PARTS = 200, "€£♥★"
+
+    def __init__(self, path: str, lower: bool = False, keep: int = 1 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.lower, self.keep = Tokenizer.from_file(path), lower, keep
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        single = [(c, self._ids(c)) for c in self.PARTS]
+        self.part, self.part_id = next(((c, i[0]) for c, i in single if len(i) == 1), (None, -1))
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def words(self, texts: pa.Array) -> Words:
+        named = any(pc.any(pc.match_substring(texts, n, ignore_case=True)).as_py() for n in self.names)
+        return Words(texts) if named else Words(texts, lower=self.lower, kinds=KINDS)
+
     def clear(self) -> None:
         #: sorted hashes of the words met, and where the ids of each lie in ``ids``
         self.known, self.start, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, found), np.int64, len(found))
+        found, lengths = [], []
+        for i in range(0, len(texts), self.CALL):
+            call = texts[i : i + self.CALL]
+            joined = f" {self.part} ".join(call)
+            if self.part and joined.count(self.part) == len(call) - 1 and not any(n in joined for n in self.names):
+                ids = np.array(self._ids(joined), "<u4")
+                between = ids == self.part_id
+                found.append(ids[~between])
+                lengths.append(np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1)
+            else:
+                own = [np.array(self._ids(t), "<u4") for t in call]
+                found += own
+                lengths.append(np.array([len(o) for o in own]))
+        length = np.concatenate(lengths).astype(np.int64)
         start = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(length.sum()))])
+        self.ids = np.concatenate([self.ids, *found])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
         self.known = known[order]
@@ -75,19 +113,19 @@ class WordIds:
         return self.ids[np.repeat(self.start[at] - ends[:-1], length) + np.arange(ends[-1])], ends
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False, lower: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ``ids``) of every piece of every row of ``docs``.
 
     A row's tokens are the ids of its whole text, without special ones, and ``end_id``; a null or blank text has ``end_id`` alone.
-    Only longer rows are cut. Equal rows are rows of their own; other columns are not read; an empty table has no rows.
+    Only longer rows are cut. ``lower``: the tokenizer lower-cases. Equal rows are rows of their own; other columns are not read; an empty table has no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = WordIds(path), np.array([end_id], "<u4")
+        coder, end = WordIds(path, lower), np.array([end_id], "<u4")
         for batch in slices(batches):
-            words = Words(batch.column(1))
+            words = coder.words(batch.column(1))
             flat, ends = coder.encode(words)
             rows, out = [], []
             for r in range(batch.num_rows):

@@ -82,10 +82,10 @@ def _offsets(col: pa.Array) -> np.ndarray:
 class Words:
     """The words of a text column without nulls: row r has words first[r]:first[r + 1]; word w is data[start[w]:end[w]].
 
-    ``blank`` says for each byte whether it parts words.
+    ``blank`` says for each byte whether it parts words; words also end between bytes of ``kinds`` 1 and 2.
     """
 
-    def __init__(self, col: pa.Array, lower: bool = False, blank: np.ndarray = SPACE):
+    def __init__(self, col: pa.Array, lower: bool = False, blank: np.ndarray = SPACE, kinds: np.ndarray | None = None):
         offsets = _offsets(col)
         raw = col.buffers()[2] if len(col) else None
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
@@ -97,6 +97,11 @@ class Words:
         inner = self.offsets[(self.offsets > 0) & (self.offsets < len(data))]
         before[inner] = False
         after[inner - 1] = False
+        if kinds is not None and len(data):
+            kind = kinds[data]
+            turn = kind[1:] * kind[:-1] == 2
+            before[1:] &= ~turn
+            after[:-1] &= ~turn
         self.start = np.flatnonzero(solid[1:-1] & ~before)
         self.end = np.flatnonzero(solid[1:-1] & ~after) + 1
         self.first = np.searchsorted(self.start, self.offsets)
