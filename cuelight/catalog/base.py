@@ -96,6 +96,21 @@ class Tables:
 
         return f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
 
+    #: folders of the block indexes written so far, by application and input
+    _INDEXES: dict[tuple[str, str], str] = {}
+
+    def block_index(self):
+        """The block index of ``docs``, written once per application and read by every search."""
+        from cuelight.operators.blockmax import block_index
+        from cuelight.sources.writers import read_block_index, write_block_index
+
+        key = self.spark.sparkContext.applicationId, self.dir
+        if key not in self._INDEXES:
+            path = self.scratch()
+            write_block_index(block_index(self.docs), path, self.spark.sparkContext.defaultParallelism)
+            self._INDEXES[key] = path
+        return read_block_index(self.spark, self._INDEXES[key])
+
     @cached_property
     def keyframes(self) -> DataFrame:
         e = self["embeddings"].select(

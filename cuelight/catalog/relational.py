@@ -12,6 +12,7 @@ from cuelight.operators import dense as D
 from cuelight.operators import evaluation as E
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
+from cuelight.operators import blockmax as BM
 from cuelight.operators import lexical as L
 from cuelight.operators import transcripts as TR
 from cuelight.operators.ordered import top_k
@@ -407,6 +408,13 @@ def _(t):
     return L.search_index(t.lex_queries, L.build_index(t.docs)).select("query_id", "doc_id", F.col("rank").cast(B).alias("rank"))
 
 
+@query("tk_block_max", f"SELECT query_id, doc_id, rank::BIGINT AS rank, {R('score')} AS score FROM doc_hits WHERE rank <= 10")
+def _(t):
+    # from the stored index, whose blocks below a query's threshold are not opened
+    found = BM.search(t.lex_queries, t.block_index(), 10)
+    return found.select("query_id", "doc_id", F.col("rank").cast(B).alias("rank"), r6("score").alias("score"))
+
+
 @query("ag_concat_text", """
 SELECT video_id, floor(doc_id / 1000.0)::BIGINT AS part_no, string_agg(text, ' ' ORDER BY doc_id) AS text FROM video_pieces GROUP BY ALL""")
 def _(t):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cuelight.functions import numeric as N
 from cuelight.functions import text as T
 from cuelight.functions.text import strip
+from cuelight.operators import blockmax as BM
 from cuelight.operators import dense as D
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
@@ -34,14 +35,14 @@ class Corpus:
     docs: doc_id, video_id, start_sec, end_sec, text, source ('asr' or 'ocr')
     segments: video_id, segment_id, position, start_sec, end_sec, start_frame,
     end_frame, text, and embedding when semantic search is wanted
-    index: the inverted index of ``docs`` when it is stored
+    index: the index of ``docs`` when it is stored, in blocks or plain
     """
 
     keyframes: DataFrame
     docs: DataFrame
     segments: DataFrame
     semantic: bool = False
-    index: L.Index | None = None
+    index: BM.BlockIndex | L.Index | None = None
 
 
 def with_intent(queries: DataFrame) -> DataFrame:
@@ -50,7 +51,10 @@ def with_intent(queries: DataFrame) -> DataFrame:
 
 def lexical_evidence(queries: DataFrame, corpus: Corpus, window: float, k: int = 300, calibration: str = "ocr") -> DataFrame:
     """query_id, kf_id, score, text from BM25 hits. calibration: 'ocr' (boosts screen text), 'plain' or 'max'."""
-    hits = L.search_index(queries, corpus.index, k) if corpus.index else L.bm25(queries, corpus.docs, k)
+    if isinstance(corpus.index, BM.BlockIndex):
+        hits = BM.search(queries, corpus.index, k)
+    else:
+        hits = L.search_index(queries, corpus.index, k) if corpus.index else L.bm25(queries, corpus.docs, k)
     hits = hits.join(corpus.docs, "doc_id")
     if calibration == "ocr":
         hits = hits.join(queries.select("query_id", F.col("intent.w_ocr").alias("_w")), "query_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import text as T
 from cuelight.functions.text import strip
+from cuelight.operators.blockmax import BlockIndex
 from cuelight.operators.lexical import Index
 
 
@@ -53,6 +54,18 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus")])
 
 
+def write_block_index(index: BlockIndex, path: str, buckets: int = 64) -> None:
+    """Blocks clustered by term; the bounds are columns of their own, so a search reads postings of opened blocks only."""
+    blocks = index.blocks.repartitionByRange(buckets, "term", "block").sortWithinPartitions("term", "block")
+    blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def read_block_index(spark: SparkSession, path: str) -> BlockIndex:
+    return BlockIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("blocks", "term_stats", "corpus")])
+
+
 def write_vectors(celled: DataFrame, path: str) -> None:
     """Vectors in a folder per cell, so a probe reads its cells only."""
     celled.repartition("cell", F.pmod(F.xxhash64("kf_id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(path)

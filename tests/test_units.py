@@ -303,3 +303,28 @@ def test_rerank_falls_back_to_dense(spark):
 
     bad = X.rerank(c, pair_scorer(broken), 2).orderBy("rank").collect()
     assert [r.segment_id for r in bad] == [0, 1] and bad[0].rerank_score == 1.0
+
+
+def test_block_index_skips_and_gives_the_same(spark, tmp_path):
+    from cuelight.operators import blockmax as BM
+    from cuelight.sources.writers import read_block_index, write_block_index
+
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(400)])
+    weight = 1.0 / np.arange(1, 401)
+    docs = [(i, " ".join(rng.choice(words, size=rng.integers(1, 80), p=weight / weight.sum()))) for i in range(3000)]
+    docs += [(3000 + i, docs[17][1]) for i in range(40)] + [(5000, " "), (5001, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    q = spark.createDataFrame([(0, "w0 w1 w350"), (1, "w120 w7 w7"), (2, "w399"), (3, "nowhere"), (4, docs.filter("doc_id = 17").first().text), (5, "")],
+                              "query_id long, text string")
+    write_block_index(BM.block_index(docs, block_docs=16), str(tmp_path), 3)
+    index = read_block_index(spark, str(tmp_path))
+    for k in (1, 10, 300):
+        want = sorted(map(tuple, L.bm25(q, docs, k).collect()))
+        assert sorted(map(tuple, BM.search(q, index, k).collect())) == want
+    _, blocks = BM.rounds(q, index, 10, block_docs=16)
+    total, opened = blocks.filter("query_id in (0, 4)").agg(F.count(F.lit(1)), F.count_if("opened")).first()
+    assert 0 < opened < 0.75 * total
+    # bounds come from two columns of a block
+    plan = BM.bounds(BM._weights(q, index), index)._jdf.queryExecution().executedPlan().toString()
+    assert "max_tf" in plan and "postings" not in plan
