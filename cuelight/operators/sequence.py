@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
 from cuelight.functions.text import strip
-from cuelight.operators.ordered import prefix_max, running_sum, time_chunk, top_k, with_position, with_previous
+from cuelight.operators.ordered import running_sum, time_chunk, top_k, with_position, with_previous
 from cuelight.session import reliable
 
 
@@ -130,48 +130,22 @@ def align(
 
     events: query_id, event_no (0-based), embedding; keyframes: video_id, n, frame_idx, embedding.
     Videos are first ranked by their best keyframe against the mean event, then
-    the exact alignment runs as one prefix maximum per event over the keyframes
-    of the ``top_videos``, in chunks of a timeline.
+    the exact alignment of the ``top_videos`` is one (max, +) matrix per chunk
+    of a timeline and one fold over a timeline's matrices.
     """
     from cuelight.operators import dense as D
+    from cuelight.operators.maxplus import alignments
 
     means = D.mean_vectors(events, ["query_id"])
     best = D.topk(means, keyframes, 1, "kf_id", group="video_id")
     videos = top_k(best.select("query_id", "video_id", "dense"), ["query_id"],
                    [F.desc("dense"), F.asc("video_id")], top_videos, "video_rank").select("query_id", "video_id")
-    counts = events.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    n_events = counts.agg(F.max("_n")).head()[0] or 0
-    sizes = keyframes.groupBy("video_id").agg(F.count(F.lit(1)).alias("_t"))
-    long_enough = videos.join(counts, "query_id").join(sizes, "video_id").filter("_t >= _n").drop("_t")
-    packed = events.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("event_no", "embedding"))).alias("_ev")
-    )
+    packed = events.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("event_no", "embedding"))).alias("_ev"))
     frames = (
-        keyframes.select("video_id", "n", "frame_idx", "embedding").join(long_enough, "video_id").join(packed, "query_id")
-        .withColumn("_s", F.transform("_ev", lambda e: N.dot(e["embedding"], F.col("embedding"))))
-        .drop("_ev", "embedding")
-    )
-    # state: (score so far, minus the frame position so that the earliest wins, path of frames)
-    state = F.struct(F.col("_s")[0].alias("score"), (-F.col("n")).alias("at"), F.array("frame_idx").alias("path"))
-    # every step reads its input twice (rows and chunk summary), so each is cut from the ones before
-    frames = reliable(frames.withColumn("_dp", state))
-    chunk = F.floor(F.col("n") / chunk_rows)
-    finals = None
-    for i in range(n_events):
-        if i:
-            frames = prefix_max(frames, ["query_id", "video_id"], ["n"], chunk, "_dp", "_before").filter(
-                F.col("_before").isNotNull() & (F.col("_n") > i)
-            )
-            frames = frames.withColumn("_dp", F.struct(
-                (F.col("_s")[i] + F.col("_before.score")).alias("score"), (-F.col("n")).alias("at"),
-                F.concat("_before.path", F.array("frame_idx")).alias("path"),
-            )).drop("_before")
-            frames = reliable(frames) if i + 1 < n_events else frames
-        done = frames.filter(F.col("_n") == i + 1).groupBy("query_id", "video_id", "_n").agg(F.max("_dp").alias("_b"))
-        finals = done if finals is None else finals.unionByName(done)
-    return finals.select(
-        "query_id", "video_id", (F.col("_b.score") / F.col("_n")).alias("score"), F.col("_b.path").alias("frames")
+        keyframes.select("video_id", "n", "frame_idx", "embedding").join(videos, "video_id").join(packed, "query_id")
+        .select("query_id", "video_id", "n", "frame_idx", F.transform("_ev", lambda e: N.dot(e["embedding"], F.col("embedding"))).alias("_s"))
     )
+    return alignments(frames, ["query_id", "video_id"], chunk_rows)
 
 
 def shots(

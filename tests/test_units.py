@@ -152,6 +152,23 @@ def test_align_takes_any_number_of_events(spark, n):
     assert [list(x.frames) for x in r] == [[30 * i for i in range(n)]]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_matrices_against_brute_force(seed):
+    from itertools import combinations
+
+    from cuelight.operators.maxplus import chunk_matrix, fold
+
+    rng = np.random.default_rng(seed)
+    scores = rng.integers(-3, 4, (11, 3)).astype(np.int64)  # few values, many ties
+    at = np.arange(1, 12)
+    want = max(((sum(int(scores[t, e]) for e, t in enumerate(p)), tuple(-at[t] for t in reversed(p)), p) for p in combinations(range(11), 3)))
+    for width in (1, 2, 4, 11):
+        parts = [chunk_matrix(scores[k : k + width], at[k : k + width], at[k : k + width] * 10) for k in range(0, 11, width)]
+        total, where, frames = fold(iter(parts), 3)
+        assert (total, where) == (want[0], [int(at[t]) for t in want[2]]) and frames == [10 * w for w in where]
+    assert fold(iter([chunk_matrix(scores[:2], at[:2], at[:2])]), 3) is None
+
+
 def test_candidates_without_a_segment_are_their_own_window(spark):
     seg = spark.createDataFrame([("v", i, i + 1, 2.0 * i, 2.0 * i + 1.5, 50 * i, 50 * i + 37, f" t{i}\n") for i in range(4)],
                                 "video_id string, segment_id long, position long, start_sec double, end_sec double, start_frame long, end_frame long, text string")
