@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cuelight.functions import numeric as N
 from cuelight.functions.text import strip
-from cuelight.operators.ordered import running_sum, time_chunk, top_k, with_position, with_previous
+from cuelight.operators.ordered import time_chunk, top_k, with_position, with_previous
+from cuelight.operators.spacing import spaced
 from cuelight.session import reliable
 
 
@@ -154,16 +155,16 @@ def shots(
     """Shots over a table of frame histograms: video_id, frame_no (0-based, dense), hist.
 
     A cut is a drop of the correlation with the frame before by more than
-    ``threshold`` once the current shot has ``min_frames``. Cuts at least
-    ``min_frames`` after the candidate before them always count, so only runs of
-    close candidates are folded.
+    ``threshold`` once the current shot has ``min_frames``; close cuts are
+    decided chunk by chunk (:mod:`cuelight.operators.spacing`).
     """
     chunk = time_chunk("frame_no", chunk_rows)
     seen = with_previous(frames, ["video_id"], ["frame_no"], chunk, ["hist"])
     drop = F.lit(1.0) - correlation(F.col("prev.hist"), F.col("hist"))
     cuts = reliable(seen.filter(drop > threshold).select("video_id", "frame_no"))
     starts = frames.groupBy("video_id").agg(F.lit(0).cast("bigint").alias("frame_no"))
-    accepted = reliable(greedy_spacing(cuts.unionByName(starts).distinct(), "frame_no", min_frames, chunk_rows))
+    candidates = cuts.unionByName(starts).distinct().withColumn("_no", F.col("frame_no"))
+    accepted = reliable(spaced(candidates, "frame_no", "_no", min_frames, max(chunk_rows, min_frames + 1.0)).drop("_no"))
     ends = frames.groupBy("video_id").agg((F.max("frame_no") + 1).alias("_len"))
     back = with_previous(
         accepted.withColumn("_neg", -F.col("frame_no")), ["video_id"], ["_neg"], F.floor(F.col("_neg") / chunk_rows),
@@ -197,51 +198,14 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), N.let(pair, of))
 
 
-def greedy_spacing(rows: DataFrame, at: str, gap: float, chunk: float) -> DataFrame:
-    """Keep rows of a timeline so that each is at least ``gap`` after the kept row before it.
-
-    A row at least ``gap`` after its neighbour is always kept, so the timeline
-    falls into islands that are folded one by one.
-    """
-    seen = with_previous(rows, ["video_id"], [at], time_chunk(at, chunk), [at])
-    flags = seen.withColumn(
-        "_new", F.when(F.coalesce(F.col(at) - F.col(f"prev.{at}") < gap, F.lit(False)), 0).otherwise(1)
-    ).drop("prev")
-    islands = running_sum(flags, ["video_id"], [at], time_chunk(at, chunk), "_new", "_island")
-    grouped = islands.groupBy("video_id", "_island").agg(F.array_sort(F.collect_list(at)).alias("_at"))
-    kind = grouped.schema["_at"].dataType.simpleString()
-
-    def step(kept, x):
-        return F.when((F.size(kept) > 0) & (x - F.element_at(kept, -1) < gap), kept).otherwise(F.concat(kept, F.array(x)))
-
-    return grouped.select("video_id", F.explode(F.aggregate("_at", F.array().cast(kind), step)).alias(at))
-
-
 def prune_static(
-    frames: DataFrame, min_gap: float = 0.5, similar: float = 0.96, chunk_width: float = 3600.0,
+    frames: DataFrame, min_gap: float = 0.5, similar: float = 0.96, chunk_width: float = 60.0,
 ) -> DataFrame:
     """Drop a frame less than ``min_gap`` after the last kept frame that correlates more than ``similar`` with it.
 
-    frames: video_id, frame_no, pts_time, hist. A frame ``min_gap`` after its
-    neighbour is always kept, so only islands of close frames are folded.
+    frames: video_id, frame_no, pts_time, hist. A task holds the frames of ``chunk_width`` seconds, 1,500 at 25 frames a second.
     """
-    chunk = time_chunk("pts_time", chunk_width)
-    seen = with_previous(frames, ["video_id"], ["pts_time", "frame_no"], chunk, ["pts_time"])
-    close = F.coalesce(F.col("pts_time") - F.col("prev.pts_time") < min_gap, F.lit(False))
-    flags = seen.withColumn("_new", F.when(close, 0).otherwise(1)).drop("prev")
-    islands = running_sum(flags, ["video_id"], ["pts_time", "frame_no"], chunk, "_new", "_island")
-    item = F.struct("pts_time", "frame_no", "hist")
-    grouped = islands.groupBy("video_id", "_island").agg(F.array_sort(F.collect_list(item)).alias("_f"))
-    kind = grouped.schema["_f"].dataType.simpleString()
-
-    def step(kept, x):
-        last = F.element_at(kept, -1)
-        twin = (x["pts_time"] - last["pts_time"] < min_gap) & (correlation(last["hist"], x["hist"]) > similar)
-        return F.when((F.size(kept) > 0) & twin, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return grouped.select("video_id", F.explode(F.aggregate("_f", F.array().cast(kind), step)).alias("_k")).select(
-        "video_id", F.col("_k.frame_no").alias("frame_no"), F.col("_k.pts_time").alias("pts_time")
-    )
+    return spaced(frames, "pts_time", "frame_no", min_gap, chunk_width, "hist", similar).select("video_id", "frame_no", "pts_time")
 
 
 def shot_samples(shot_rows: DataFrame, fps: float = 25.0) -> DataFrame:

@@ -345,3 +345,28 @@ def test_block_index_skips_and_gives_the_same(spark, tmp_path):
     # bounds come from two columns of a block
     plan = BM.bounds(BM._weights(q, index), index)._jdf.queryExecution().executedPlan().toString()
     assert "max_tf" in plan and "postings" not in plan
+
+
+def test_pruning_over_chunks(spark):
+    rng = np.random.default_rng(5)
+    looks = rng.normal(size=(4, 6))
+    rows = []
+    for v, fps, n in (("a", 25.0, 900), ("b", 3.0, 120), ("c", 1.0, 1)):
+        look = 0
+        for i in range(n):
+            if rng.random() < 0.08:
+                look = int(rng.integers(4))
+            # constant frames, jumps in time and many static stretches
+            rows.append((v, i, 7.0 * (i > n // 2) + i / fps, [0.5] * 6 if rng.random() < 0.01 else [float(x) for x in looks[look] + rng.normal(size=6) * 0.1]))
+    want, last = set(), {}
+    for v, i, t, h in rows:
+        if v in last and t - last[v][0] < 0.5:
+            a, b = np.array(last[v][1]), np.array(h)
+            if (np.corrcoef(a, b)[0, 1] if a.std() > 1e-12 and b.std() > 1e-12 else 1.0) > 0.96:
+                continue
+        last[v] = (t, h)
+        want.add((v, i))
+    df = spark.createDataFrame(rows, "video_id string, frame_no long, pts_time double, hist array<double>").repartition(5)
+    assert 50 < len(want) < 700
+    for width in (0.7, 3.0, 60.0):
+        assert {(r.video_id, r.frame_no) for r in S.prune_static(df, chunk_width=width).collect()} == want
