@@ -195,7 +195,8 @@ g AS (SELECT *, len(c) AS n, list_transform(c[2:], lambda x: try_cast(trim(x) AS
 e AS (SELECT file, row_no, unnest([CASE WHEN regexp_matches(lower(trim(c[1])), '\.(mp4|avi|mkv|mov)$') THEN 'file_extension' END, CASE WHEN regexp_matches(trim(c[1]), '[/\\]') THEN 'path_separator' END,
   CASE WHEN n = 2 AND NOT regexp_matches(trim(c[2]), '^\d+$') THEN 'frame_not_integer' WHEN n > 3 AND len(list_filter(fr, lambda x: x IS NULL)) > 0 THEN 'frame_not_integer'
     WHEN n > 3 AND fr <> list_sort(fr) THEN 'not_chronological' END, CASE WHEN row_no = 1 AND regexp_matches(lower(c[1]), 'video|query|id|frame') THEN 'header_row' END]) AS error FROM g)
-SELECT * FROM e WHERE error IS NOT NULL UNION ALL SELECT file, 0, 'too_many_rows' FROM l GROUP BY file HAVING count(*) > 100""")
+SELECT * FROM e WHERE error IS NOT NULL UNION ALL SELECT file, 0, 'too_many_rows' FROM l GROUP BY file HAVING count(*) > 100
+UNION ALL SELECT file, 0, 'empty_file' FROM l GROUP BY file HAVING coalesce(max(length(trim(line))), 0) = 0""")
 def _(t):
     return SB.validate(_lines(t))
 

@@ -102,12 +102,15 @@ def _(t):
     return e.select("event_id", F.coalesce(clip_range_error("s", "e"), F.lit("ok")).alias("code"))
 
 
-@query("flt_sample_range")
+@query("flt_sample_range", f"""
+WITH v AS (SELECT video_id, max(frame_idx) AS nf, max(frame_idx) / max(fps) AS len FROM keyframes GROUP BY 1),
+r AS (SELECT video_id, len, unnest(range(1, 9)) AS try_no FROM v WHERE nf >= 30 AND len >= 3.0)
+SELECT video_id, try_no::INT AS try_no, {R("greatest(1.0, len * 0.10) + ('0x' || md5('11:' || video_id || ':' || try_no)[1:8])::BIGINT / 4294967296.0 * (least(len - 1.0, len * 0.90) - greatest(1.0, len * 0.10))")} AS pts_time FROM r""")
 def _(t):
     from cuelight.operators.sequence import sample_times
 
     videos = t.keyframes.groupBy("video_id").agg(F.max("frame_idx").alias("n_frames"), F.max("fps").alias("fps"))
-    return sample_times(videos, tries=8, seed=11).select("video_id", "try_no", "pts_time")
+    return sample_times(videos, tries=8, seed=11).select("video_id", "try_no", r6("pts_time").alias("pts_time"))
 
 
 _SCORED = f"SELECT query_id, kf_id, video_id, pts_time, frame_idx, dense AS score, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, kf_id) AS rank FROM dense_all"

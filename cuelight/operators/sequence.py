@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelight.functions import numeric as N
 from cuelight.functions.text import strip
 from cuelight.operators.ordered import time_chunk, top_k, with_position, with_previous
+from cuelight.operators.sampling import draw_key, unit
 from cuelight.operators.spacing import spaced
 from cuelight.session import reliable
 
@@ -277,6 +278,6 @@ def sample_times(videos: DataFrame, tries: int = 8, seed: int = 0) -> DataFrame:
     length = F.col("n_frames") / F.col("fps")
     lo, hi = F.greatest(F.lit(1.0), length * 0.10), F.least(length - 1.0, length * 0.90)
     usable = videos.filter((F.col("n_frames") >= 30) & (F.col("fps") > 0) & (length >= 3.0))
-    unit = F.pmod(F.xxhash64("video_id", "try_no", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    share = unit(draw_key(F.lit(seed), "video_id", "try_no"))
     return usable.withColumn("try_no", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn(
-        "pts_time", lo + unit * (hi - lo))
+        "pts_time", lo + share * (hi - lo))

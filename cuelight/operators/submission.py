@@ -85,7 +85,8 @@ def csv_fields(line) -> Column:
 def validate(lines: DataFrame, mode: str | None = None) -> DataFrame:
     """Error rows (file, row_no, error) for submission lines (file, row_no, line).
 
-    Row 0 carries the errors of a whole file.
+    Row 0 carries the errors of a whole file; one with nothing but blank lines
+    is empty.
     """
     f = F.col("_f")
     n = F.size(f)
@@ -113,7 +114,6 @@ def validate(lines: DataFrame, mode: str | None = None) -> DataFrame:
     per_row = parsed.select(
         "file", "row_no", F.explode(F.filter(F.array(*checks), lambda e: e.isNotNull())).alias("error")
     )
-    too_many = lines.groupBy("file").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ROWS).select(
-        "file", F.lit(0).cast("bigint").alias("row_no"), F.lit("too_many_rows").alias("error")
-    )
-    return per_row.unionByName(too_many)
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("_n"), F.count_if(strip(F.coalesce("line", F.lit(""))) != "").alias("_filled"))
+    whole = F.filter(F.array(F.when(F.col("_filled") == 0, "empty_file"), F.when(F.col("_n") > ROWS, "too_many_rows")), lambda e: e.isNotNull())
+    return per_row.unionByName(sizes.select("file", F.lit(0).cast("bigint").alias("row_no"), F.explode(whole).alias("error")))

@@ -89,9 +89,10 @@ def refine(
 
 
 def fixed_route(queries: DataFrame, weights: tuple[float, float] | None) -> DataFrame:
-    """Feedback uses the intent's weights as they are: no evidence gate."""
+    """Feedback uses the intent's weights as they are: no evidence gate. Chosen weights are clamped to 0..1."""
     if weights is not None:
-        return queries.select("query_id", F.lit(float(weights[0])).alias("w_dense"), F.lit(float(weights[1])).alias("w_speech"))
+        d, s = (max(0.0, min(1.0, float(w))) for w in weights)
+        return queries.select("query_id", F.lit(d).alias("w_dense"), F.lit(s).alias("w_speech"))
     visual = strip(F.coalesce("text", F.lit(""))) == ""
     return queries.select(
         "query_id", F.when(visual, 0.85).otherwise(F.col("intent.w_dense")).alias("w_dense"),

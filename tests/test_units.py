@@ -370,3 +370,31 @@ def test_pruning_over_chunks(spark):
     assert 50 < len(want) < 700
     for width in (0.7, 3.0, 60.0):
         assert {(r.video_id, r.frame_no) for r in S.prune_static(df, chunk_width=width).collect()} == want
+
+
+def test_draws_do_not_depend_on_the_order_of_rows(spark):
+    from cuelight.operators.sampling import bottom_k, first_successes
+
+    rows = spark.createDataFrame([(f"g{i % 3 if i % 2 else 0}", i) for i in range(900)], "g string, id long")
+    a = sorted(map(tuple, bottom_k(rows.repartition(7), ["g"], "id", 20, 3).collect()))
+    assert a == sorted(map(tuple, bottom_k(rows.orderBy(F.desc("id")), ["g"], "id", 20, 3).collect()))
+    assert len(a) == 60 and len({x[1] for x in a}) == 60
+    drawn = {r.id: r.draw_no for r in bottom_k(rows, [], "id", 40, 3).collect()}
+    picked = first_successes(rows, [], "id", 10, F.col("id") % 3 == 0, seed=3).orderBy("pick_no").collect()
+    want = sorted((i for i in drawn if i % 3 == 0), key=drawn.get)[:10]
+    assert [r.id for r in picked] == want and [r.pick_no for r in picked] == list(range(1, len(want) + 1))
+    assert bottom_k(rows.filter("g = 'g1'"), ["g"], "id", 10_000).count() == rows.filter("g = 'g1'").count()
+
+
+def test_an_empty_submission_is_an_error(spark):
+    from cuelight.operators.submission import validate
+
+    lines = spark.createDataFrame([("a", 1, " "), ("a", 2, None), ("b", 1, "L1,5"), ("b", 2, "")], "file string, row_no long, line string")
+    assert [tuple(r) for r in validate(lines).collect()] == [("a", 0, "empty_file")]
+
+
+def test_chosen_feedback_weights_are_clamped(spark):
+    from cuelight.plans.feedback import fixed_route
+
+    r = fixed_route(spark.createDataFrame([(1,)], "query_id long"), (1.7, -2)).first()
+    assert (r.w_dense, r.w_speech) == (1.0, 0.0)
