@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cuelight.catalog.base import G, R, Tables, letter_counts, letter_profile, query, r6, sql_dot, sql_letter_counts
+from cuelight.catalog.base import G, R, Tables, letter_counts, letter_profile, query, r6, sql_dot, sql_letter_counts, sql_tokens
 from cuelight.catalog.relational import (
     _SCORED, SQL_BEST, SQL_LISTS, SQL_MEAN, SQL_OBJ, SQL_OKAPI, SQL_POSITIVE, SQL_PROFILE, SQL_RERANK, SQL_SEM, SQL_SEMBEST,
     SQL_SPOKEN, lists, reranked, scored,
@@ -317,6 +317,18 @@ def _(t):
     return X.weighted_norm(*lists(t)).select("query_id", "video_id", "start_cs", "end_cs", big("rank"), six("fused"))
 
 
+@query("rt_fused_rerank", f"""
+WITH {SQL_LISTS}, f AS (SELECT *, {G('bm25 * 0.5 + semantic * 0.5')} AS fused FROM uni),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM f) WHERE rank <= 200),
+n AS (SELECT * EXCLUDE (fused), len(list_intersect(list_distinct(qt), list_distinct(dt))) / greatest(1, len(list_distinct(qt))) AS fused FROM (
+  SELECT r.*, {sql_tokens('trim(q.text)')} AS qt, {sql_tokens('trim(r.text)')} AS dt FROM r JOIN lex_queries q USING (query_id) WHERE rank <= 30))
+SELECT query_id, video_id, start_cs, end_cs, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, rank) AS rank, {R('fused')} AS fused FROM n
+UNION ALL SELECT query_id, video_id, start_cs, end_cs, rank, {R('fused')} AS fused FROM r WHERE rank > 30""")
+def _(t):
+    asked = t.lex_queries.select("query_id", F.col("text").alias("query"))
+    return X.weighted_norm(*lists(t), queries=asked, scorer=X.overlap_score).select("query_id", "video_id", "start_cs", "end_cs", big("rank"), six("fused"))
+
+
 @query("rt_rrf", f"""
 WITH {SQL_LISTS}, r AS (SELECT *, CASE WHEN in_l THEN row_number() OVER (PARTITION BY query_id, in_l ORDER BY bm25 DESC, video_id, start_cs, end_cs) ELSE 1000 END AS rl,
   CASE WHEN in_s THEN row_number() OVER (PARTITION BY query_id, in_s ORDER BY semantic DESC, video_id, start_cs, end_cs) ELSE 1000 END AS rs FROM uni),

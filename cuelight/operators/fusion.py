@@ -48,17 +48,22 @@ def calibrate_minmax(hits: DataFrame, score: str = "score") -> DataFrame:
     return hits.withColumn(score, N.minmax(score, F.min(score).over(w), F.max(score).over(w)))
 
 
-def weighted_norm(lexical: DataFrame, semantic: DataFrame, w_lex: float = 0.5, w_sem: float = 0.5, k: int = 200) -> DataFrame:
+def weighted_norm(
+    lexical: DataFrame, semantic: DataFrame, w_lex: float = 0.5, w_sem: float = 0.5, k: int = 200,
+    queries: DataFrame | None = None, scorer=None, head: int = 30,
+) -> DataFrame:
+    """Fused hits; with a ``scorer`` (see :func:`rerank`) and ``queries`` (query_id, query) the first ``head`` are rescored."""
     fused = fuse_lists(calibrate_max(lexical), calibrate_minmax(semantic)).withColumn(
         "fused", N.on_grid(F.col("bm25") * w_lex + F.col("semantic") * w_sem)
     )
-    return _ranked(fused, k)
+    return _ranked(fused, k, queries, scorer, head)
 
 
 def reciprocal_rank(
     lexical: DataFrame, semantic: DataFrame, w_lex: float = 0.5, w_sem: float = 0.5, k: int = 200,
-    rrf_k: float = 60.0, absent: int = 1000,
+    rrf_k: float = 60.0, absent: int = 1000, queries: DataFrame | None = None, scorer=None, head: int = 30,
 ) -> DataFrame:
+    """Hits by their ranks in both lists; ``queries``, ``scorer`` and ``head`` as in :func:`weighted_norm`."""
     fused = fuse_lists(calibrate_max(lexical), calibrate_minmax(semantic))
     order = lambda s: [F.desc(s), F.asc("video_id"), F.asc("start_cs"), F.asc("end_cs")]
 
@@ -70,11 +75,18 @@ def reciprocal_rank(
         "rank_sem", list_rank("in_semantic", "semantic")
     )
     score = F.lit(w_lex) / (F.lit(rrf_k) + F.col("rank_lex")) + F.lit(w_sem) / (F.lit(rrf_k) + F.col("rank_sem"))
-    return _ranked(ranked.withColumn("fused", N.on_grid(score)), k)
-
-
-def _ranked(fused: DataFrame, k: int) -> DataFrame:
-    return top_k(fused, ["query_id"], [F.desc("fused"), F.asc("video_id"), F.asc("start_cs"), F.asc("end_cs")], k)
+    return _ranked(ranked.withColumn("fused", N.on_grid(score)), k, queries, scorer, head)
+
+
+def _ranked(fused: DataFrame, k: int, queries: DataFrame | None = None, scorer=None, head: int = 30) -> DataFrame:
+    """The first ``k`` hits. Only the head is scored anew; it is ordered by its new scores and the tail follows as it was."""
+    order = [F.desc("fused"), F.asc("video_id"), F.asc("start_cs"), F.asc("end_cs")]
+    if scorer is None:
+        return top_k(fused, ["query_id"], order, k)
+    ranked = top_k(fused, ["query_id"], order, max(k, head))
+    first = ranked.filter(F.col("rank") <= head).withColumnRenamed("fused", "dense").join(queries.select("query_id", "query"), "query_id")
+    rescored = rerank(first, scorer, head, "start_cs").withColumnRenamed("rerank_score", "fused").select(*ranked.columns)
+    return rescored.unionByName(ranked.filter(F.col("rank") > head)).filter(F.col("rank") <= k)
 
 
 def rerank(candidates: DataFrame, scorer, k: int, tie: str = "segment_id") -> DataFrame:

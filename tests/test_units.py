@@ -398,3 +398,21 @@ def test_chosen_feedback_weights_are_clamped(spark):
 
     r = fixed_route(spark.createDataFrame([(1,)], "query_id long"), (1.7, -2)).first()
     assert (r.w_dense, r.w_speech) == (1.0, 0.0)
+
+
+def test_fusion_with_a_reranked_head(spark):
+    from cuelight.operators import fusion as X
+
+    cols = "query_id long, rank int, video_id string, start_sec double, end_sec double, text string, score double"
+    lex = spark.createDataFrame([(q, i + 1, "v", float(i), i + 1.0, f"w{i}", 10.0 - i) for q in (0, 1) for i in range(6)], cols)
+    sem = spark.createDataFrame([(0, 1, "v", 9.0, 10.0, "w9", 0.5)], cols)
+    queries = spark.createDataFrame([(0, "a"), (1, "b")], "query_id long, query string")
+    # longer start, higher score; the whole of query 1 fails
+    score = lambda q, t: F.when(q == "a", F.substring(t, 2, 1).cast("double"))
+    for fuse in (X.weighted_norm, X.reciprocal_rank):
+        plain = {(r.query_id, r["rank"]): r.text for r in fuse(lex, sem).collect()}
+        rows = fuse(lex, sem, queries=queries, scorer=score, head=4, k=6).collect()
+        got = {(r.query_id, r["rank"]): r.text for r in rows}
+        first = sorted((plain[0, i] for i in range(1, 5)), reverse=True)
+        assert [got[0, i] for i in range(1, 5)] == first and [got[0, i] for i in (5, 6)] == [plain[0, i] for i in (5, 6)]
+        assert all(got[1, i] == plain[1, i] for i in range(1, 7)) and len(rows) == 12
