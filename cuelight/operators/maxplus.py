@@ -9,6 +9,7 @@ not matter; among equal totals the last event's earliest frame wins, then the on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,21 +54,28 @@ def _better(a: tuple, b: tuple | None) -> bool:
     return b is None or a[0] > b[0] or (a[0] == b[0] and a[1][::-1] < b[1][::-1])
 
 
+def start(n_events: int) -> list:
+    """Nothing aligned yet: the best total, positions and frames of the first 0, 1, ... events."""
+    return [(0, [], []), *[None] * n_events]
+
+
+def step(state: list, cells: list) -> list:
+    """The state after one more chunk."""
+    new, at = list(state), 0
+    for i in range(len(state) - 1):
+        for j in range(i + 1, len(state)):
+            cell, at = cells[at], at + 1
+            if cell is None or state[i] is None:
+                continue
+            found = state[i][0] + cell[0], state[i][1] + list(cell[1]), state[i][2] + list(cell[2])
+            if _better(found, new[j]):
+                new[j] = found
+    return new
+
+
 def fold(matrices: Iterator[list], n_events: int) -> tuple | None:
     """The best alignment of all events over the chunks in order: total, positions, frames."""
-    state = [(0, [], []), *[None] * n_events]
-    for cells in matrices:
-        new, at = list(state), 0
-        for i in range(n_events):
-            for j in range(i + 1, n_events + 1):
-                cell, at = cells[at], at + 1
-                if cell is None or state[i] is None:
-                    continue
-                found = state[i][0] + cell[0], state[i][1] + list(cell[1]), state[i][2] + list(cell[2])
-                if _better(found, new[j]):
-                    new[j] = found
-        state = new
-    return state[n_events]
+    return reduce(step, matrices, start(n_events))[n_events]
 
 
 def alignments(frames: DataFrame, keys: list[str], chunk_rows: int = 4096) -> DataFrame:
@@ -84,12 +92,25 @@ def alignments(frames: DataFrame, keys: list[str], chunk_rows: int = 4096) -> Da
         cells = chunk_matrix(scores, rows["n"].to_numpy(), rows["frame_idx"].to_numpy())
         return pd.DataFrame([[*key, scores.shape[1], [c and dict(zip(("total", "at", "frames"), c)) for c in cells]]])
 
-    def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n_events = int(rows["n_events"].iloc[0])
-        cells = rows.sort_values("_chunk")["cells"]
-        found = fold(([c and (c["total"], list(c["at"]), list(c["frames"])) for c in m] for m in cells), n_events)
-        return pd.DataFrame([[*key, found[0] / GRID / n_events, found[2]]] if found else [], columns=range(len(key) + 2))
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come by key and chunk, so only the state of one timeline is held
+        names, key, state = [*keys, "score", "frames"], None, []
+
+        def done() -> list:
+            found = state[-1] if key is not None else None
+            return [[*key, found[0] / GRID / (len(state) - 1), found[2]]] if found else []
+
+        for batch in batches:
+            out = []
+            for *own, n_events, cells in zip(*[batch[c].tolist() for c in (*keys, "n_events", "cells")]):
+                if own != key:
+                    out += done()
+                    key, state = own, start(n_events)
+                state = step(state, [c and (c["total"], c["at"], c["frames"]) for c in cells])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(done(), columns=names)
 
     cut = frames.withColumn("_chunk", F.floor(F.col("n") / chunk_rows).cast("bigint"))
     chunks = cut.groupBy(*keys, "_chunk").applyInPandas(matrix, f"{kinds}, _chunk bigint, n_events int, {CELLS}")
-    return chunks.groupBy(*keys).applyInPandas(best, f"{kinds}, score double, frames array<bigint>")
+    in_order = chunks.repartition(*keys).sortWithinPartitions(*keys, "_chunk")
+    return in_order.mapInPandas(best, f"{kinds}, score double, frames array<bigint>")
