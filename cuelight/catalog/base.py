@@ -223,6 +223,19 @@ class Tables:
             F.posexplode(F.array("_w", "event_type")).alias("kw_no", "keyword"),
         ).withColumn("weight", F.when(F.col("kw_no") == 0, 1.0).otherwise(0.5))
 
+    @cached_property
+    def mixed_keywords(self) -> DataFrame:
+        """Per query its second word as an exact phrase and, as a semantic keyword, that word with the type of the query's event and the vector of keyframe q + 7."""
+        b = self["benchmark"].select("item_id", F.element_at(F.split("text", " "), 2).alias("_w"))
+        e = self["events"].select("event_id", "event_type")
+        v = self["embeddings"].select("vec_id", N.as_doubles("embedding").alias("_v"))
+        rows = b.join(e, F.col("item_id") == F.col("event_id")).join(v, F.col("item_id") + 7 == F.col("vec_id"))
+        exact = F.struct(F.lit(0).alias("kw_no"), F.col("_w").alias("keyword"), F.lit(0.5).alias("weight"), F.lit(True).alias("exact"),
+                         F.lit(None).cast("array<double>").alias("embedding"))
+        semantic = F.struct(F.lit(1).alias("kw_no"), F.concat_ws(" ", "_w", "event_type").alias("keyword"), F.lit(0.8).alias("weight"),
+                            F.lit(None).cast("boolean").alias("exact"), F.col("_v").alias("embedding"))
+        return rows.select(F.col("item_id").alias("query_id"), F.explode(F.array(exact, semantic)).alias("_k")).select("query_id", "_k.*")
+
     @cached_property
     def object_queries(self) -> DataFrame:
         e = self["events"].select("event_id", "event_type")
@@ -340,6 +353,10 @@ VIEWS = {
   SELECT item_id AS query_id, kw_no, CASE WHEN kw_no = 0 THEN string_split(b.text, ' ')[2] ELSE event_type END AS keyword,
          CASE WHEN kw_no = 0 THEN 1.0 ELSE 0.5 END AS weight
   FROM (SELECT item_id, text, unnest([0, 1]) AS kw_no FROM benchmark) b JOIN events e ON item_id = event_id""",
+    "mixed_keywords": """
+  SELECT item_id AS query_id, string_split(b.text, ' ')[2] AS exact_word, concat_ws(' ', string_split(b.text, ' ')[2], event_type) AS keyword,
+         v.embedding::DOUBLE[] AS embedding
+  FROM benchmark b JOIN events e ON item_id = event_id JOIN embeddings v ON item_id + 7 = v.vec_id""",
     "object_queries": """
   SELECT query_id, q.text || ' ' || event_type AS text, embedding FROM queries q JOIN events ON query_id = event_id""",
     "event_vectors": """
@@ -389,6 +406,26 @@ def _bm25_views() -> None:
     from cuelight.functions import lexicon as lx
 
     stop = sql_list(lx.STOPWORDS)
+    # keywords of the full search: dense parts, speech parts, exact phrases with the text that they show
+    VIEWS["kw_dense"] = f"""
+  SELECT query_id, kf_id, {G('0.8 * ((d - min(d) OVER w) / greatest(1e-6, max(d) OVER w - min(d) OVER w))')} AS kw
+  FROM (SELECT query_id, kf_id, {sql_dot('m.embedding', 'k.embedding')} AS d FROM mixed_keywords m, keyframes k) WINDOW w AS (PARTITION BY query_id)"""
+    VIEWS["kw_tokens"] = f"SELECT query_id, {sql_tokens('keyword')} AS toks FROM mixed_keywords"
+    VIEWS["kw_terms"] = f"""
+  SELECT query_id, term, count(*) AS qtf FROM (
+    SELECT query_id, unnest(CASE WHEN len(list_filter(toks, lambda t: NOT list_contains({stop}, t))) = 0 THEN toks
+           ELSE list_filter(toks, lambda t: NOT list_contains({stop}, t)) END) AS term FROM kw_tokens) GROUP BY query_id, term"""
+    VIEWS["kw_spoken"] = f"""
+  SELECT query_id, kf_id, max(0.8 * (score / greatest(1e-6, mx))) AS kw_speech FROM (
+    SELECT *, max(score) OVER (PARTITION BY query_id) AS mx FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+        SELECT query_id, doc_id, {G('sum(qtf * ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * (dl / greatest(1e-6, avgdl)))))')} AS score
+        FROM kw_terms JOIN doc_tf USING (term) JOIN doc_df USING (term), doc_stats GROUP BY query_id, doc_id)) WHERE rank <= 200) h
+  JOIN docs d USING (doc_id) JOIN keyframes k ON d.video_id = k.video_id AND pts_time BETWEEN start_sec - 3.0 AND end_sec + 3.0 GROUP BY query_id, kf_id"""
+    VIEWS["kw_exact"] = """
+  SELECT query_id, kf_id, 0.5 * 1.5 AS exact, '🔤 [EXACT] "' || arg_max(d.text, d.doc_id) || '"' AS exact_text
+  FROM mixed_keywords m JOIN docs d ON contains(lower(d.text), lower(exact_word))
+  JOIN keyframes k ON d.video_id = k.video_id AND k.pts_time BETWEEN d.start_sec - 3.0 AND d.end_sec + 3.0 GROUP BY query_id, kf_id"""
     VIEWS["q_tokens"] = f"SELECT item_id AS query_id, {sql_tokens('text')} AS toks FROM benchmark"
     VIEWS["q_terms"] = f"""
   SELECT query_id, term, count(*) AS qtf FROM (

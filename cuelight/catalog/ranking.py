@@ -460,9 +460,11 @@ def _(t):
 
 
 SQL_SEARCH = f"""{SQL_EVIDENCE}, {SQL_ROUTE},
-fu AS (SELECT p.*, coalesce(s.score, 0.0) AS speech, s.text AS stext, label, {G('wd * norm + ws * coalesce(s.score, 0.0)')} AS fused
-  FROM pooled p JOIN routed USING (query_id) LEFT JOIN speech s USING (query_id, kf_id)),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense DESC, kf_id) AS prank FROM fu) WHERE prank <= 200),
+fu AS (SELECT p.*, coalesce(s.score, 0.0) AS speech, coalesce(exact_text, s.text) AS stext, label, {G('norm + coalesce(kw, 0.0)')} AS lead,
+    {G('wd * (norm + coalesce(kw, 0.0)) + ws * (coalesce(s.score, 0.0) + coalesce(kw_speech, 0.0)) + coalesce(exact, 0.0)')} AS fused
+  FROM pooled p JOIN routed USING (query_id) LEFT JOIN speech s USING (query_id, kf_id) LEFT JOIN kw_dense USING (query_id, kf_id)
+  LEFT JOIN kw_spoken USING (query_id, kf_id) LEFT JOIN kw_exact USING (query_id, kf_id)),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, lead DESC, dense DESC, kf_id) AS prank FROM fu) WHERE prank <= 200),
 ordd AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY prank) AS i FROM pool),
 nms AS (SELECT query_id, video_id, 0::BIGINT AS i, []::DOUBLE[] AS kept, NULL::BIGINT AS kf_id, false AS ok FROM (SELECT DISTINCT query_id, video_id FROM ordd)
   UNION ALL SELECT o.query_id, o.video_id, o.i, CASE WHEN len(list_filter(n.kept, lambda p: abs(p - o.pts_time) < 1.5)) > 0 THEN n.kept ELSE list_append(n.kept, o.pts_time) END, o.kf_id,
@@ -477,7 +479,7 @@ WITH RECURSIVE {SQL_SEARCH} SELECT f.query_id, f.rank, f.kf_id, f.frame_idx, {R(
 def _(t):
     from cuelight.plans.search import search
 
-    out = search(full_queries(t), corpus(t), scenes=t.scenes, top=50)
+    out = search(full_queries(t), corpus(t), scenes=t.scenes, keywords=t.mixed_keywords, top=50)
     return out.select("query_id", big("rank"), "kf_id", "frame_idx", six("raw_dense"), six("norm_dense"), six("speech"), six("score"), "matched_speech", "matched_scene", "label")
 
 
@@ -494,8 +496,11 @@ bo AS (SELECT query_id, kf_id, max(CASE WHEN abs(k.pts_time - m.pts_time) <= 45.
 sb AS (SELECT query_id, kf_id, max(s) AS score, arg_max(text, (s, -rank)) AS text FROM (SELECT h.query_id, k.kf_id, h.rank, d.text, h.score / greatest(1e-6, mx) AS s
   FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS mx FROM doc_hits) h JOIN docs d USING (doc_id) JOIN keyframes k ON d.video_id = k.video_id AND pts_time BETWEEN start_sec - 5.0 AND end_sec + 5.0) WHERE s > 0 GROUP BY ALL),
 nm AS (SELECT d.*, least(greatest((dense - min(dense) OVER w) / greatest(1e-6, max(dense) OVER w - min(dense) OVER w) + coalesce(bonus, 0.0), 0.0), 1.0) AS norm FROM da d LEFT JOIN bo USING (query_id, kf_id) WINDOW w AS (PARTITION BY query_id)),
-fu AS (SELECT n.*, s.text AS stext, {G('i.w_dense * norm + i.w_speech * coalesce(s.score, 0.0)')} AS fused FROM nm n JOIN intents i USING (query_id) LEFT JOIN sb s USING (query_id, kf_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense DESC, kf_id) AS prank FROM fu),
+fu AS (SELECT n.*, coalesce(exact_text, s.text) AS stext, {G('norm + coalesce(kw, 0.0)')} AS lead,
+    {G('i.w_dense * (norm + coalesce(kw, 0.0)) + i.w_speech * (coalesce(s.score, 0.0) + coalesce(kw_speech, 0.0)) + coalesce(exact, 0.0)')} AS fused
+  FROM nm n JOIN intents i USING (query_id) LEFT JOIN sb s USING (query_id, kf_id) LEFT JOIN kw_dense USING (query_id, kf_id)
+  LEFT JOIN kw_spoken USING (query_id, kf_id) LEFT JOIN kw_exact USING (query_id, kf_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, lead DESC, dense DESC, kf_id) AS prank FROM fu),
 sd AS (SELECT query_id, kf_id, min(mark_no) AS mark_no FROM pos GROUP BY ALL),
 pool AS (SELECT r.*, s.mark_no IS NOT NULL AS seed, coalesce(s.mark_no, prank) AS ord FROM rk r LEFT JOIN sd s USING (query_id, kf_id) WHERE prank <= 160 OR s.mark_no IS NOT NULL),
 ordd AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY NOT seed, ord) AS i FROM pool),
@@ -514,7 +519,7 @@ SELECT query_id, rank, video_id, frame_idx, {R('pts_time')} AS pts_time, {R('sco
 def _(t):
     from cuelight.plans.feedback import refine
 
-    out = refine(t.queries, t.marks, corpus(t, False), 64, top=40)
+    out = refine(t.queries, t.marks, corpus(t, False), 64, keywords=t.mixed_keywords, top=40)
     return out.select("query_id", big("rank"), "video_id", "frame_idx", six("pts_time"), six("score"), F.col("is_pinned").cast("int").cast(B).alias("is_pinned"), "matched_speech")
 
 

@@ -174,21 +174,34 @@ def ranges(queries: DataFrame, corpus: DataFrame, key: str = "kf_id") -> DataFra
     return topk(queries, corpus, 1, key).select("query_id", "lo", "hi")
 
 
-def pooled_topk(packed: DataFrame, corpus: DataFrame, k: int, key: str = "kf_id") -> DataFrame:
-    """query_id, key, dense (of the whole query), norm (calibrated and pooled over its scenes), best_scene.
-
-    packed: query_id, whole struct<v, lo, hi>, scenes array<struct<v, lo, hi>>.
-    A query with fewer than two scenes is its own calibrated score. The pooled
-    score is not linear, so it is computed where the scores are, in the scan.
+def pooled_topk(
+    packed: DataFrame, corpus: DataFrame, k: int, key: str = "kf_id", group: str | None = None, flat: float = 0.0,
+) -> DataFrame:
+    """query_id, key, dense (of the whole query), norm (calibrated and pooled over its scenes), kw, best_scene.
+
+    packed: query_id, whole struct<v, lo, hi>, scenes array<struct<v, lo, hi>>,
+    keywords array<struct<v, lo, hi, weight>>. A query with fewer than two scenes
+    is its own calibrated score; kw is the weighted sum of the calibrated scores
+    of its keywords. The best ``k`` are those by norm + kw, then dense, then key.
+    Pooling is not linear and keywords are many lists of one length, so both are
+    added up where the scores are, in the scan: a row that is in no list's head
+    may still be found, and no list leaves the task.
+
+    ``group`` makes it the best ``k`` of each group in the query's own array
+    ``groups``; ``flat`` is a bonus that all rows get before norm is clipped.
     """
-    schema = f"query_id {_typed(packed, 'query_id')}, `{key}` {_typed(corpus, key)}, dense double, norm double, best_scene int"
-
-    id_type, key_type = _arrow(packed, "query_id"), _arrow(corpus, key)
+    kept = [key] + ([group] if group else [])
+    schema = f"query_id {_typed(packed, 'query_id')}, " + "".join(f"`{c}` {_typed(corpus, c)}, " for c in kept) + (
+        "dense double, norm double, kw double, best_scene int")
+    types = [_arrow(packed, "query_id"), *[_arrow(corpus, c) for c in kept]]
 
     def one_pass(rows: list) -> DataFrame:
         rows = sorted(rows, key=lambda r: r["query_id"])
         ids = [r["query_id"] for r in rows]
-        parts = [[r["whole"], *(r["scenes"] or [])] for r in rows]
+        parts = [[r["whole"], *(r["scenes"] or []), *(r["keywords"] or [])] for r in rows]
+        n_scenes = [len(r["scenes"] or []) for r in rows]
+        weights = [[x["weight"] for x in r["keywords"] or []] for r in rows]
+        own = [r["groups"] or [] for r in rows] if group else None
         at = np.cumsum([0] + [len(p) for p in parts])
         vectors = np.array([x["v"] for p in parts for x in p], dtype=np.float64)
         lo = np.array([x["lo"] for p in parts for x in p])[:, None]
@@ -200,46 +213,73 @@ def pooled_topk(packed: DataFrame, corpus: DataFrame, k: int, key: str = "kf_id"
                 if batch.num_rows == 0 or not ids:
                     continue
                 raw = _grid(vectors @ _matrix(batch.column("embedding")).T)
-                norm = (raw - lo) / width
+                calibrated = (raw - lo) / width
                 keys = np.array(batch.column(key).to_pylist())
+                groups = np.array(batch.column(group).to_pylist()) if group else None
                 for i in range(len(ids)):
-                    a, b = at[i], at[i + 1]
-                    score, scene = norm[a], np.full(len(keys), -1)
-                    if b - a > 2:
-                        scenes = norm[a + 1 : b]
+                    a, b = at[i], at[i] + 1 + n_scenes[i]
+                    norm, scene = calibrated[a], np.full(len(keys), -1)
+                    if n_scenes[i] > 1:
+                        scenes = calibrated[a + 1 : b]
                         top2 = np.sort(scenes, axis=0)[::-1][:2]
-                        score = 0.35 * norm[a] + 0.65 * (0.70 * top2[0] + 0.30 * ((top2[0] + top2[1]) / 2.0))
+                        norm = 0.35 * norm + 0.65 * (0.70 * top2[0] + 0.30 * ((top2[0] + top2[1]) / 2.0))
                         scene = scenes.argmax(axis=0)
-                    rows_now = (_grid(score), keys, np.stack([raw[a], scene]))
-                    best[i] = _keep_rows(best[i], rows_now, k)
-            for i, kept in enumerate(best):
-                if kept is not None:
-                    score, keys, rest = kept
+                    norm, kw = _grid(norm), np.zeros(len(keys))
+                    for j, w in enumerate(weights[i]):
+                        kw = kw + w * calibrated[b + j]
+                    kw = _grid(kw)
+                    lead = _grid((np.clip(norm + flat, 0.0, 1.0) if flat else norm) + kw)
+                    now = (lead, keys, np.stack([raw[a], norm, kw, scene]), groups)
+                    if group:
+                        mine = np.isin(groups, own[i])
+                        now = (lead[mine], keys[mine], now[2][:, mine], groups[mine])
+                    best[i] = _keep_rows(best[i], now, k)
+            for i, found in enumerate(best):
+                if found is not None and len(found[0]):
+                    _, keys, rest, groups = found
+                    columns = [[ids[i]] * len(keys), keys.tolist()] + ([groups.tolist()] if group else [])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i]] * len(score), id_type), pa.array(keys.tolist(), key_type), pa.array(rest[0]), pa.array(score),
-                         pa.array(rest[1].astype(np.int32))],
-                        ["query_id", key, "dense", "norm", "best_scene"],
+                        [pa.array(c, t) for c, t in zip(columns, types)]
+                        + [pa.array(rest[0]), pa.array(rest[1]), pa.array(rest[2]), pa.array(rest[3].astype(np.int32))],
+                        ["query_id", *kept, "dense", "norm", "kw", "best_scene"],
                     )
 
-        return corpus.select(key, "embedding").mapInArrow(scan, schema)
+        return corpus.select(*kept, "embedding").mapInArrow(scan, schema)
 
-    # a query carries itself and about a dozen scenes
+    # a query carries itself and about a dozen scenes and keywords
     found = in_passes(packed, "query_id", PASS_ROWS // 8, one_pass)
-    w = Window.partitionBy("query_id").orderBy(F.desc("norm"), F.desc("dense"), F.asc(key))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
+    lead = lead_score(flat)
+    # as in topk, a salted round comes before the merge
+    for by in (["query_id", "_salt"], ["query_id"]):
+        w = Window.partitionBy(*by, *kept[1:]).orderBy(F.desc(lead), F.desc("dense"), F.asc(key))
+        found = found.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS))).withColumn("rank", F.row_number().over(w))
+        found = found.filter(F.col("rank") <= k).drop("rank", "_salt")
+    return found
+
+
+def lead_score(flat: float = 0.0) -> Column:
+    norm = N.clip(F.col("norm") + F.lit(flat)) if flat else F.col("norm")
+    return N.on_grid(norm + F.col("kw"))
 
 
 def _keep_rows(old, new, k):
-    """Best ``k`` by score, then dense score, then key."""
+    """Best ``k`` (per group) by score, then dense score, then key."""
     if old is not None:
-        new = tuple(np.concatenate([a, b], axis=-1) for a, b in zip(old, new))
-    score, keys, rest = new
+        new = tuple(None if a is None else np.concatenate([a, b], axis=-1) for a, b in zip(old, new))
+    score, keys, rest, groups = new
+    if groups is not None:
+        order = np.lexsort((keys, -rest[0], -score, groups))
+        g = groups[order]
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
+        at = order[place < k]
+        return score[at], keys[at], rest[:, at], groups[at]
     if len(score) <= k:
         return new
     edge = np.partition(score, len(score) - k)[len(score) - k]
     at = np.flatnonzero(score >= edge)
     at = at[np.lexsort((keys[at], -rest[0][at], -score[at]))][:k]
-    return score[at], keys[at], rest[:, at]
+    return score[at], keys[at], rest[:, at], None
 
 
 def pooled_pairs(pairs: DataFrame, packed: DataFrame, corpus: DataFrame, key: str = "kf_id") -> DataFrame:
@@ -254,9 +294,11 @@ def pooled_pairs(pairs: DataFrame, packed: DataFrame, corpus: DataFrame, key: st
     whole = N.minmax("_w", "whole.lo", "whole.hi")
     many = F.size("_n") > 1
     pool = top[0] * 0.70 + ((top[0] + top[1]) / 2.0) * 0.30
+    kw = F.aggregate("keywords", F.lit(0.0), lambda acc, x: acc + x["weight"] * calibrated(x))
     return scored.select(
         "query_id", key, F.col("_w").alias("dense"),
         N.on_grid(F.when(many, whole * 0.35 + pool * 0.65).otherwise(whole)).alias("norm"),
+        N.on_grid(kw).alias("kw"),
         F.when(many, F.array_position("_n", F.array_max("_n")) - 1).otherwise(-1).cast("int").alias("best_scene"),
     )
 

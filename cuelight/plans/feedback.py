@@ -15,6 +15,9 @@ from cuelight.operators.ordered import top_k
 from cuelight.plans import search as P
 from cuelight.session import reliable
 
+#: seconds around a mark in which its bonus falls, and the bonus of its video beyond them
+REACH, FAR_BONUS = 45.0, 0.08
+
 
 def refine(
     queries: DataFrame, marks: DataFrame, corpus: P.Corpus, dim: int, keywords: DataFrame | None = None,
@@ -23,11 +26,12 @@ def refine(
     """Ranked keyframes after feedback.
 
     marks: query_id, mark_no, video_id, frame_idx, pts_time, pinned. Marked
-    keyframes come first with score 1, pinned ones before all.
+    keyframes come first with score 1, pinned ones before all. keywords: as of
+    ``search``.
 
     Candidates are exact: outside marked videos a keyframe without evidence is
-    ordered by dense score; inside a marked video but beyond 45 s of a mark all
-    bonuses are equal, so the best of that video by dense score suffice; the
+    ordered by its dense parts; inside a marked video but beyond 45 s of a mark all
+    bonuses are equal, so the best of that video by dense parts suffice; the
     keyframes near a mark and those with speech are taken whole.
     """
     kf = corpus.keyframes
@@ -38,35 +42,31 @@ def refine(
     speech = reliable(P.lexical_evidence(queries, corpus, window, calibration="max"))
     pool_size = 4 * top
 
-    whole = reliable(D.topk(moved, kf, pool_size))
-    spans = whole.select("query_id", "lo", "hi").distinct()
-    marked_videos = marks.select("video_id").distinct()
-    local = D.topk(moved, kf.join(marked_videos, "video_id", "left_semi"), pool_size, group="video_id").join(
-        marks.select("query_id", "video_id").distinct(), ["query_id", "video_id"], "left_semi"
-    )
+    if keywords is not None:
+        keywords = reliable(P.usable_keywords(keywords, queries))
+    own = marks.groupBy("query_id").agg(F.collect_set("video_id").alias("groups"))
+    packed = reliable(P.pack_queries(moved, None, kf, keywords).join(own, "query_id", "left"))
+    marked = kf.join(marks.select("video_id").distinct(), "video_id", "left_semi")
+    best = D.pooled_topk(packed, kf, pool_size).unionByName(
+        D.pooled_topk(packed, marked, pool_size, group="video_id", flat=FAR_BONUS).drop("video_id"))
+    scored = reliable(best.dropDuplicates(["query_id", "kf_id"]))
     near = I.near_points(
         marks.select("query_id", "video_id", F.col("pts_time").alias("_p")), kf.select("video_id", "kf_id", "pts_time"),
-        "pts_time", 45.0, left_t="_p",
+        "pts_time", REACH, left_t="_p",
     ).select("query_id", "kf_id")
-    scored = reliable(whole.select("query_id", "kf_id", "dense").unionByName(local.select("query_id", "kf_id", "dense")).distinct())
-    extra = X.exact_keyword_scores(keywords, corpus.docs, kf) if keywords is not None else None
+    extra = reliable(P.keyword_evidence(keywords, corpus)) if keywords is not None else None
     pairs = near.unionByName(speech.select("query_id", "kf_id")).unionByName(positives.select("query_id", "kf_id"))
     if extra is not None:
         pairs = pairs.unionByName(extra.select("query_id", "kf_id"))
     rest = pairs.distinct().join(scored, ["query_id", "kf_id"], "left_anti")
-    every = scored.unionByName(D.score_pairs(rest, moved, kf).select("query_id", "kf_id", "dense"))
+    every = scored.unionByName(D.pooled_pairs(rest, packed, kf)).drop("best_scene")
 
     rows = reliable(every.join(kf.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id"))
     bonus = mark_bonus(rows, marks)
-    cand = (
-        rows.join(spans, "query_id").join(bonus, ["query_id", "kf_id"], "left")
-        .withColumn("norm", N.clip(N.minmax("dense", "lo", "hi") + F.coalesce("bonus", F.lit(0.0))))
-        .join(speech.select("query_id", "kf_id", F.col("score").alias("speech"), F.col("text").alias("speech_text")),
-              ["query_id", "kf_id"], "left")
-        .withColumn("speech", F.coalesce("speech", F.lit(0.0)))
-    )
+    cand = P.with_speech(
+        rows.join(bonus, ["query_id", "kf_id"], "left").withColumn("norm", N.clip(F.col("norm") + F.coalesce("bonus", F.lit(0.0)))), speech)
     fused = reliable(P.fuse(cand, fixed_route(queries, weights), extra))
-    pool = top_k(fused, ["query_id"], P.pool_order(), pool_size)
+    pool = top_k(fused, ["query_id"], P.pool_order(keywords is not None), pool_size)
     seeds = positives.groupBy("query_id", "kf_id").agg(F.min("mark_no").alias("mark_no"))
     seeded = (
         fused.join(seeds, ["query_id", "kf_id"]).withColumn("rank", F.col("mark_no").cast("int")).drop("mark_no").withColumn("seed", F.lit(True))
@@ -76,13 +76,13 @@ def refine(
     shown = ranked.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("fused")))
     pins = marks.filter("pinned").select("query_id", F.col("mark_no").alias("pin_no"), "video_id", "frame_idx", F.col("pts_time").alias("_pin_t"))
     final = X.pinned_first(shown.select("query_id", "rank", "video_id", "frame_idx", "score"), pins, top)
-    details = shown.select("query_id", "video_id", "frame_idx", "kf_id", "pts_time", "dense", "norm", "speech", "speech_text")
+    details = shown.select("query_id", "video_id", "frame_idx", "kf_id", "pts_time", "dense", "norm", "speech", "speech_text", "exact_text")
     out = final.join(details, ["query_id", "video_id", "frame_idx"], "left").join(
         pins.select("query_id", "video_id", "frame_idx", "_pin_t").distinct(), ["query_id", "video_id", "frame_idx"], "left"
     ).withColumn("pts_time", F.coalesce("_pin_t", "pts_time")).drop("_pin_t")
     spoken = I.active_segment(out, corpus.segments, ["query_id", "rank"])
     pin_text = F.when(F.col("spoken") != "", F.concat(F.lit("Pinned Match · "), F.col("spoken"))).otherwise(F.lit("Pinned Match"))
-    text = F.when(F.col("is_pinned"), pin_text).otherwise(F.coalesce("speech_text", "spoken"))
+    text = F.when(F.col("is_pinned"), pin_text).otherwise(F.coalesce("exact_text", "speech_text", "spoken"))
     return spoken.withColumn("matched_speech", text).select(
         "query_id", "rank", "video_id", "frame_idx", "pts_time", "score", "is_pinned", "matched_speech"
     )
@@ -100,10 +100,10 @@ def fixed_route(queries: DataFrame, weights: tuple[float, float] | None) -> Data
     )
 
 
-def mark_bonus(rows: DataFrame, marks: DataFrame, reach: float = 45.0) -> DataFrame:
+def mark_bonus(rows: DataFrame, marks: DataFrame, reach: float = REACH) -> DataFrame:
     """query_id, kf_id, bonus of candidate rows in marked videos of their own query."""
     m = marks.select("query_id", "video_id", F.col("pts_time").alias("_p"))
     d = F.abs(F.col("pts_time") - F.col("_p"))
-    value = F.when(d <= reach, F.lit(0.25) * (F.lit(1.0) - d / F.lit(reach))).otherwise(F.lit(0.08))
+    value = F.when(d <= reach, F.lit(0.25) * (F.lit(1.0) - d / F.lit(reach))).otherwise(F.lit(FAR_BONUS))
     return rows.select("query_id", "kf_id", "video_id", "pts_time").join(m, ["query_id", "video_id"]).groupBy(
         "query_id", "kf_id").agg(F.max(value).alias("bonus"))

@@ -110,40 +110,97 @@ def merge_evidence(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     )
 
 
-def pack_queries(queries: DataFrame, scenes: DataFrame | None, keyframes: DataFrame) -> DataFrame:
-    """query_id, whole, scenes: vectors with their score ranges over all keyframes (one scan)."""
-    whole = queries.select(F.struct("query_id", F.lit(-1).alias("scene_no")).alias("_k"), "embedding")
+def usable_keywords(keywords: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, kw_no, keyword, weight, exact, embedding of the keywords that count: not blank, of positive weight, of one of ``queries``.
+
+    Without a column ``exact`` all are exact phrases; where it is null the keyword is semantic.
+    """
+    exact = F.coalesce("exact", F.lit(False)) if "exact" in keywords.columns else F.lit(True)
+    vector = N.as_doubles("embedding") if "embedding" in keywords.columns else F.lit(None).cast("array<double>")
+    return (
+        keywords.filter((strip("keyword") != "") & (F.col("weight") > 0)).join(queries.select("query_id"), "query_id", "left_semi")
+        .select("query_id", "kw_no", "keyword", F.col("weight").cast("double").alias("weight"), exact.alias("exact"), vector.alias("embedding"))
+    )
+
+
+def keyword_evidence(keywords: DataFrame, corpus: Corpus, window: float = 3.0, k: int = 200, gain: float = 1.5) -> DataFrame:
+    """query_id, kf_id, exact, kw_speech, exact_text: what keywords add to keyframes near documents.
+
+    An exact phrase adds ``gain`` x weight near each document that contains it, and
+    shows the last such document of the last phrase. A semantic keyword adds its
+    weight times the BM25 score of a document over that of its best one; its
+    dense part is added in the scan of the vectors.
+    """
+    points = corpus.keyframes.select("video_id", "kf_id", "pts_time")
+    phrases = L.phrase_hits(keywords.filter("exact").select("query_id", "kw_no", "keyword", "weight"), corpus.docs)
+    last = F.max(F.struct("kw_no", "doc_id", "text")).alias("_t")
+    exact = (
+        I.point_in_interval(phrases, points, window)
+        .groupBy("query_id", "kf_id", "kw_no").agg(F.max(F.col("weight") * gain).alias("_s"), last)
+        .groupBy("query_id", "kf_id").agg(F.sum("_s").alias("exact"), F.max("_t").alias("_t"))
+        .select("query_id", "kf_id", "exact", F.concat(F.lit('🔤 [EXACT] "'), "_t.text", F.lit('"')).alias("exact_text"))
+    )
+    keyed = keywords.filter("not exact").withColumn("_k", F.to_json(F.struct("query_id", "kw_no")))
+    terms = keyed.select(F.col("_k").alias("query_id"), F.col("keyword").alias("text"))
+    hits = X.calibrate_max(L.bm25(terms, corpus.docs, k).join(corpus.docs, "doc_id")).select(
+        "query_id", "video_id", "start_sec", "end_sec", "text", "score", F.col("rank").alias("hit_rank"))
+    near = I.best_per_point(I.point_in_interval(hits, points, window), ["query_id", "kf_id"])
+    spoken = near.withColumnRenamed("query_id", "_k").join(keyed.select("_k", "query_id", "weight"), "_k").groupBy(
+        "query_id", "kf_id").agg(F.sum(F.col("weight") * F.col("score")).alias("kw_speech"))
+    return exact.join(spoken, ["query_id", "kf_id"], "full_outer").select(
+        "query_id", "kf_id", F.coalesce("exact", F.lit(0.0)).alias("exact"), F.coalesce("kw_speech", F.lit(0.0)).alias("kw_speech"), "exact_text")
+
+
+def pack_queries(queries: DataFrame, scenes: DataFrame | None, keyframes: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """query_id, whole, scenes, keywords: vectors with their score ranges over all keyframes (one scan).
+
+    keywords: as of ``usable_keywords``; a semantic keyword without a vector has no dense part.
+    """
+
+    def part(df: DataFrame, kind: int, no: Column, weight: Column) -> DataFrame:
+        numbered = F.struct("query_id", F.lit(kind).alias("kind"), no.cast("int").alias("no"))
+        return df.select(numbered.alias("_k"), N.as_doubles("embedding").alias("embedding"), weight.alias("weight"))
+
+    parts = part(queries, 0, F.lit(0), F.lit(1.0))
     if scenes is not None:
-        whole = whole.unionByName(scenes.select(F.struct("query_id", F.col("scene_no").cast("int").alias("scene_no")).alias("_k"), "embedding"))
-    vectors = whole.select(F.to_json("_k").alias("query_id"), "_k", N.as_doubles("embedding").alias("embedding"))
+        parts = parts.unionByName(part(scenes.join(queries.select("query_id"), "query_id", "left_semi"), 1, F.col("scene_no"), F.lit(1.0)))
+    if keywords is not None:
+        parts = parts.unionByName(part(keywords.filter("not exact and embedding is not null"), 2, F.col("kw_no"), F.col("weight")))
+    vectors = parts.withColumn("query_id", F.to_json("_k"))
     spans = D.ranges(vectors, keyframes)
     packed = vectors.join(spans, "query_id").select(
-        "_k.query_id", "_k.scene_no", F.struct(F.col("embedding").alias("v"), "lo", "hi").alias("_s")
+        "_k.query_id", "_k.kind", F.struct("_k.no", F.struct(F.col("embedding").alias("v"), "lo", "hi", "weight").alias("s")).alias("_s")
     )
+
+    def gathered(kind: int) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("_s")))), lambda x: x["s"])
+
     return reliable(packed.groupBy("query_id").agg(
-        F.max_by("_s", -F.col("scene_no")).alias("whole"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("scene_no") >= 0, F.struct("scene_no", "_s")))), lambda x: x["_s"]
-        ).alias("scenes"),
+        F.max_by("_s.s", -F.col("kind")).alias("whole"), gathered(1).alias("scenes"), gathered(2).alias("keywords")
     ))
 
 
 def candidates(packed: DataFrame, corpus: Corpus, speech: DataFrame, pool: int, also: DataFrame | None = None) -> DataFrame:
-    """query_id, kf_id, norm, dense, best_scene, speech, speech_text for all rows that can enter a pool."""
+    """query_id, kf_id, norm, kw, dense, best_scene, speech, speech_text for all rows that can enter a pool."""
     best = reliable(D.pooled_topk(packed, corpus.keyframes, pool))
     pairs = speech.select("query_id", "kf_id")
     if also is not None:
         pairs = pairs.unionByName(also.select("query_id", "kf_id")).distinct()
     rest = pairs.join(best.select("query_id", "kf_id"), ["query_id", "kf_id"], "left_anti")
     scored = best.unionByName(D.pooled_pairs(rest, packed, corpus.keyframes))
-    return scored.join(
+    return with_speech(scored, speech)
+
+
+def with_speech(rows: DataFrame, speech: DataFrame) -> DataFrame:
+    return rows.join(
         speech.select("query_id", "kf_id", F.col("score").alias("speech"), F.col("text").alias("speech_text")),
         ["query_id", "kf_id"], "left",
     ).withColumn("speech", F.coalesce("speech", F.lit(0.0)))
 
 
-def pool_order(fused: str = "fused") -> list[Column]:
-    return [F.desc(fused), F.desc("dense"), F.asc("kf_id")]
+def pool_order(keywords: bool = False) -> list[Column]:
+    """Order of a pool; with keywords equal fused scores are ordered by their dense part first, as the scan does."""
+    return [F.desc("fused"), *([F.desc(D.lead_score())] if keywords else []), F.desc("dense"), F.asc("kf_id")]
 
 
 def max_speech(queries: DataFrame, speech: DataFrame) -> DataFrame:
@@ -159,9 +216,15 @@ def search(
 
     queries: query_id, text, embedding (and text_vector for semantic search);
     scenes: query_id, scene_no, scene, embedding of queries with several scenes;
-    keywords: query_id, kw_no, keyword, weight (exact phrases). Without
-    ``weights`` (dense, speech; clamped to 0..1) the intent of a query and its
-    speech evidence choose them. A blank query has no results.
+    keywords: query_id, kw_no, keyword, weight, exact, embedding (of those that
+    are not exact phrases). Without ``weights`` (dense, speech; clamped to 0..1)
+    the intent of a query and its speech evidence choose them. A blank query has
+    no results.
+
+    Keywords are more sorted lists to one sum. Their speech parts are short and
+    taken whole; the dense parts are added to that of the query in the scan, and
+    a row without evidence that is not among the best of that sum is bounded by
+    the last of them.
     """
     top = max(1, min(1000, top))
     window = max(0.5, min(30.0, window))
@@ -173,17 +236,19 @@ def search(
         speech = merge_evidence(speech, semantic_evidence(queries, corpus, window, scorer))
     # the evidence is a bounded hit list per query; cut here, its many readers do not repeat the search
     speech = reliable(speech)
-    packed = pack_queries(queries, scenes, corpus.keyframes)
-    extra = X.exact_keyword_scores(keywords, corpus.docs, corpus.keyframes) if keywords is not None else None
+    if keywords is not None:
+        keywords = reliable(usable_keywords(keywords, queries))
+    packed = pack_queries(queries, scenes, corpus.keyframes, keywords)
+    extra = reliable(keyword_evidence(keywords, corpus)) if keywords is not None else None
     cand = candidates(packed, corpus, speech, 4 * top, extra)
     routed = route(queries, speech, weights)
     fused = fuse(cand, routed, extra)
-    pool = top_k(fused, ["query_id"], pool_order(), 4 * top).join(
+    pool = top_k(fused, ["query_id"], pool_order(keywords is not None), 4 * top).join(
         corpus.keyframes.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id"
     )
     rows = reliable(S.suppress(pool, top, 1.5))
     spoken = I.active_segment(rows, corpus.segments, ["query_id", "kf_id"])
-    out = spoken.withColumn("matched_speech", F.coalesce("speech_text", "spoken"))
+    out = spoken.withColumn("matched_speech", F.coalesce("exact_text", "speech_text", "spoken"))
     if scenes is not None:
         named = scenes.select("query_id", F.col("scene_no").cast("int").alias("best_scene"), "scene")
         out = out.join(named, ["query_id", "best_scene"], "left").withColumn("matched_scene", F.coalesce("scene", F.lit("")))
@@ -206,9 +271,11 @@ def route(queries: DataFrame, speech: DataFrame, weights: tuple[float, float] |
 
 
 def fuse(cand: DataFrame, routed: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    base = F.col("w_dense") * F.col("norm") + F.col("w_speech") * F.col("speech")
+    """Adds fused and exact_text; extra: as of ``keyword_evidence``."""
     out = cand.join(routed, "query_id")
-    if extra is not None:
-        out = out.join(extra, ["query_id", "kf_id"], "left")
-        base = base + F.coalesce("keyword_score", F.lit(0.0))
-    return out.withColumn("fused", N.on_grid(base))
+    if extra is None:
+        base = F.col("w_dense") * F.col("norm") + F.col("w_speech") * F.col("speech")
+        return out.withColumn("fused", N.on_grid(base)).withColumn("exact_text", F.lit(None).cast("string"))
+    out = out.join(extra, ["query_id", "kf_id"], "left").na.fill(0.0, ["exact", "kw_speech"])
+    base = F.col("w_dense") * (F.col("norm") + F.col("kw")) + F.col("w_speech") * (F.col("speech") + F.col("kw_speech")) + F.col("exact")
+    return out.withColumn("fused", N.on_grid(base)).drop("exact", "kw_speech")

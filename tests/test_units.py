@@ -416,3 +416,61 @@ def test_fusion_with_a_reranked_head(spark):
         first = sorted((plain[0, i] for i in range(1, 5)), reverse=True)
         assert [got[0, i] for i in range(1, 5)] == first and [got[0, i] for i in (5, 6)] == [plain[0, i] for i in (5, 6)]
         assert all(got[1, i] == plain[1, i] for i in range(1, 7)) and len(rows) == 12
+
+
+def test_keyword_lists_are_added_in_the_scan(spark):
+    """Best rows by norm + weighted keyword scores, whole and per own video, equal to scoring everything."""
+    from cuelight.plans import search as P
+
+    rng = np.random.default_rng(11)
+    vectors = np.repeat(rng.normal(size=(60, 6)), 2, axis=0)  # every row twice: ties
+    kf = spark.createDataFrame([(i, f"v{i % 4}", vectors[i].tolist()) for i in range(120)], "kf_id bigint, video_id string, embedding array<double>")
+    q, kw = rng.normal(size=(3, 6)), rng.normal(size=(3, 2, 6))
+    queries = spark.createDataFrame([(i, q[i].tolist()) for i in range(3)], "query_id bigint, embedding array<double>")
+    rows = [(i, j, "word", 0.5 + j, None, kw[i, j].tolist()) for i in range(2) for j in range(2)]
+    rows += [(0, 5, "said", 1.0, True, None), (0, 6, "  ", 1.0, False, kw[0, 0].tolist()), (1, 7, "x", 0.0, False, kw[0, 0].tolist()), (9, 0, "y", 1.0, False, kw[0, 0].tolist())]
+    keywords = spark.createDataFrame(rows, "query_id bigint, kw_no int, keyword string, weight double, exact boolean, embedding array<double>")
+    usable = P.usable_keywords(keywords, queries)
+    assert sorted((r.query_id, r.kw_no, r.exact) for r in usable.collect()) == [(0, 0, False), (0, 1, False), (0, 5, True), (1, 0, False), (1, 1, False)]
+    packed = P.pack_queries(queries, None, kf, usable).join(
+        spark.createDataFrame([(0, ["v1"]), (1, ["v0", "v3"])], "query_id bigint, groups array<string>"), "query_id", "left")
+
+    def calibrated(x):
+        s = np.floor(vectors @ x * 1e9 + 0.5) / 1e9
+        return s, (s - s.min()) / (s.max() - s.min())
+
+    def want(i, flat, inside):
+        dense, norm = calibrated(q[i])
+        parts = sum(((0.5 + j) * calibrated(kw[i, j])[1] for j in range(2)), np.zeros(120)) if i < 2 else np.zeros(120)
+        lead = np.round(np.clip(norm + flat, 0, 1) + parts, 8)
+        return sorted((n for n in range(120) if inside(n)), key=lambda n: (-lead[n], -dense[n], n))[:7]
+
+    found = D.pooled_topk(packed, kf.repartition(5), 7).collect()
+    for i in range(3):
+        assert {r.kf_id for r in found if r.query_id == i} == set(want(i, 0.0, lambda n: True))
+    own = D.pooled_topk(packed, kf.repartition(5), 7, group="video_id", flat=0.4).collect()
+    for i, videos in enumerate([(1,), (0, 3), ()]):
+        expected = {n for v in videos for n in want(i, 0.4, lambda n, v=v: n % 4 == v)}
+        assert {r.kf_id for r in own if r.query_id == i} == expected
+    pairs = D.pooled_pairs(spark.createDataFrame([(r.query_id, r.kf_id) for r in found], "query_id bigint, kf_id bigint"), packed, kf)
+    key = lambda rows: sorted((r.query_id, r.kf_id, r.dense, r.norm, r.kw) for r in rows)
+    assert np.allclose(key(found), key(pairs.collect()), atol=3e-9)
+
+
+def test_keyword_evidence(spark):
+    from cuelight.plans import search as P
+
+    docs = spark.createDataFrame(
+        [(1, "a", 0.0, 4.0, "red boat at sea", "asr"), (2, "a", 2.0, 5.0, "A RED BOAT", "ocr"), (3, "b", 0.0, 2.0, "harbour", "asr")],
+        "doc_id bigint, video_id string, start_sec double, end_sec double, text string, source string")
+    kf = spark.createDataFrame([(1, "a", 1.0), (2, "a", 7.5), (3, "b", 30.0)], "kf_id bigint, video_id string, pts_time double")
+    kw = spark.createDataFrame(
+        [(1, 0, "red boat", 2.0, True), (1, 1, "sea", 1.0, True), (1, 2, "boat harbour", 0.5, False)],
+        "query_id bigint, kw_no int, keyword string, weight double, exact boolean")
+    rows = {r.kf_id: r for r in P.keyword_evidence(kw, P.Corpus(kf, docs, None)).collect()}
+    assert set(rows) == {1, 2}
+    assert rows[1].exact == 4.5 and rows[1].exact_text == '🔤 [EXACT] "red boat at sea"'  # the last phrase decides the text
+    assert rows[2].exact == 3.0 and rows[2].exact_text == '🔤 [EXACT] "A RED BOAT"'  # 7.5 is within 3 s of the second document alone
+    assert 0 < rows[2].kw_speech <= 0.5
+    empty = kw.filter("query_id > 5")
+    assert P.keyword_evidence(empty, P.Corpus(kf, docs, None)).count() == 0
