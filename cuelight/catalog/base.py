@@ -99,6 +99,17 @@ class Tables:
     #: folders of the block indexes written so far, by application and input
     _INDEXES: dict[tuple[str, str], str] = {}
 
+    def cell_index(self):
+        """The cells of the keyframe vectors, trained and written once per application and read by every search."""
+        from cuelight.operators.cells import read_cells, write_cells
+
+        place = (self.spark.sparkContext.applicationId, f"{self.dir}#cells")
+        if place not in self._INDEXES:
+            folder = self.scratch()
+            write_cells(self.keyframes, folder)
+            self._INDEXES[place] = folder
+        return read_cells(self.spark, self._INDEXES[place])
+
     def block_index(self):
         """The block index of ``docs``, written once per application and read by every search."""
         from cuelight.operators.blockmax import block_index

@@ -11,6 +11,7 @@ from cuelight.catalog.relational import (
 )
 from cuelight.functions import lexicon as lx
 from cuelight.functions import numeric as N
+from cuelight.operators import cells as C
 from cuelight.operators import dense as D
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
@@ -253,9 +254,10 @@ def _(t):
     return D.all_scores(t.queries, t.keyframes).select("query_id", "kf_id", six("dense"))
 
 
-@query("vc_ivf_topk")
+@query("vc_ivf_topk", f"SELECT query_id, kf_id, rank::BIGINT AS rank, {R('score')} AS dense FROM ({_SCORED}) WHERE rank <= 20")
 def _(t):
-    return D.ivf_topk(t.queries, t.keyframes, 20).select("query_id", "kf_id", big("rank"), six("dense"))
+    # from the stored cells: probing goes on until the next bound is below the 20th score
+    return C.search_cells(t.queries, t.cell_index(), 20).select("query_id", "kf_id", big("rank"), six("dense"))
 
 
 @query("vc_ivf_all_cells", f"SELECT query_id, kf_id, rank::BIGINT AS rank, {R('score')} AS dense FROM ({_SCORED}) WHERE rank <= 20")

@@ -409,33 +409,49 @@ def probe_cells(queries: DataFrame, celled: DataFrame, centers: np.ndarray, k: i
 
 
 def near_duplicates(
-    corpus: DataFrame, k: int = 5, key: str = "kf_id", block_rows: int = 2000, mode: str = "exact", n_list: int = 1024, n_probe: int = 8,
+    corpus: DataFrame, k: int = 5, key: str = "kf_id", block_rows: int = 2000, mode: str = "exact", n_list: int | None = None, n_probe: int = 8,
+    at_least: float | None = None,
 ) -> DataFrame:
     """The ``k`` nearest other rows of every row, ties by key.
 
-    ``mode="exact"`` compares all rows, at any size. ``mode="cells"`` cuts the corpus
-    into k-means cells and a row meets the ``n_probe`` cells nearest to it, so
-    neighbours in other cells are missed. A cell is
-    compared in blocks of about ``block_rows`` by ``block_rows`` (a matrix
-    product each), so a crowded cell becomes many tasks of bounded size, and
-    only ``k`` rows per row and block leave a task.
+    ``mode="exact"`` opens cells around pivots until their bounds exclude them
+    (:func:`cuelight.operators.cells.neighbours`); with ``at_least`` neighbours of
+    a lower score are not wanted, which closes cells from the start.
+    ``mode="cells"`` cuts the corpus into k-means cells and a row meets the
+    ``n_probe`` cells nearest to it, so neighbours in other cells are missed.
     """
     if mode not in ("exact", "cells"):
         raise ValueError(f"mode is exact or cells, not {mode}")
-    rows = corpus.select(F.col(key).alias("_key"), N.as_doubles("embedding").alias("_v"))
+    low = float("-inf") if at_least is None else at_least
     if mode == "exact":
-        homes = rows.withColumn("cell", F.lit(0))
-        visits = homes
-    else:
-        celled, model = ivf_cells(corpus, ivf_cell_count(corpus.count(), n_list), key)
-        centers = np.array(model.clusterCenters())  # n_list vectors at most
-        homes = celled.select(F.col(key).alias("_key"), N.as_doubles("embedding").alias("_v"), "cell")
-        visits = _nearest_cells(rows, centers, n_probe)
-    sizes = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    other = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks").cast("bigint") - 1)
-    own = F.pmod(F.xxhash64("_key"), F.col("_blocks"))
-    left = visits.join(sizes, "cell").withColumn("_a", own).withColumn("_b", F.explode(other))
-    right = homes.join(sizes, "cell").withColumn("_b", own).withColumn("_a", F.explode(other))
+        from cuelight.operators.cells import neighbours
+
+        return neighbours(corpus, k, key, block_rows, n_list or 4096, n_probe, low)
+    rows = corpus.select(F.col(key).alias("_key"), N.as_doubles("embedding").alias("embedding"))
+    celled, model = ivf_cells(corpus, ivf_cell_count(corpus.count(), n_list or 1024), key)
+    centers = np.array(model.clusterCenters())  # n_list vectors at most
+    homes = celled.select("cell", F.col(key).alias("_key"), N.as_doubles("embedding").alias("embedding"))
+    found = meet_in_cells(_nearest_cells(rows, centers, n_probe), homes, k, key, block_rows).filter(F.col("dense") >= low)
+    w = Window.partitionBy("query_id").orderBy(F.desc("dense"), F.asc(key))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def meet_in_cells(visits: DataFrame, homes: DataFrame, k: int, key: str, block_rows: int) -> DataFrame:
+    """query_id, key, dense: the best ``k`` other rows of a visiting row per block of a cell.
+
+    visits, homes: cell, _key, embedding. Both sides of a cell are cut into blocks
+    of about ``block_rows`` (a matrix product each), so a crowded or much visited
+    cell becomes many tasks of bounded size.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias(name))
+
+    sizes = blocks(visits, "_na").join(blocks(homes, "_nb"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("_key"), F.col(n))
+    left = visits.withColumnRenamed("embedding", "_v").join(sizes, "cell").withColumn("_a", own("_na")).withColumn("_b", every("_nb"))
+    right = homes.withColumnRenamed("embedding", "_v").join(sizes, "cell").withColumn("_b", own("_nb")).withColumn("_a", every("_na"))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": a.column("_key")[:0], key: a.column("_key")[:0], "dense": pa.array([], pa.float64())})
@@ -453,15 +469,13 @@ def near_duplicates(
         kind = a.schema.field("_key").type
         return pa.table({"query_id": pa.array(out_q, kind), key: pa.array(out_k, kind), "dense": pa.array(out_s, pa.float64())})
 
-    kind = _typed(corpus, key)
+    kind = _typed(homes, "_key")
     by = ["cell", "_a", "_b"]
     left = left.select(*by, "_key", "_v").toDF("cell", "_a", "_b", "_key", "_v")  # both sides may stem from one table
-    found = (
+    return (
         left.groupBy(*by).cogroup(right.select(*by, "_key", "_v").groupBy(*by))
         .applyInArrow(compare, f"query_id {kind}, `{key}` {kind}, dense double")
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("dense"), F.asc(key))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _nearest_cells(rows: DataFrame, centers: np.ndarray, n_probe: int) -> DataFrame:
@@ -469,15 +483,15 @@ def _nearest_cells(rows: DataFrame, centers: np.ndarray, n_probe: int) -> DataFr
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            s = _matrix(batch.column("_v")) @ centers.T
+            s = _matrix(batch.column("embedding")) @ centers.T
             near = np.argsort(-s, axis=1, kind="stable")[:, :n_probe]
             at = np.repeat(np.arange(batch.num_rows), near.shape[1])
             picked = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays(
-                [picked.column(0), picked.column(1), pa.array(near.ravel().astype(np.int32))], ["_key", "_v", "cell"]
+                [pa.array(near.ravel().astype(np.int32)), picked.column(0), picked.column(1)], ["cell", "_key", "embedding"]
             )
 
-    return rows.mapInArrow(scan, f"_key {_typed(rows, '_key')}, _v array<double>, cell int")
+    return rows.mapInArrow(scan, f"cell int, _key {_typed(rows, '_key')}, embedding array<double>")
 
 
 def local_argmax(points: DataFrame, frames: DataFrame, queries: DataFrame, window_sec: float = 8.0, stride: int = 1) -> DataFrame:

@@ -474,3 +474,75 @@ def test_keyword_evidence(spark):
     assert 0 < rows[2].kw_speech <= 0.5
     empty = kw.filter("query_id > 5")
     assert P.keyword_evidence(empty, P.Corpus(kf, docs, None)).count() == 0
+
+
+def clustered(n, groups, d, seed=0, spread=0.05):
+    rng = np.random.default_rng(seed)
+    m = unit_vectors(groups, d, seed)[rng.integers(groups, size=n)] + rng.normal(size=(n, d)) * spread
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def brute_neighbours(m, k, at_least=-np.inf):
+    s = np.floor(m @ m.T * 1e9 + 0.5) / 1e9
+    return {(i, j) for i in range(len(m)) for j in sorted((j for j in range(len(m)) if j != i and s[i, j] >= at_least), key=lambda j: (-s[i, j], j))[:k]}
+
+
+def test_stored_cells_stop_at_the_bound(spark, tmp_path):
+    from cuelight.operators import cells as C
+
+    m = clustered(1500, 30, 16, 3)
+    m[700:720] = m[0]  # ties over the kth place
+    kf, q = frames(spark, m), asked(spark, np.vstack([m[:12], unit_vectors(4, 16, 9)]))
+    C.write_cells(kf, str(tmp_path / "x"), 40)
+    index = C.read_cells(spark, str(tmp_path / "x"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.kf_id, r.dense) for r in df.collect())
+    want = key(D.topk(q, kf, 5))
+    opened = []
+    inner = C.opened_rows
+    C.opened_rows = lambda rows, ids: opened.append(len(list(ids))) or inner(rows, ids)
+    try:
+        assert key(C.search_cells(q.filter("query_id < 12"), index, 5, n_probe=2)) == [x for x in want if x[0] < 12]
+        assert opened[0] <= 24 and sum(opened) < len(index.ids) * 1.5  # far from every round reading all cells
+        assert key(C.search_cells(q, index, 5)) == want
+        assert C.search_cells(q.filter("query_id > 99"), index, 5).count() == 0
+    finally:
+        C.opened_rows = inner
+    plan = C.opened_rows(index.rows, [1, 2])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan or "PartitionFilters: [cast(cell" in plan
+
+
+def test_neighbours_by_bounds(spark):
+    from cuelight.operators import cells as C
+
+    m = clustered(600, 25, 12, 5)
+    m[50:60] = m[0]
+    kf = frames(spark, m)
+    pairs = lambda df: {(r.query_id, r.kf_id) for r in df.collect()}
+    assert pairs(D.near_duplicates(kf, 3, block_rows=64)) == brute_neighbours(m, 3)
+    assert pairs(D.near_duplicates(kf, 3, block_rows=64, n_list=12, n_probe=1)) == brute_neighbours(m, 3)
+    assert pairs(D.near_duplicates(kf, 4, at_least=0.97)) == brute_neighbours(m, 4, 0.97)
+    few = unit_vectors(4, 12)
+    assert pairs(D.near_duplicates(frames(spark, few), 9)) == brute_neighbours(few, 9)
+    assert D.near_duplicates(kf.limit(0), 3).count() == 0
+    # pairs compared where groups lie apart and new rows bring new groups: far less than sixteen times as many for four times
+    # the rows (inside one group, and where groups overlap, the bounds exclude little and growth is quadratic)
+    compared = []
+    for n in (600, 2400):
+        v = clustered(n, n // 24, 12, 5, 0.02)
+        rows = frames(spark, v).select(F.col("kf_id").alias("_key"), "embedding")
+        cells = C.pivot_cells(rows)
+        kth = float(np.median(np.sort(v @ v.T, axis=1)[:, -4]))
+        seen = C.visits(rows.withColumn("kth", F.lit(kth)), cells, 0, len(cells.ids), -1.0).groupBy("cell").count()
+        sizes = cells.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+        compared.append(seen.join(sizes, "cell").agg(F.sum(F.col("count") * F.col("size"))).head()[0])
+    assert compared[0] < 600**2 / 3 and compared[1] < compared[0] * 10, compared
+
+
+def test_recall_of_default_cells(spark):
+    m = clustered(3000, 60, 16, 7)
+    kf = frames(spark, m)
+    q = asked(spark, m[:100])
+    exact = {(r.query_id, r.kf_id) for r in D.topk(q, kf, 5).collect()}
+    assert len(exact & {(r.query_id, r.kf_id) for r in D.ivf_topk(q, kf, 5).collect()}) >= 0.9 * len(exact)
+    full = {(r.query_id, r.kf_id) for r in D.near_duplicates(kf, 3).collect()}
+    assert len(full & {(r.query_id, r.kf_id) for r in D.near_duplicates(kf, 3, mode="cells").collect()}) >= 0.9 * len(full)
