@@ -17,6 +17,7 @@ from cuelight.operators import evaluation as E
 from cuelight.operators import lexical as L
 from cuelight.operators import submission as SB
 from cuelight.operators import transcripts as TR
+from cuelight.sources import arrays as AR
 from cuelight.sources import readers as RD
 from cuelight.sources import writers as WR
 
@@ -285,12 +286,14 @@ def _(t):
 @query("src_objects", f"SELECT event_id::VARCHAR AS keyframe, event_type AS entity, {R('x')} AS score FROM (SELECT event_id, event_type, unnest([value / 100.0, value / 200.0]) AS x FROM events) WHERE x IS NOT NULL")
 def _(t):
     v = F.col("value")
-    raw = t["events"].select(
-        F.concat(F.lit("v"), "user_id").alias("video_id"), F.col("event_id").cast("string").alias("keyframe"),
+    raw = F.struct(
         F.array("event_type", "event_type", "event_type").alias("detection_class_entities"),
         F.array(*[F.array(v, v, v, v)] * 3).alias("detection_boxes"),
         F.array((v / 100.0).cast("string"), (v / 200.0).cast("string"), F.lit("n/a")).alias("detection_scores"))
-    return RD.detection_rows(raw).select("keyframe", "entity", six("score"))
+    name = F.concat(F.lit("v"), "user_id", F.lit("/"), F.col("event_id").cast("string"), F.lit(".json"))
+    d = t.scratch()
+    AR.write_named_files(t["events"].select(name.alias("name"), F.to_json(raw).alias("value")), d)
+    return RD.read_detections(t.spark, f"{d}/*").select("keyframe", "entity", six("score"))
 
 
 @query("src_metadata", """
@@ -299,8 +302,10 @@ def _(t):
     d = t["documents"]
     even = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("description"), F.array("lang", "source").alias("keywords")))
     odd = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("description"), F.col("lang").alias("keywords")))
-    rows = d.select(F.col("doc_id").cast("string").alias("video_id"), F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd).alias("value"))
-    return RD.metadata_rows(rows)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".json"))
+    folder = t.scratch()
+    AR.write_named_files(d.select(name.alias("name"), F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd).alias("value")), folder)
+    return RD.read_metadata(t.spark, folder)
 
 
 @query("src_embeddings", f"""
@@ -309,7 +314,9 @@ SELECT video_id, n - 1 AS pos, CASE WHEN n % 4 = 0 THEN (n - 1) * 6 ELSE frame_i
 def _(t):
     k = t.keyframes.withColumn("pos", F.col("n") - 1)
     meta = k.filter("n % 4 <> 0").select("video_id", "pos", "frame_idx", "pts_time")
-    out = RD.attach_metadata(k.select("video_id", "pos", "embedding"), meta)
+    d = t.scratch()
+    AR.write_vectors(k, d, 16)
+    out = RD.read_embeddings(t.spark, d, meta)
     return out.select("video_id", "pos", "frame_idx", six("pts_time"), "global_idx")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelight.functions import text as T
 from cuelight.functions.text import strip
 from cuelight.operators.ordered import text_runs, with_position
+from cuelight.sources.arrays import read_vectors
 
 _SEGMENT = (
     "video_id string, segment_id bigint, start_sec double, start double, end_sec double, end double, "
@@ -200,9 +201,8 @@ def global_positions(rows: DataFrame) -> DataFrame:
 
 
 def read_embeddings(spark: SparkSession, path: str, meta: DataFrame) -> DataFrame:
-    """Vectors from parquet (video_id, embeddings array<array<float>>) with their sidecar rows."""
-    raw = spark.read.parquet(path).select("video_id", F.posexplode("embeddings").alias("pos", "embedding"))
-    return attach_metadata(raw.withColumn("pos", F.col("pos").cast("bigint")), meta)
+    """Vectors from array files (:mod:`cuelight.sources.arrays`) with their sidecar rows."""
+    return attach_metadata(read_vectors(spark, path), meta)
 
 
 def list_keyframe_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,43 @@ def test_late_videos_and_ends_of_streams(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     got = {(r.video_id, r.start_sec, r.n_lines) for r in spark.read.schema(J.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect()}
     assert got == {("v", 0.0, 1), ("v", 3000.0, 2), ("w", 0.0, 2)}
+
+
+def test_array_files(spark, tmp_path, monkeypatch):
+    from cuelight.sources import arrays as AR
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(70, 3)).astype(np.float32), rng.integers(0, 9, size=(5, 3))
+    np.save(tmp_path / "a b.npy", a)
+    np.save(tmp_path / "v2.npy", b)  # integers
+    np.save(tmp_path / "one.npy", a[0].astype(np.float16))
+    np.save(tmp_path / "none.npy", np.zeros((0, 3), dtype=np.float32))
+    (tmp_path / "notes.txt").write_text("no vectors")
+    monkeypatch.setattr(AR, "TASK_BYTES", 300)
+    assert len(AR.ArrayReader(str(tmp_path)).partitions()) > 3  # a large file is several tasks
+    rows = {(r.video_id, r.pos): r.embedding for r in AR.read_vectors(spark, str(tmp_path)).collect()}
+    assert set(rows) == {("a b", i) for i in range(70)} | {("v2", i) for i in range(5)} | {("one", 0)}
+    assert all(np.array_equal(np.float32(rows["a b", i]), a[i]) for i in range(70)) and rows["v2", 4] == b[4].tolist()
+    picked = AR.read_vectors(spark, str(tmp_path)).filter(F.col("video_id").isin("v2", "one", "zz"))
+    assert picked.count() == 6
+    reader = AR.ArrayReader(str(tmp_path))
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    assert list(reader.pushFilters([In(("video_id",), ("v2", "one")), GreaterThan(("pos",), 3), EqualTo(("video_id",), "v2")])) == [GreaterThan(("pos",), 3)]
+    assert {f[1] for p in reader.partitions() for f in p.value} == {"v2"}
+    np.save(tmp_path / "bad.npy", np.asfortranarray(a[:4]))
+    with pytest.raises(Exception, match="not a matrix"):
+        AR.read_vectors(spark, str(tmp_path)).collect()
+
+
+def test_vectors_with_sidecars_round_trip(spark, tmp_path):
+    from cuelight.sources import arrays as AR
+    from cuelight.sources import readers as RD
+
+    rows = [(v, i, [float(i), 1.0]) for v in ("v1", "v2") for i in range(23)]
+    AR.write_vectors(spark.createDataFrame(rows, "video_id string, pos bigint, embedding array<double>"), str(tmp_path), 10)
+    assert sorted(p.name for p in (tmp_path / "v1").iterdir()) == ["0.npy", "10.npy", "20.npy"]
+    meta = spark.createDataFrame([("v1", 2, 99, 7.5)], "video_id string, pos bigint, frame_idx bigint, pts_time double")
+    out = {(r.video_id, r.pos): r for r in RD.read_embeddings(spark, str(tmp_path), meta).collect()}
+    assert len(out) == 46 and out["v2", 22].embedding == [22.0, 1.0] and out["v2", 22].global_idx == 45
+    assert (out["v1", 2].frame_idx, out["v1", 2].pts_time) == (99, 7.5) and (out["v1", 3].frame_idx, out["v1", 3].pts_time) == (18, pytest.approx(0.6))
