@@ -438,12 +438,14 @@ def _(t):
 @query("inc_ocr_runs", f"SELECT video_id, {R('start_sec')} AS start_sec, {R('end_sec')} AS end_sec, text, n_lines FROM ocr_runs")
 def _(t):
     from cuelight.catalog.base import hours
-    from cuelight.streaming.jobs import end_of_video, stream_text_runs
+    from cuelight.streaming.jobs import end_of_video, rocksdb_state, stream_text_runs
 
     d = t.scratch()
     lines = _stream(t, "events").select(F.concat(F.lit("v"), "user_id").alias("video_id"), F.col("event_id").alias("line_id"), hours("ts").alias("t_sec"), F.col("event_type").alias("text"))
     runs = stream_text_runs(lines.unionByName(end_of_video(lines)))
-    runs.writeStream.format("parquet").option("path", f"{d}/runs").option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb_state(t.spark):
+        started = runs.writeStream.format("parquet").option("path", f"{d}/runs").option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start()
+    started.awaitTermination()
     return t.spark.read.parquet(f"{d}/runs").select("video_id", six("start_sec"), six("end_sec"), "text", "n_lines")
 
 

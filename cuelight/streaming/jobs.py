@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cuelight.functions import numeric as N
 
@@ -108,17 +109,36 @@ def append_vectors(vectors: DataFrame, path: str, checkpoint: str, n_list: int =
 
 
 RUN_SCHEMA = "video_id string, start_sec double, end_sec double, text string, n_lines bigint"
-_STATE = "text string, start_sec double, last_sec double, n_lines bigint, newest double, waiting array<struct<t:double,line:bigint,text:string>>"
+_PROGRESS = "text string, start_sec double, last_sec double, n_lines bigint, passed double, newest double, earliest double"
+_NEVER = float("-inf")
 
 
-def stream_text_runs(lines: DataFrame, hold: float = 3.0, delay: float = 10.0) -> DataFrame:
-    """Runs of equal screen text over a stream (video_id, line_id, t_sec, text).
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which list states and timers need; the session's own choice is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def stream_text_runs(lines: DataFrame, hold: float = 3.0, delay: float = 10.0, silence: float | None = None) -> DataFrame:
+    """Runs of equal screen text over a stream (video_id, line_id, t_sec, text). Start its query inside :func:`rocksdb_state`.
 
     Every video has its own progress: its lines wait in state until its newest line is ``delay`` seconds ahead, then extend the open run
     or close it, so videos may come in any order and at any time. Lines further behind the newest of their own video are dropped. A line
-    with a null text (:func:`end_of_video`) ends its video: all that waits is worked off and the open run is closed.
+    with a null text (:func:`end_of_video`) ends its video: all that waits is worked off and the open run is closed. The same happens,
+    by a timer, to a video without a line for ``silence`` seconds of processing time (None: it is waited for); only its progress is kept.
+    Timers need a trigger that goes on: with them a query of the available data alone does not end.
     """
-    return lines.groupBy("video_id").applyInPandasWithState(_advance(hold, delay), RUN_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("video_id").transformWithStateInPandas(
+        TextRuns(hold, delay, silence), RUN_SCHEMA, "Append", "None" if silence is None else "ProcessingTime")
 
 
 def end_of_video(lines: DataFrame) -> DataFrame:
@@ -126,42 +146,87 @@ def end_of_video(lines: DataFrame) -> DataFrame:
     return lines.select("video_id", F.lit(None).cast("bigint").alias("line_id"), F.lit(None).cast("double").alias("t_sec"), F.lit(None).cast("string").alias("text"))
 
 
-def _advance(hold: float, delay: float):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, start, last, n, newest, waiting = state.get if state.exists else (None, None, None, 0, float("-inf"), [])
-        waiting = [(w["t"], w["line"], w["text"]) if not isinstance(w, tuple) else tuple(w) for w in (waiting or [])]
-        passed, ended = newest - delay, False
-        for pdf in batches:
+class TextRuns(StatefulProcessor):
+    """The open run and the progress of a video are one value; the lines that wait are a list of their own.
+
+    Only lines less than ``delay`` behind the newest wait. The list is read when its earliest line is due and appended to otherwise.
+    """
+
+    def __init__(self, hold: float, delay: float, silence: float | None):
+        self.gap, self.hold, self.delay, self.silence = hold + hold, hold, delay, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", _PROGRESS)
+        self.waiting = handle.getListState("waiting", "t double, line bigint, text string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.progress.get()
+        *run, passed, newest, earliest = known or (None, None, None, 0, _NEVER, _NEVER, None)
+        fresh, ended = [], False
+        for pdf in rows:
             real = pdf[pdf.text.notna()]
             ended |= len(real) < len(pdf)
-            fresh = [(t, int(i), x) for t, i, x in zip(real.t_sec.tolist(), real.line_id.tolist(), real.text.tolist()) if t > passed]
-            waiting.extend(fresh)
-            newest = max([newest, *(w[0] for w in fresh)])
-        mark = float("inf") if ended else newest - delay
-        waiting.sort()
-        ready = [w for w in waiting if w[0] <= mark]
-        waiting = waiting[len(ready):]
-        closed = []
-        for t, _, line in ready:
-            if text is not None and line == text and t <= last + hold + hold:
-                last, n = max(last, t), n + 1
-                continue
-            if text is not None:
-                closed.append((key[0], start, last + hold, text, n))
-            text, start, last, n = line, t, t, 1
+            real = real[real.t_sec > passed]
+            fresh.extend(zip(real.t_sec.tolist(), map(int, real.line_id.tolist()), real.text.tolist()))
+        fresh.sort()
+        newest = max(newest, fresh[-1][0]) if fresh else newest
+        mark = float("inf") if ended else newest - self.delay
+        if earliest is not None and earliest <= mark:
+            fresh = sorted([*fresh, *map(tuple, self.waiting.get())])
+            self.waiting.clear()
+            earliest = None
+        due = bisect_right(fresh, mark, key=lambda line: line[0])
+        closed = self._fold(key[0], run, fresh[:due])
+        rest = fresh[due:]
+        if rest:
+            self.waiting.appendList(rest)
+            earliest = rest[0][0] if earliest is None else min(earliest, rest[0][0])
         # nothing that can still arrive joins a run whose gap has passed
-        if text is not None and last + hold + hold < mark and not any(w[0] <= last + hold + hold for w in waiting):
-            closed.append((key[0], start, last + hold, text, n))
-            text, start, last, n = None, None, None, 0
-        if ended:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((text, start, last, n, newest, waiting))
+        if run[0] is not None and run[2] + self.gap < mark and (earliest is None or earliest > run[2] + self.gap):
+            closed.append(self._close(key[0], run))
+        if ended and known:
+            self.progress.clear()
+        elif not ended:
+            self.progress.update((*run, max(passed, mark), newest, earliest))
+        if self.silence is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            if not ended:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.silence * 1000))
         if closed:
-            yield pd.DataFrame(closed, columns=["video_id", "start_sec", "end_sec", "text", "n_lines"])
+            yield _runs(closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *run, passed, newest, _ = self.progress.get()
+        closed = self._fold(key[0], run, sorted(map(tuple, self.waiting.get())))
+        self.waiting.clear()
+        if run[0] is not None:
+            closed.append(self._close(key[0], run))
+        self.progress.update((*run, newest, newest, None))
+        if closed:
+            yield _runs(closed)
+
+    def _fold(self, video: str, run: list, lines: list) -> list:
+        """The runs that ``lines`` close; ``run`` (text, start, last, lines) is the open one before and after."""
+        closed = []
+        for t, _, text in lines:
+            if text == run[0] and t <= run[2] + self.gap:
+                run[2:] = max(run[2], t), run[3] + 1
+                continue
+            if run[0] is not None:
+                closed.append(self._close(video, run))
+            run[:] = text, t, t, 1
+        return closed
+
+    def _close(self, video: str, run: list) -> tuple:
+        text, start, last, n = run
+        run[:] = None, None, None, 0
+        return video, start, last + self.hold, text, n
+
 
-    return step
+def _runs(closed: list) -> pd.DataFrame:
+    return pd.DataFrame(closed, columns=["video_id", "start_sec", "end_sec", "text", "n_lines"])
 
 
 def running_metrics(per_query: DataFrame) -> DataFrame:

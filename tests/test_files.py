@@ -1,6 +1,7 @@
 """Readers on files in the layouts that users have, and the streams."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,14 @@ def test_query_package(spark, tmp_path):
                    ("qa-one", "sixth", "qa")}
 
 
+def runs_of(spark, stream, folder, **how):
+    """The runs of ``stream`` are added to the folder; the rows kept in state are returned, by state."""
+    with J.rocksdb_state(spark):
+        q = J.stream_text_runs(stream, **how).writeStream.format("parquet").option("path", str(folder / "out")).option(
+            "checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def test_streamed_runs_equal_batch_runs(spark, tmp_path):
     rows = [("v", i, t, x) for i, (t, x) in enumerate([(0.0, "A"), (3.0, "A"), (9.0, "A"), (16.0, "A"), (17.0, "B"), (18.0, "A"), (400.0, "Z"), (800.0, "Z")])]
     schema = "video_id string, line_id long, t_sec double, text string"
@@ -58,14 +67,47 @@ def test_streamed_runs_equal_batch_runs(spark, tmp_path):
     for i in range(4):
         df.filter(F.floor(F.col("line_id") / 2) == i).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = J.stream_text_runs(stream, delay=500.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    runs_of(spark, stream, tmp_path, delay=500.0)
     got = {(r.start_sec, r.end_sec, r.text, r.n_lines) for r in spark.read.schema(J.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect()}
     want = {(r.start_sec, r.end_sec, r.text, r.n_lines) for r in text_runs(df).collect()}
     assert got <= want and {g for g in got if g[0] < 100} == {w for w in want if w[0] < 100}
 
 
+def test_runs_go_on_after_a_restart_with_few_lines_in_state(spark, tmp_path):
+    schema = "video_id string, line_id long, t_sec double, text string"
+    rows = [("v", i, i * 1.0, "AB"[i // 7 % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, schema)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    for part in range(4):  # the query ends and starts again after each part
+        df.filter(F.floor(F.col("line_id") / 100) == part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        runs_of(spark, stream, tmp_path, delay=20.0)
+        waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "ck"))
+        assert waiting.count() == 20  # the lines of the last 20 seconds, whatever came before
+    J.end_of_video(df).distinct().coalesce(1).write.mode("append").json(str(tmp_path / "in"), ignoreNullFields=False)
+    runs_of(spark, stream, tmp_path, delay=20.0)
+    columns = ["video_id", "start_sec", "end_sec", "text", "n_lines"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect()))
+    assert got == sorted(map(tuple, text_runs(df).select(columns).collect())) and len(got) == 58
+    assert spark.read.format("statestore").option("stateVarName", "progress").load(str(tmp_path / "ck")).count() == 0
+
+
+def test_a_silent_video_is_closed_by_its_timer(spark, tmp_path):
+    schema = "video_id string, line_id long, t_sec double, text string"
+    rows = [("v", 0, 0.0, "A"), ("v", 1, 2.0, "A"), ("w", 2, 0.0, "C")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    with J.rocksdb_state(spark):  # a trigger that goes on: timers need batches after the last line
+        q = J.stream_text_runs(stream, silence=1.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    got, until = set(), time.time() + 60
+    while len(got) < 2 and time.time() < until and q.exception() is None:
+        q.awaitTermination(2)
+        got = {(r.video_id, r.start_sec, r.text, r.n_lines) for r in spark.read.schema(J.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect()}
+    q.stop()
+    assert got == {("v", 0.0, "A", 2), ("w", 0.0, "C", 1)}
+
+
 def test_pending_work_runs_once(spark, tmp_path):
     def run():
         items = spark.readStream.schema("video_id string").json(str(tmp_path / "in"))
@@ -109,8 +151,7 @@ def test_late_videos_and_ends_of_streams(spark, tmp_path):
         df.filter(f"line_id between {i} and {i + 1}").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     J.end_of_video(df).distinct().coalesce(1).write.mode("append").json(str(tmp_path / "in"), ignoreNullFields=False)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
-    J.stream_text_runs(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    runs_of(spark, stream, tmp_path)
     got = {(r.video_id, r.start_sec, r.n_lines) for r in spark.read.schema(J.RUN_SCHEMA).parquet(str(tmp_path / "out")).collect()}
     assert got == {("v", 0.0, 1), ("v", 3000.0, 2), ("w", 0.0, 2)}
 
