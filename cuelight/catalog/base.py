@@ -122,6 +122,17 @@ class Tables:
             self._INDEXES[key] = path
         return read_block_index(self.spark, self._INDEXES[key])
 
+    def gram_index(self):
+        """The trigrams of ``docs``, written once per application."""
+        from cuelight.operators.grams import read_gram_index, write_gram_index
+
+        place = (self.spark.sparkContext.applicationId, f"{self.dir}#grams")
+        if place not in self._INDEXES:
+            folder = self.scratch()
+            write_gram_index(self.docs, folder)
+            self._INDEXES[place] = folder
+        return read_gram_index(self.spark, self._INDEXES[place])
+
     @cached_property
     def keyframes(self) -> DataFrame:
         e = self["embeddings"].select(

@@ -13,6 +13,7 @@ from cuelight.operators import evaluation as E
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
 from cuelight.operators import blockmax as BM
+from cuelight.operators import grams as GR
 from cuelight.operators import lexical as L
 from cuelight.operators import transcripts as TR
 from cuelight.operators.ordered import top_k
@@ -41,6 +42,12 @@ def _(t):
     return L.phrase_hits(t.keywords, t.docs).select("query_id", F.col("kw_no").cast(B).alias("kw_no"), "doc_id")
 
 
+@query("flt_phrase_index", """
+SELECT k.query_id, kw_no::BIGINT AS kw_no, doc_id FROM keywords k JOIN docs d ON contains(lower(d.text), lower(trim(k.keyword)))""")
+def _(t):
+    return GR.phrase_hits(t.keywords, t.gram_index()).select("query_id", F.col("kw_no").cast(B).alias("kw_no"), "doc_id")
+
+
 @query("flt_video", "SELECT video_id, kf_id FROM keyframes WHERE contains(lower(video_id), 'v3')")
 def _(t):
     return t.keyframes.filter(F.contains(F.lower("video_id"), F.lower(F.lit("V3")))).select("video_id", "kf_id")
