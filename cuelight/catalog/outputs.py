@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuelight import hooks as H
 from cuelight.catalog.base import G, R, Tables, query, r6, sql_dot, sql_tokens
 from cuelight.catalog.ranking import SQL_EVIDENCE, SQL_RAW, _SCORED, corpus, full_queries
-from cuelight.catalog.relational import SQL_RERANK, categories, reranked, scored
+from cuelight.catalog.relational import SQL_OKAPI, SQL_RERANK, categories, reranked, scored
 from cuelight.functions import lexicon as lx
 from cuelight.functions import text as T
 from cuelight.functions.text import strip
@@ -449,6 +449,32 @@ def _(t):
     return t.spark.read.parquet(f"{d}/runs").select("video_id", six("start_sec"), six("end_sec"), "text", "n_lines")
 
 
+def _stored_terms(t, texts, key, **how):
+    """The stored statistics of ``texts`` after three batches."""
+    from cuelight.streaming.terms import append_terms, read_terms
+
+    d, files = t.scratch(), t.spark.sparkContext.defaultParallelism
+    texts.select(key, "text").repartition(3 * files).write.parquet(f"{d}/in")
+    arriving = t.spark.readStream.schema(texts.select(key, "text").schema).option("maxFilesPerTrigger", files).parquet(f"{d}/in")
+    append_terms(arriving, f"{d}/terms", f"{d}/ck", key, **how).awaitTermination()
+    return read_terms(t.spark, f"{d}/terms", key)
+
+
+@query("inc_term_stats", f"SELECT term, df, n_docs, {R('avgdl')} AS avgdl FROM doc_df, doc_stats")
+def _(t):
+    i = _stored_terms(t, t.docs, "doc_id").index()
+    c = i.corpus.select(F.struct("n_docs", "avgdl")).scalar()
+    return i.term_stats.select("term", "df", c["n_docs"].alias("n_docs"), r6(c["avgdl"]).alias("avgdl"))
+
+
+@query("inc_okapi", f"WITH {SQL_OKAPI.replace('QUERIES_HERE', 'lex_queries')} SELECT query_id, video_id, rank::BIGINT AS rank, {R('score')} AS score FROM pmeta WHERE rank <= 50")
+def _(t):
+    from cuelight.streaming.terms import okapi_terms
+
+    stored = _stored_terms(t, t.video_pieces, "video_id", tokenizer=T.tokenize_words, blank=True)
+    return okapi_terms(t.lex_queries, stored).select("query_id", "video_id", F.col("rank").cast("bigint").alias("rank"), six("score"))
+
+
 @query("inc_eval", """
 SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS config, count(*) AS n, avg(quality::DOUBLE) AS r1, avg(quality::DOUBLE) AS r5, avg(quality::DOUBLE) AS mrr FROM labels GROUP BY 1""")
 def _(t):

@@ -116,16 +116,24 @@ def okapi(queries: DataFrame, pieces: DataFrame, k: int = 50, group: str = "vide
     Counts add up over pieces, so the long text of a group is never assembled.
     A negative idf becomes ``eps`` times the mean idf of the whole vocabulary.
     """
-    tokens = pieces.select(group, T.tokenize_words("text").alias("tokens"))
+    # a null text is an empty one: its group counts as a document without words
+    tokens = pieces.select(group, T.tokenize_words(F.coalesce("text", F.lit(""))).alias("tokens"))
     lengths = tokens.groupBy(group).agg(F.sum(F.size("tokens")).alias("dl"))
     tf = (
         tokens.select(group, F.explode_outer("tokens").alias("term")).filter("term is not null")
         .groupBy(group, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    stats = corpus.select(F.struct("n_docs", "avgdl")).scalar()
+    return okapi_hits(queries, tf, lengths, Index(tf, document_frequencies(tf), corpus), k, group, eps)
+
+
+def okapi_hits(
+    queries: DataFrame, tf: DataFrame, lengths: DataFrame, index: Index, k: int = 50, group: str = "video_id", eps: float = 0.25,
+) -> DataFrame:
+    """The same from counts (term, group, tf), lengths (group, dl) and the statistics of ``index``."""
+    stats = index.corpus.select(F.struct("n_docs", "avgdl")).scalar()
     df = F.col("df")
-    idf = document_frequencies(tf).select(
+    idf = index.term_stats.select(
         "term", (F.log(stats["n_docs"] - df + 0.5) - F.log(df + 0.5)).alias("idf")
     )
     floor = idf.select(F.avg("idf") * eps).scalar()

@@ -99,6 +99,61 @@ def test_many_phrases_equal_few(spark):
     assert {(r.query_id, r.doc_id) for r in L.phrase_hits(kw.filter("query_id > 30"), docs).collect()} == {p for p in want if p[0] > 30}
 
 
+def test_phrases_by_trigrams(spark, tmp_path, monkeypatch):
+    from cuelight.operators import grams as GR
+
+    monkeypatch.setattr(GR, "FOLDERS", 3)
+    texts = [f"Boat {i} at SEA" for i in range(60)] + ["", None, "se", "red\nboat", "Größe und Maß", "a\U0001f600b\U0001f600c", "Boat 7 at SEA"]
+    docs = spark.createDataFrame([(None if i == 65 else i % 64, x, "extra") for i, x in enumerate(texts)], "doc_id long, text string, block string").drop("block")
+    asked = ["boat 7", " At Sea ", "d\nb", "SE", "", "  ", None, "größe", "boat 7 by", "zzz", "b\U0001f600c", "aaaa", "e", "boat 7"]
+    kw = spark.createDataFrame(list(enumerate(asked)), "query_id long, keyword string")
+    GR.write_gram_index(docs, str(tmp_path), block_docs=8)
+    index = GR.read_gram_index(spark, str(tmp_path))
+    got = sorted((r.query_id, r.text) for r in GR.phrase_hits(kw, index).collect())
+    want = sorted((i, x) for i, k in enumerate(asked) if k and k.strip() for x in texts if x is not None and k.strip().lower() in x.lower())
+    assert got == want
+    # only documents with the rarest trigrams are compared
+    few = GR.candidates(spark.createDataFrame([("boat 7",), ("boat 7 by",), ("at sea",)], "_phrase string"), index).groupBy("_phrase").count().collect()
+    assert {r["_phrase"]: r["count"] for r in few} == {"boat 7": 2, "at sea": 61}
+
+
+def test_stored_terms_grow_with_their_batches(spark, tmp_path):
+    from cuelight.functions import text as T
+    from cuelight.streaming import terms as TS
+
+    rows = [(i % 7, f"w{i % 3} w{i % 5} common common") for i in range(30)] + [(0, " "), (8, None), (9, ""), (None, "w1 lost")] + [(20 + i, f"rare{i} w4") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(0, "w1 common"), (1, "w4 lost"), (2, "none")], "query_id long, text string")
+    for i in range(3):
+        docs.filter(F.pmod(F.xxhash64("text"), F.lit(3)) == i).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, **how):
+        arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        TS.append_terms(arriving, str(tmp_path / name), str(tmp_path / f"{name}_ck"), **how).awaitTermination()
+        return TS.read_terms(spark, str(tmp_path / name))
+
+    def seen(stored):
+        return sorted(map(tuple, stored.term_stats().collect())), [(n, round(x, 9)) for n, x in stored.index().corpus.collect()]
+
+    stored = run("terms")
+    assert stored.new_pairs.select("batch").distinct().count() >= 2
+    whole = docs.filter(T.strip("text") != "").groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    once = L.build_index(whole)
+    want = sorted(map(tuple, once.term_stats.collect())), [(n, round(x, 9)) for n, x in once.corpus.collect()]
+    assert seen(stored) == want
+    hits = lambda df: sorted((r.query_id, r["rank"], -1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in df.collect())
+    assert hits(TS.search_terms(queries, stored, 20)) == hits(L.bm25(queries, whole, 20))
+    # a batch whose commit was lost runs again and adds nothing
+    last = max((tmp_path / "terms_ck/commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink()
+    assert seen(run("terms")) == want
+    pieces = run("pieces", tokenizer=T.tokenize_words, blank=True)
+    got = hits(TS.okapi_terms(queries, pieces, 20))
+    assert got and got == hits(L.okapi(queries, docs, 20, "doc_id"))
+    assert pieces.new_keys.agg(F.sum("n_docs")).head()[0] == 30  # 27, two without a text, one without a key
+
+
 def test_self_query_returns_itself(spark):
     m = unit_vectors(100, 64)
     kf = frames(spark, m, lambda i: f"v{i // 10}")
