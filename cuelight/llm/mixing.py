@@ -53,8 +53,9 @@ def exponent(shares: DataFrame, entropy: float, repeats: float) -> float:
 def copies(docs: DataFrame, entropy: float = 0.999, repeats: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as ``_doc``, with ``n_tokens`` and ``n_copies`` (how often the mixture takes the row, at least once).
 
-    Rows without a source are a source of their own; a null or blank text counts one token. Rows of equal order in a permutation
-    (repeated rows) follow one another in any order. An empty table gives an empty table.
+    Rows without a source are a source of their own; a null or blank text counts one token. A row's place in a
+    permutation follows from its doc_id (its text, if it has none), then from all its columns but maps, so the order of the table does not
+    matter; rows that are equal in all of these follow one another in any order. An empty table gives an empty table.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), n_tokens(F.col("text")).alias("n_tokens"),
                        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"))
@@ -66,12 +67,15 @@ def copies(docs: DataFrame, entropy: float = 0.999, repeats: float = 2.0) -> Dat
     plan = plan.select("_source", F.floor("r").alias("_whole"), F.floor((F.col("r") - F.floor("r")) * F.col("t")).alias("_rest"))
 
     # a permutation of a source is cut into 4,096 bins, so a source of any size is many small running sums
-    rows = rows.withColumn("_key", F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("")))))
+    # rows without a doc_id are spread over the bins by their texts
+    name = F.coalesce(F.col("_doc.doc_id").cast("string"), F.concat(F.lit("="), F.md5(F.coalesce(F.col("_doc.text"), F.lit("")))))
+    tie = F.xxhash64(*[F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    rows = rows.withColumn("_key", F.md5(F.concat(F.lit(SEED), name))).withColumn("_tie", tie)
     rows = rows.withColumn("_bin", F.substring("_key", 1, 3))
     bins = rows.groupBy("_source", "_bin").agg(F.sum("n_tokens").alias("b"))
     before = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("_source", "_bin", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_before")).join(plan, "_source")
-    inside = Window.partitionBy("_source", "_bin").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_bin").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(bins, ["_source", "_bin"]).withColumn("_upto", F.sum("n_tokens").over(inside) + F.col("_before"))
     return rows.select("_doc", "n_tokens", (F.col("_whole") + (F.col("_upto") <= F.col("_rest")).cast("long")).alias("n_copies"))
 

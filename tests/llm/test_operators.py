@@ -250,6 +250,19 @@ def test_mixing_meets_its_targets(spark, rows):
     assert mixing.mixed(docs).count() == sum(r.n_copies for r in copies(docs).collect())
 
 
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(None if i % 3 else i // 6, "big" if i % 5 else None, "w " * (1 + i * 7 % 11) + str(i % 40)) for i in range(240)] + [(1000, "small", "a b c")]
+    schema = "doc_id long, source string, text string"
+
+    def counted(order):
+        got = copies(spark.createDataFrame(order, schema).repartition(3)).groupBy("_doc", "n_copies").count().collect()
+        return sorted((str(r["_doc"]), r["n_copies"], r["count"]) for r in got)
+
+    first = counted(rows)
+    assert len({n for _, n, _ in first}) > 1
+    assert first == counted(rows[::-1]) == counted(rows[1::2] + rows[::2])
+
+
 def test_fingerprints_follow_edits(spark, rows):
     docs = table(spark, [*rows, (2000, rows[0][1], "s")])
     by = sorted([*rows, (2000, rows[0][1], "s")], key=lambda r: -r[0])
