@@ -101,8 +101,8 @@ def append_vectors(vectors: DataFrame, path: str, checkpoint: str, n_list: int =
         if stored is not None:
             start = stored.filter(F.col("batch") != batch_id).agg(F.coalesce(F.max("global_idx") + 1, F.lit(0))).head()[0]
         numbered = global_positions(df).withColumn("global_idx", F.col("global_idx") + start)
-        homes = _nearest_cells(numbered.select(F.col("kf_id").alias("_key"), N.as_doubles("embedding").alias("_v")), centers, 1)
-        placed = numbered.join(homes.select(F.col("_key").alias("kf_id"), "cell"), "kf_id")
+        homes = _nearest_cells(numbered.select(F.col("global_idx").alias("_key"), N.as_doubles("embedding").alias("embedding")), centers, 1)
+        placed = numbered.join(homes.select(F.col("_key").alias("global_idx"), "cell"), "global_idx")  # kf_id may come twice, its place not
         placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors/batch={batch_id}")
 
     return vectors.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

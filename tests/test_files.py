@@ -194,3 +194,23 @@ def test_vectors_with_sidecars_round_trip(spark, tmp_path):
     out = {(r.video_id, r.pos): r for r in RD.read_embeddings(spark, str(tmp_path), meta).collect()}
     assert len(out) == 46 and out["v2", 22].embedding == [22.0, 1.0] and out["v2", 22].global_idx == 45
     assert (out["v1", 2].frame_idx, out["v1", 2].pts_time) == (99, 7.5) and (out["v1", 3].frame_idx, out["v1", 3].pts_time) == (18, pytest.approx(0.6))
+
+
+def test_an_index_grows_by_batches(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    schema = "video_id string, pos long, kf_id long, embedding array<float>"
+    rows = [(f"v{i % 2}", i, i // 2, rng.normal(size=4).tolist()) for i in range(60)]  # every kf_id twice
+
+    def run(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        J.append_vectors(stream, str(tmp_path / "index"), str(tmp_path / "ck"), 3).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "index/vectors")).orderBy("global_idx").collect()
+
+    run(rows[:40])
+    stored = run(rows[40:])
+    order = sorted(rows[:40], key=lambda r: (r[0], r[1])) + sorted(rows[40:], key=lambda r: (r[0], r[1]))
+    assert [(r.global_idx, r.video_id, r.pos, r.kf_id) for r in stored] == [(i, *r[:3]) for i, r in enumerate(order)]
+    centers = np.array([r.center for r in spark.read.parquet(str(tmp_path / "index/cells")).orderBy("cell").collect()])
+    near = np.argmax(np.array([r.embedding for r in stored]) @ centers.T, axis=1)
+    assert [r.cell for r in stored] == near.tolist()
