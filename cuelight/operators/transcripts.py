@@ -51,6 +51,8 @@ def validate_generated(outputs: DataFrame, originals: DataFrame) -> DataFrame:
 
     outputs: video_id, raw_output; originals: video_id, segment_no (0-based), text.
     reason is null for a valid transcript; the ratios and counts then hold.
+    A transcript that starts with a marker has no preamble: phrases behind the
+    marker are its text, and a first marker other than 0 is an id mismatch.
     """
     text = strip("text")
     base = originals.groupBy("video_id").agg(
@@ -66,7 +68,7 @@ def validate_generated(outputs: DataFrame, originals: DataFrame) -> DataFrame:
         F.array().cast("array<bigint>"))
     reason = (
         F.when(strip(F.coalesce("raw_output", F.lit(""))) == "", "empty")
-        .when(chatty & ~F.startswith(head, F.lit("[segment 0]")), "preamble")
+        .when(chatty & ~F.rlike(head, F.lit(r"^\[segment (0|[1-9]\d*)\]")), "preamble")
         .when(F.size(b) == 0, "no_markers")
         .when(F.col("ids") != expected, "id_mismatch")
     )

@@ -355,6 +355,15 @@ def test_generated_transcripts(spark):
     assert TR.validate_tagged(tag.withColumn("n_expected", F.lit(3))).head().error == "segment_count_mismatch"
 
 
+def test_a_phrase_behind_the_first_marker_is_no_preamble(spark):
+    o = spark.createDataFrame([(v, i, "x") for v in "abcd" for i in range(2)], "video_id string, segment_no long, text string")
+    out = spark.createDataFrame(
+        [("a", "[SEGMENT 1]\nthere is more"), ("b", "[SEGMENT 0] here is\n[SEGMENT 1] x"), ("c", "Here is [SEGMENT 1] x"), ("d", "[SEGMENTS] here is")],
+        "video_id string, raw_output string")
+    got = {x.video_id: x.reason for x in TR.validate_generated(out, o).collect()}
+    assert got == {"a": "id_mismatch", "b": None, "c": "preamble", "d": "preamble"}
+
+
 def test_pinned_and_buckets(spark):
     res = spark.createDataFrame([(0, i + 1, "v", 10 * i, 0.5) for i in range(5)], "query_id long, rank int, video_id string, frame_idx long, score double")
     pin = spark.createDataFrame([(0, 1, "v", 30)], "query_id long, pin_no int, video_id string, frame_idx long")
