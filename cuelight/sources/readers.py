@@ -94,12 +94,17 @@ def normalise_segments(rows: DataFrame, flavour: str = "lexical") -> DataFrame:
     )
 
 
-def read_ocr(spark: SparkSession, path: str, fps: float = 25.0, wholetext: bool = True) -> DataFrame:
+def read_ocr(spark: SparkSession, path: str, fps: float = 25.0, wholetext: bool = True, named: bool = False) -> DataFrame:
     """Screen text: maps {"f_<frame>": text}. A key without a number is at second 0.
 
     One map per video file, or with ``wholetext`` off one map per line in a
-    folder per video (video_id=...), for videos too long for one map.
+    folder per video (video_id=...), for videos too long for one map. With
+    ``named`` a line is {"video_id": ..., "frames": map}, in any files: for more
+    videos than the driver can list.
     """
+    if named:
+        maps = spark.read.schema("video_id string, frames map<string,string>").json(path)
+        return ocr_lines(maps.select("video_id", F.explode("frames").alias("key", "text")), fps)
     whole = spark.read.text(path, wholetext=wholetext)
     if "video_id" not in whole.columns:
         whole = whole.withColumn("video_id", stem())
@@ -134,11 +139,17 @@ def read_frame_map(spark: SparkSession, path: str) -> DataFrame:
     return with_position(raw, ["video_id"], ["n"], F.floor(F.col("n") / 4096), "row_no")
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Detections, one JSON per keyframe in a folder per video: one row per box."""
+def read_detections(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """Detections, one JSON per keyframe in a folder per video: one row per box.
+
+    With ``named`` a line is the JSON of one keyframe with its video_id and
+    keyframe, in any files: for more keyframes than the driver can list.
+    """
     schema = (
         "detection_class_entities array<string>, detection_boxes array<array<double>>, detection_scores array<string>"
     )
+    if named:
+        return detection_rows(spark.read.schema(f"video_id string, keyframe string, {schema}").json(path))
     raw = spark.read.schema(schema).option("multiLine", True).json(path).select("*", "_metadata.file_path")
     parts = F.split("file_path", "/")
     named = raw.withColumn("video_id", F.element_at(parts, -2)).withColumn("keyframe", stem("file_path"))
@@ -154,8 +165,14 @@ def detection_rows(raw: DataFrame) -> DataFrame:
     ).filter("entity is not null and box is not null and score is not null")
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Media info, one JSON per video; keywords and tags are a list or a scalar."""
+def read_metadata(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """Media info, one JSON per video; keywords and tags are a list or a scalar.
+
+    With ``named`` a line is the JSON of one video with its video_id, in any
+    files: for more videos than the driver can list.
+    """
+    if named:
+        return metadata_rows(spark.read.text(path).withColumn("video_id", F.get_json_object("value", "$.video_id")))
     whole = spark.read.text(path, wholetext=True).withColumn("video_id", stem())
     return metadata_rows(whole)
 

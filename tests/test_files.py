@@ -214,3 +214,27 @@ def test_an_index_grows_by_batches(spark, tmp_path):
     centers = np.array([r.center for r in spark.read.parquet(str(tmp_path / "index/cells")).orderBy("cell").collect()])
     near = np.argmax(np.array([r.embedding for r in stored]) @ centers.T, axis=1)
     assert [r.cell for r in stored] == near.tolist()
+
+
+def test_many_keyframes_and_videos_share_files(spark, tmp_path):
+    put(tmp_path / "obj/part.json", '{"video_id":"A","keyframe":"0001","detection_class_entities":["Car","Dog"],"detection_boxes":[[0,0,1,1],[0,0,1,1]],"detection_scores":["0.5","n/a"]}\n'
+        '{"video_id":"B","keyframe":"0007","detection_class_entities":["Cat"],"detection_boxes":[[0,0,1,1]],"detection_scores":["0.25"]}\n')
+    got = RD.read_detections(spark, str(tmp_path / "obj"), named=True).select("video_id", "keyframe", "entity", "score").collect()
+    assert sorted(map(tuple, got)) == [("A", "0001", "Car", 0.5), ("B", "0007", "Cat", 0.25)]
+    put(tmp_path / "ocr/part.json", '{"video_id":"A","frames":{"f_50":" hi ","f_x":"x"}}\n{"video_id":"B","frames":{"f_25":"yo","f_26":" "}}\n')
+    got = RD.read_ocr(spark, str(tmp_path / "ocr"), named=True).select("video_id", "t_sec", "text").collect()
+    assert sorted(map(tuple, got)) == [("A", 0.0, "x"), ("A", 2.0, "hi"), ("B", 1.0, "yo")]
+    put(tmp_path / "meta/part.txt", '{"video_id":"1","title":"t","description":"a\\nb","keywords":["k","l"]}\n{"video_id":"2","keywords":"k"}\n')
+    got = RD.read_metadata(spark, str(tmp_path / "meta"), named=True).collect()
+    assert sorted(map(tuple, got)) == [("1", "t", "a\nb", "k l", ""), ("2", "", "", "k", "")]
+
+
+def test_file_queries_write_files_by_task_not_by_row(spark, tmp_path, monkeypatch):
+    from cuelight import catalog
+    from cuelight.catalog.base import Tables
+
+    table = "/root/testdata/sf0.001"
+    for name in ("src_objects", "src_metadata", "src_ocr"):
+        monkeypatch.setattr(Tables, "scratch", lambda self, name=name: str(tmp_path / name))
+        assert catalog.queries()[name](spark, table).count() > 0
+        assert len([f for f in (tmp_path / name).rglob("*") if f.is_file() and f.suffix in (".json", ".txt")]) <= 8
