@@ -1,6 +1,7 @@
 """Small literal cases, most of them with known numbers."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -602,6 +603,25 @@ def test_neighbours_by_bounds(spark):
     assert compared[0] < 600**2 / 3 and compared[1] < compared[0] * 10, compared
 
 
+def test_neighbours_of_one_group_are_copied_by_block(spark, monkeypatch):
+    from cuelight.operators import cells as C
+
+    m = unit_vectors(500, 16, 4)
+    m[40:60] = m[0]  # ties over the kth place
+    kf = frames(spark, m)
+    pairs = lambda df: {(r.query_id, r.kf_id) for r in df.collect()}
+    met, inner = [], C.meet_in_blocks
+    monkeypatch.setattr(C, "meet_in_blocks", lambda rows, *rest: met.append(rows.count()) or inner(rows, *rest))
+    assert pairs(D.near_duplicates(kf, 3, block_rows=90, n_probe=1)) == brute_neighbours(m, 3)
+    monkeypatch.setattr(C, "SLICE_NUMBERS", 700)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 16 * 8 * 120)
+    assert pairs(D.near_duplicates(kf, 30, block_rows=200, n_probe=1)) == brute_neighbours(m, 30)  # no kth score at first
+    assert pairs(D.near_duplicates(kf, 4, n_probe=1, at_least=0.1)) == brute_neighbours(m, 4, 0.1)
+    assert len(met) == 3 and min(met) > 400
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    assert [b.num_rows for b in C.slices([batch], 2)] == [350, 350, 300]
+
+
 def test_recall_of_default_cells(spark):
     m = clustered(3000, 60, 16, 7)
     kf = frames(spark, m)
