@@ -1,5 +1,7 @@
 """Small literal cases, most of them with known numbers."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -365,6 +367,15 @@ def test_a_phrase_behind_the_first_marker_is_no_preamble(spark):
     assert got == {"a": "id_mismatch", "b": None, "c": "preamble", "d": "preamble"}
 
 
+def test_flood_is_worked_off_where_the_centre_lies(spark):
+    c = spark.createDataFrame([(1, "v", 1), (2, "v", 50), (3, "w", -4)], "kf_id long, video_id string, frame_idx long")
+    out = S.neighbour_flood(c, ["kf_id"], 5, 2)
+    got = {k: [r.frame for r in sorted(rows, key=lambda r: r.row_no)] for k, rows in itertools.groupby(out.orderBy("kf_id").collect(), lambda r: r.kf_id)}
+    assert got == {1: [1, 3, 5, 7, 9], 2: [50, 48, 52, 46, 54], 3: [-4, 0, 2, 4, 6]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
 def test_pinned_and_buckets(spark):
     res = spark.createDataFrame([(0, i + 1, "v", 10 * i, 0.5) for i in range(5)], "query_id long, rank int, video_id string, frame_idx long, score double")
     pin = spark.createDataFrame([(0, 1, "v", 30)], "query_id long, pin_no int, video_id string, frame_idx long")
