@@ -376,6 +376,16 @@ def test_flood_is_worked_off_where_the_centre_lies(spark):
     assert "Window" not in plan and "Exchange" not in plan
 
 
+def test_documents_are_scored_where_they_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["a", "b", "c"][: i % 3 + 1] * (i % 5 + 1))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "b c c"), (2, "a"), (3, "z")], "query_id long, text string")
+    found = L.bm25(q, docs, 7)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no posting is shuffled
+    want = sorted(map(tuple, L.search_index(q, L.build_index(docs), 7).collect()))
+    monkeypatch.setattr(L, "SCORES", 12)
+    assert sorted(map(tuple, found.collect())) == want == sorted(map(tuple, L.bm25(q, docs, 7).collect())) and len(want) == 14
+
+
 def test_pinned_and_buckets(spark):
     res = spark.createDataFrame([(0, i + 1, "v", 10 * i, 0.5) for i in range(5)], "query_id long, rank int, video_id string, frame_idx long, score double")
     pin = spark.createDataFrame([(0, 1, "v", 30)], "query_id long, pin_no int, video_id string, frame_idx long")
