@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelight.functions import numeric as N
 from cuelight.functions.text import strip
 from cuelight.operators import dense as D
 from cuelight.operators import fusion as X
 from cuelight.operators import intervals as I
 from cuelight.operators import sequence as S
-from cuelight.operators.ordered import top_k
 from cuelight.plans import search as P
 from cuelight.session import reliable
 
-#: seconds around a mark in which its bonus falls, and the bonus of its video beyond them
-REACH, FAR_BONUS = 45.0, 0.08
+#: bonus at a mark, seconds around it in which the bonus falls, and the bonus of its video beyond them
+NEAR_BONUS, REACH, FAR_BONUS = 0.25, 45.0, 0.08
 
 
 def refine(
@@ -29,10 +27,9 @@ def refine(
     keyframes come first with score 1, pinned ones before all. keywords: as of
     ``search``.
 
-    Candidates are exact: outside marked videos a keyframe without evidence is
-    ordered by its dense parts; inside a marked video but beyond 45 s of a mark all
-    bonuses are equal, so the best of that video by dense parts suffice; the
-    keyframes near a mark and those with speech are taken whole.
+    The bonus of the marks is added to the dense scores where they are made, with
+    the evidence of speech and keywords; marked keyframes leave the scan whatever
+    their score.
     """
     kf = corpus.keyframes
     queries = P.with_intent(queries)
@@ -44,35 +41,20 @@ def refine(
 
     if keywords is not None:
         keywords = reliable(P.usable_keywords(keywords, queries))
-    own = marks.groupBy("query_id").agg(F.collect_set("video_id").alias("groups"))
-    packed = reliable(P.pack_queries(moved, None, kf, keywords).join(own, "query_id", "left"))
-    marked = kf.join(marks.select("video_id").distinct(), "video_id", "left_semi")
-    best = D.pooled_topk(packed, kf, pool_size).unionByName(
-        D.pooled_topk(packed, marked, pool_size, group="video_id", flat=FAR_BONUS).drop("video_id"))
-    scored = reliable(best.dropDuplicates(["query_id", "kf_id"]))
-    near = I.near_points(
-        marks.select("query_id", "video_id", F.col("pts_time").alias("_p")), kf.select("video_id", "kf_id", "pts_time"),
-        "pts_time", REACH, left_t="_p",
-    ).select("query_id", "kf_id")
-    extra = reliable(P.keyword_evidence(keywords, corpus)) if keywords is not None else None
-    pairs = near.unionByName(speech.select("query_id", "kf_id")).unionByName(positives.select("query_id", "kf_id"))
-    if extra is not None:
-        pairs = pairs.unionByName(extra.select("query_id", "kf_id"))
-    rest = pairs.distinct().join(scored, ["query_id", "kf_id"], "left_anti")
-    every = scored.unionByName(D.pooled_pairs(rest, packed, kf)).drop("best_scene")
-
-    rows = reliable(every.join(kf.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id"))
-    bonus = mark_bonus(rows, marks)
-    cand = P.with_speech(
-        rows.join(bonus, ["query_id", "kf_id"], "left").withColumn("norm", N.clip(F.col("norm") + F.coalesce("bonus", F.lit(0.0)))), speech)
-    fused = reliable(P.fuse(cand, fixed_route(queries, weights), extra))
-    pool = top_k(fused, ["query_id"], P.pool_order(keywords is not None), pool_size)
+    own = marks.groupBy("query_id").agg(F.collect_list(F.struct("video_id", "pts_time")).alias("marks"))
+    packed = P.pack_queries(moved, None, kf, keywords).join(own, "query_id", "left").join(fixed_route(queries, weights), "query_id")
+    extra = P.keyword_scores(keywords, corpus) if keywords is not None else None
+    best = D.fused_topk(
+        packed, kf, P.all_evidence(speech, extra, positives), pool_size, by_lead=keywords is not None, bonus=(NEAR_BONUS, REACH, FAR_BONUS))
+    fused = reliable(best.join(kf.select("kf_id", "video_id", "pts_time", "fps", "frame_idx"), "kf_id"))
+    pool = fused.filter(F.col("rank") <= pool_size)
     seeds = positives.groupBy("query_id", "kf_id").agg(F.min("mark_no").alias("mark_no"))
     seeded = (
         fused.join(seeds, ["query_id", "kf_id"]).withColumn("rank", F.col("mark_no").cast("int")).drop("mark_no").withColumn("seed", F.lit(True))
         .unionByName(pool.join(seeds.select("query_id", "kf_id"), ["query_id", "kf_id"], "left_anti").withColumn("seed", F.lit(False)))
     )
     ranked = reliable(S.suppress(seeded, top, 2.0, seed="seed"))
+    ranked = reliable(P.with_texts(ranked, speech, keywords, corpus.docs))
     shown = ranked.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("fused")))
     pins = marks.filter("pinned").select("query_id", F.col("mark_no").alias("pin_no"), "video_id", "frame_idx", F.col("pts_time").alias("_pin_t"))
     final = X.pinned_first(shown.select("query_id", "rank", "video_id", "frame_idx", "score"), pins, top)
@@ -99,11 +81,3 @@ def fixed_route(queries: DataFrame, weights: tuple[float, float] | None) -> Data
         F.when(visual, 0.15).otherwise(F.col("intent.w_speech")).alias("w_speech"),
     )
 
-
-def mark_bonus(rows: DataFrame, marks: DataFrame, reach: float = REACH) -> DataFrame:
-    """query_id, kf_id, bonus of candidate rows in marked videos of their own query."""
-    m = marks.select("query_id", "video_id", F.col("pts_time").alias("_p"))
-    d = F.abs(F.col("pts_time") - F.col("_p"))
-    value = F.when(d <= reach, F.lit(0.25) * (F.lit(1.0) - d / F.lit(reach))).otherwise(F.lit(FAR_BONUS))
-    return rows.select("query_id", "kf_id", "video_id", "pts_time").join(m, ["query_id", "video_id"]).groupBy(
-        "query_id", "kf_id").agg(F.max(value).alias("bonus"))

@@ -543,6 +543,47 @@ def test_keyword_lists_are_added_in_the_scan(spark):
     assert np.allclose(key(found), key(pairs.collect()), atol=3e-9)
 
 
+def test_evidence_meets_vectors_in_blocks(spark, monkeypatch):
+    """Pools equal to scoring every pair, over several blocks and slices, with ties, marks, kept rows and keywords of one number."""
+    from cuelight.plans import search as P
+
+    monkeypatch.setattr(D, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(D, "SLICE_ROWS", 16)
+    rng = np.random.default_rng(5)
+    m = np.repeat(rng.normal(size=(100, 5)), 2, axis=0)
+    kf = spark.createDataFrame(
+        [(i, f"v{i % 3}", float(i), m[i].tolist()) for i in range(200)], "kf_id bigint, video_id string, pts_time double, embedding array<double>")
+    q = rng.normal(size=(3, 5))
+    queries = spark.createDataFrame([(i, q[i].tolist()) for i in range(3)], "query_id bigint, embedding array<double>")
+    extra = spark.createDataFrame(
+        [(0, "v1", 30.0, 0.9, 0.1), (1, "v2", 100.0, 0.4, 0.6), (2, None, None, 1.0, 0.0)],
+        "query_id bigint, video_id string, pts_time double, w_dense double, w_speech double")
+    marks = F.when(F.col("video_id").isNotNull(), F.array(F.struct("video_id", "pts_time")))
+    packed = P.pack_queries(queries, None, kf).join(extra.withColumn("marks", marks).drop("video_id", "pts_time"), "query_id")
+    speech = [(i, int(n), float(x), "said") for i in range(2) for n, x in zip(rng.choice(200, 40, replace=False), rng.random(40))]
+    words = [(i, n, 0.25, no, 0.5 + no) for i in range(3) for n in range(0, 200, 2 + i) for no in (0, 1)] + [(0, 0, 0.0, 1, 0.2), (9, 3, 1.0, 0, 9.0), (0, 777, 1.0, 0, 9.0)]
+    evidence = P.all_evidence(
+        spark.createDataFrame(speech, "query_id bigint, kf_id bigint, score double, text string"),
+        spark.createDataFrame(words, "query_id bigint, kf_id bigint, kw_speech double, kw_no int, exact double"),
+        spark.createDataFrame([(2, 7)], "query_id bigint, kf_id bigint"))
+    assert "text" not in evidence.columns
+    rows = D.fused_topk(packed, kf, evidence, 6, by_lead=True, bonus=(0.25, 45.0, 0.08)).collect()
+    said = {(i, n): x for i, n, x, _ in speech}
+    grid = lambda x: np.floor(x * 1e9 + 0.5) / 1e9
+    for i, (video, at, d, s) in enumerate([(1, 30.0, 0.9, 0.1), (2, 100.0, 0.4, 0.6), (None, 0.0, 1.0, 0.0)]):
+        dense = grid(m @ q[i])
+        norm = grid((dense - dense.min()) / (dense.max() - dense.min()))
+        far = np.abs(np.arange(200) - at)
+        bonus = np.where(np.arange(200) % 3 == video, np.where(far <= 45, 0.25 * (1 - far / 45), 0.08), 0.0) if video else 0.0
+        norm = np.clip(norm + bonus, 0, 1)
+        hit = np.arange(200) % (2 + i) == 0
+        fused = grid(d * norm + s * (np.array([said.get((i, n), 0.0) for n in range(200)]) + 0.5 * hit) + 2.0 * hit)
+        best = sorted(range(200), key=lambda n: (-fused[n], -grid(norm)[n], -dense[n], n))
+        got = {r["rank"]: (r.kf_id, round(r.fused, 6)) for r in rows if r.query_id == i and r["rank"] <= 6}
+        assert got == {k + 1: (n, round(float(fused[n]), 6)) for k, n in enumerate(best[:6])}
+    assert [(r.query_id, r["rank"] > 6) for r in rows if r.kept] == [(2, True)] and len(rows) == 19
+
+
 def test_keyword_evidence(spark):
     from cuelight.plans import search as P
 
