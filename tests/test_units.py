@@ -83,6 +83,20 @@ def test_bm25_matches_formula(spark):
     assert got[1] == pytest.approx(2 * idf(2) * tfn(1, 2), abs=1e-8) and set(got) == {0, 1}
 
 
+def test_top_documents_build_no_index(spark, monkeypatch):
+    """tk_bm25 counts the terms of its queries alone; slices of the documents change nothing."""
+    from cuelight import catalog
+
+    def built(*_):
+        raise AssertionError("all terms of all documents are counted")
+
+    run = lambda: sorted(map(tuple, catalog.queries()["tk_bm25"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(L, "build_index", built)
+    want = run()
+    monkeypatch.setattr(L, "SCORES", 64)
+    assert len(want) > 0 and run() == want
+
+
 def test_stored_index_gives_the_same(spark, tmp_path):
     from cuelight.sources.writers import read_index, write_index
 
