@@ -107,6 +107,29 @@ def test_stored_index_gives_the_same(spark, tmp_path):
     assert a == sorted(map(tuple, L.bm25(q, docs, 7).collect())) and len(a) == 13
 
 
+def test_frequent_term_of_a_stored_index(spark, tmp_path):
+    """A term of every document lies in several files, documents cut by batches are whole again, no pair of query and document is shuffled."""
+    from cuelight.sources.writers import read_index, write_index
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 700} common common") for i in range(4000)], "doc_id long, text string").repartition(6)
+    q = spark.createDataFrame([(0, "w1 common"), (1, "w4 w4 common"), (2, "nowhere")], "query_id long, text string")
+    names = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {c: spark.conf.get(c) for c in names}
+    try:
+        for c, v in names.items():
+            spark.conf.set(c, v)
+        write_index(L.build_index(docs), str(tmp_path))
+        index = read_index(spark, str(tmp_path))
+        common = index.postings.filter("term = 'common'")
+        assert common.select(F.input_file_name()).distinct().count() > 1 and common.filter("tf = 2").count() == 4000
+        found = L.search_index(q, index, 30)
+        assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, L.bm25(q, docs, 30).collect()))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_many_phrases_equal_few(spark):
     docs = spark.createDataFrame([(i, f"Alpha b{i} gamma") for i in range(40)], "doc_id long, text string")
     kw = spark.createDataFrame([(i, f"B{i} g") for i in range(40)] + [(99, "alpha")], "query_id long, keyword string")
