@@ -470,6 +470,28 @@ def test_block_index_skips_and_gives_the_same(spark, tmp_path):
     assert "max_tf" in plan and "postings" not in plan
 
 
+def test_blocks_fill_by_their_own_length(spark, tmp_path):
+    """Documents of one word do not thin out the blocks of long ones; blocks are scored whole when a join turns into a broadcast."""
+    from cuelight.operators import blockmax as BM
+    from cuelight.sources.writers import read_block_index, write_block_index
+
+    rng = np.random.default_rng(11)
+    docs = [(i, "view") for i in range(4000)] + [(5000 + i, " ".join(f"w{x}" for x in rng.integers(0, 60, 64 + i % 20))) for i in range(300)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    q = spark.createDataFrame([(0, "w1 w2 w3 w4"), (1, "w5 view"), (2, "w9 w9 w30 w31 w32")], "query_id long, text string")
+    write_block_index(BM.block_index(docs, block_docs=16), str(tmp_path), 3)
+    index = read_block_index(spark, str(tmp_path))
+    assert index.blocks.filter("min_dl > 1").select("block").distinct().count() == 300 // 16
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        scores, _ = BM.rounds(q, index, 20, block_docs=16)
+        assert "keys=[query_id, doc_id" not in scores._jdf.queryExecution().executedPlan().toString().replace("L,", ",")
+        assert sorted(map(tuple, L.rank_hits(scores, 20).collect())) == sorted(map(tuple, L.bm25(q, docs, 20).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_pruning_over_chunks(spark):
     rng = np.random.default_rng(5)
     looks = rng.normal(size=(4, 6))
