@@ -751,3 +751,14 @@ def test_recall_of_default_cells(spark):
     assert len(exact & {(r.query_id, r.kf_id) for r in D.ivf_topk(q, kf, 5).collect()}) >= 0.9 * len(exact)
     full = {(r.query_id, r.kf_id) for r in D.near_duplicates(kf, 3).collect()}
     assert len(full & {(r.query_id, r.kf_id) for r in D.near_duplicates(kf, 3, mode="cells").collect()}) >= 0.9 * len(full)
+
+
+def test_lists_read_the_documents_once(spark):
+    """The counts, the scores and the texts of the hits read one stored table of documents."""
+    from cuelight.catalog.base import Tables
+    from cuelight.catalog.relational import lists
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert any("events" in f for f in tables.docs.inputFiles())
+    lex, _ = lists(tables)
+    assert not any("events" in f for f in lex.inputFiles()) and lex.count() > 0
