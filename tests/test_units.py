@@ -762,3 +762,12 @@ def test_lists_read_the_documents_once(spark):
     assert any("events" in f for f in tables.docs.inputFiles())
     lex, _ = lists(tables)
     assert not any("events" in f for f in lex.inputFiles()) and lex.count() > 0
+
+
+def test_evidence_reads_the_documents_once(spark):
+    """Screen text comes from the events: the evidence per keyframe reads it from one stored table of documents."""
+    from cuelight import catalog
+
+    for name in ("ag_max_per_keyframe", "ag_text_precedence"):
+        out = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not any("events" in f for f in out.inputFiles()) and out.count() > 0
