@@ -771,3 +771,18 @@ def test_evidence_reads_the_documents_once(spark):
     for name in ("ag_max_per_keyframe", "ag_text_precedence"):
         out = catalog.queries()[name](spark, "/root/testdata/sf0.001")
         assert not any("events" in f for f in out.inputFiles()) and out.count() > 0
+
+
+def test_bm25_cuts_the_texts_into_words_once(spark, tmp_path):
+    """What is scored are stored counts; the slice stores its judgements too, so neither reads a text again."""
+    from cuelight import catalog
+
+    rows = [(i, " ".join(["rare"] * (i % 3) + ["common", "_", f"w{i}"])) for i in range(40)] + [(40, " \t"), (41, None), (42, "...")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    q = spark.createDataFrame([(1, "rare common"), (2, "w7 w7"), (3, "absent")], "query_id long, text string")
+    found = L.bm25(q, spark.read.parquet(str(tmp_path / "docs")), 5)
+    assert found.inputFiles() == []
+    got = {i: [r.doc_id for r in sorted(found.collect(), key=lambda r: r["rank"]) if r.query_id == i] for i in (1, 2, 3)}
+    assert got == {1: [2, 5, 8, 11, 14], 2: [7], 3: []}
+    out = catalog.queries()["ev_lexical_slice"](spark, "/root/testdata/sf0.001")
+    assert not any("documents" in f for f in out.inputFiles()) and out.count() == 3
