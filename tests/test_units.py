@@ -786,3 +786,13 @@ def test_bm25_cuts_the_texts_into_words_once(spark, tmp_path):
     assert got == {1: [2, 5, 8, 11, 14], 2: [7], 3: []}
     out = catalog.queries()["ev_lexical_slice"](spark, "/root/testdata/sf0.001")
     assert not any("documents" in f for f in out.inputFiles()) and out.count() == 3
+
+
+def test_bm25_sums_no_pairs_of_query_and_document(spark):
+    """Scores are summed inside the document: no aggregation over (query, document) pairs is left in the plan."""
+    docs = spark.createDataFrame([(i, "common " * (i % 4)) for i in range(30)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, "common word") for i in range(4)], "query_id long, text string")
+    found = L.bm25(q, docs, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
+    assert sorted(r.doc_id for r in found.collect()) == sorted([3, 7, 11] * 4)
